@@ -1,4 +1,4 @@
-"""Small column expressions and join helpers."""
+"""Small column expressions."""
 
 from __future__ import annotations
 
@@ -52,26 +52,6 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
-def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi join in which NULL keys match, keeping the key columns once."""
-    keys = list(keys)
-    if not keys:
-        if how not in ("inner", "left"):
-            raise ValueError("a join without keys is only defined for single-row sides")
-        # The right side is a one-row aggregate here, so this is a broadcast.
-        return left.join(F.broadcast(right), F.lit(True), how)
-    renamed = right.select(
-        *[quoted(k).alias(f"__r_{k}") for k in keys],
-        *[quoted(c) for c in right.columns if c not in keys],
-    )
-    cond = None
-    for k in keys:
-        eq = quoted(k).eqNullSafe(quoted(f"__r_{k}"))
-        cond = eq if cond is None else cond & eq
-    return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys]) \
-        if how not in ("left_semi", "left_anti") else left.join(renamed, cond, how)
-
-
 def unpivot_values(df: DataFrame, keys: Sequence[str], values: Sequence[str],
                    name: str = "metric", value: str = "value") -> DataFrame:
     """Long form (keys, metric, value) with values as double and NaN as NULL."""
@@ -84,3 +64,9 @@ def unpivot_values(df: DataFrame, keys: Sequence[str], values: Sequence[str],
         for i, v in enumerate(values)
     ])
     return base.select(*[quoted(k) for k in keys], F.inline(pairs).alias(name, value))
+
+
+def short_number(v: Column) -> Column:
+    """A number as text with four significant digits."""
+    rounded = F.format_string("%.3e", v.cast("double")).cast("double").cast("string")
+    return F.regexp_replace(rounded, r"\.0$", "")

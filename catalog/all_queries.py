@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from catalog import profile  # noqa: F401
+from catalog import cleaning, grouped, profile  # noqa: F401
