@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -55,43 +56,37 @@ def win_matrix(games: DataFrame) -> DataFrame:
                                     F.try_divide("wins", "games").alias("win_rate"))
 
 
-def bradley_terry(games: DataFrame, max_iter: int = 1000, tol: float = 1e-6,
-                  rounds_per_write: int = 3) -> DataFrame:
+def bradley_terry(games: DataFrame, max_iter: int = 1000, tol: float = 1e-6) -> DataFrame:
     """Log strengths with mean 0, higher is better.
 
     Games are counted per pair once; each round is a join and an aggregate over
-    those pairs. Every few rounds the strengths are written to the checkpoint
-    folder, so that lineage stays short, and convergence is checked.
+    those pairs. Strengths are written to the checkpoint folder after each round,
+    so lineage stays short; only three numbers per round reach the driver.
     """
     pairs = cut_lineage(win_counts(games).filter("player <> opponent"))
-    strength = cut_lineage(pairs.select("player").distinct().withColumn("p", F.lit(1.0)))
-    wins = pairs.groupBy("player").agg(F.sum("wins").alias("won"))
-
-    def improve(now: DataFrame) -> DataFrame:
-        met = pairs.join(now.select("player", "p"), "player").join(
+    now = cut_lineage(pairs.groupBy("player").agg(F.sum("wins").alias("won"))).withColumn(
+        "p", F.lit(1.0))
+    for _ in range(max_iter):
+        met = pairs.select("player", "opponent", "games").join(
+            now.select("player", "p"), "player").join(
             now.select(F.col("player").alias("opponent"), F.col("p").alias("q")), "opponent")
         load = met.groupBy("player").agg(F.sum(F.try_divide(
             F.col("games").cast("double"), F.col("p") + F.col("q"))).alias("load"))
-        raw = now.select("player", F.col("p").alias("old")).join(load, "player", "left").join(
-            wins, "player").select("player", "old", F.coalesce(
-                F.try_divide("won", "load"), F.col("old")).alias("raw"))
-        centre = raw.agg(F.exp(F.avg(F.log(F.when(F.col("raw") > 0, F.col("raw"))))).alias("g"),
-                         F.min("raw").alias("least"))
-        return raw.join(F.broadcast(centre), F.lit(True)).select(
-            "player", "old", (F.col("raw") / F.when(F.col("least") > 0, F.col("g")).otherwise(
-                1.0)).alias("p"))
-
-    for _ in range(0, max_iter, rounds_per_write):
-        for _ in range(rounds_per_write):
-            strength = improve(strength)
-        strength = cut_lineage(strength)
-        change = strength.agg(F.max(F.abs(F.col("p") - F.col("old")))).first()[0]
+        raw = cut_lineage(now.join(load, "player", "left").select(
+            "player", "won", F.col("p").alias("old"),
+            F.coalesce(F.try_divide("won", "load"), F.col("p")).alias("raw")))
+        middle, least = raw.agg(F.avg(F.log(F.when(F.col("raw") > 0, F.col("raw")))),
+                                F.min("raw")).first()
+        scale = math.exp(middle) if least is not None and least > 0 else 1.0
+        now = raw.select("player", "won", (F.col("raw") / scale).alias("p"))
+        change = raw.agg(F.max(F.abs(F.col("raw") / scale - F.col("old")))).first()[0]
         if change is None or change < tol:
             break
-    logs = strength.select("player", F.when(F.col("p") > 0, F.log(F.when(
+    logs = now.select("player", F.when(F.col("p") > 0, F.log(F.when(
         F.col("p") > 0, F.col("p")))).otherwise(ZERO_LOG_STRENGTH).alias("s"))
-    middle = logs.agg(F.avg("s").alias("m"))
-    return logs.join(F.broadcast(middle), F.lit(True)).select(
+    centre = logs.agg(F.avg("s").alias("m"))
+    # The centre is one row.
+    return logs.join(F.broadcast(centre), F.lit(True)).select(
         "player", F.round(F.col("s") - F.col("m"), 4).alias("strength"))
 
 
