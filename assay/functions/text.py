@@ -35,12 +35,16 @@ def containment(terms: DataFrame, texts: DataFrame, by: Sequence[str], term: str
     t = terms.filter(F.length(quoted(term)) > 0).withColumn(
         "__block", F.substring(quoted(term), 1, BLOCK))
     sizes = [r[0] for r in t.select(F.length("__block")).distinct().collect()]  # at most BLOCK rows
-    runs = [F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(quoted(text)) - (n - 1))),
-        lambda i, n=n: F.substring(quoted(text), i, F.lit(n))) for n in sizes]
-    if not runs:
-        runs = [F.array().cast("array<string>")]
-    cut = texts.withColumn("__block", F.explode(F.array_distinct(
-        F.flatten(F.array(*runs)) if len(runs) > 1 else runs[0])))
+
+    def runs(n: int) -> Column:
+        """All runs of n characters, built from the character array in one linear walk."""
+        last = F.size("__chars") - (n - 1)
+        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(
+            starts, lambda i: F.array_join(F.slice("__chars", i, F.lit(n)), "")))
+
+    every = F.flatten(F.array(*[runs(n) for n in sizes])) if sizes else F.array().cast("array<string>")
+    cut = texts.withColumn("__chars", F.split(quoted(text), "")).withColumn(
+        "__block", F.explode(every)).drop("__chars")
     return t.join(cut, [*by, "__block"]).filter(F.contains(quoted(text), quoted(term))).drop(
         "__block")

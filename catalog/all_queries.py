@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from catalog import checks, cleaning, evaluation, grouped, profile, signals  # noqa: F401
+from catalog import checks, cleaning, evaluation, grouped, profile, signals, texts  # noqa: F401

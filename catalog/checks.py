@@ -78,7 +78,7 @@ def finding_mismatch(spark, d):
 
 
 _FILES = """files AS (SELECT l_suppkey AS run, 'figures/plot_' || (l_partkey % 40) || '.png' AS path,
-  CAST(max(l_extendedprice) AS BIGINT) AS size FROM lineitem GROUP BY ALL)"""
+  CAST(floor(max(l_extendedprice)) AS BIGINT) AS size FROM lineitem GROUP BY ALL)"""
 
 
 def _files(spark, d):
@@ -86,7 +86,7 @@ def _files(spark, d):
         F.col("l_suppkey").alias("run"),
         F.concat(F.lit("figures/plot_"), (F.col("l_partkey") % 40).cast("string"),
                  F.lit(".png")).alias("path")).agg(
-        F.round(F.max("l_extendedprice")).cast("bigint").alias("size"))
+        F.floor(F.max("l_extendedprice")).alias("size"))
 
 
 @query(f"""WITH {_FILES}, r AS (SELECT DISTINCT l_suppkey AS run, 'plot_' || (l_linenumber * 9) || '.png' AS ref FROM lineitem),
