@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.columns import quoted
+from assay.functions.order_stats import exact_quantiles
 from assay.functions.text import containment, mentions, stem
 from assay.plans.groupings import PURPOSE_WEIGHTS
 
@@ -110,8 +111,7 @@ def nan_leakage(metrics: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def impossible_values(metrics: DataFrame) -> DataFrame:
     """Metric rows that cannot be: negative counts or spreads, percentages out of range."""
-    name, v = F.lower("metric"), F.col("value").try_cast("double") if hasattr(
-        Column, "try_cast") else F.col("value").cast("double")
+    name, v = F.lower("metric"), F.col("value").try_cast("double")
     finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     count = name.contains("count") | name.contains("n_")
     share = name.contains("pct") | name.contains("percent") | name.contains("ratio")
@@ -438,9 +438,8 @@ def image_audit(images: DataFrame, by: Sequence[str]) -> DataFrame:
         return F.when(header, F.conv(F.substring("h", start, 8), 16, 10).cast("bigint"))
     sized = head.withColumn("magic", magic).withColumn("width", number(33)).withColumn(
         "height", number(41)).drop("h")
-    # Lengths are counted by value, so the middle needs little state.
-    middle = sized.groupBy(*_by(by)).agg(F.percentile("length", F.lit(0.5)).alias("middle"),
-                                         F.count(F.lit(1)).alias("images"))
+    middle = exact_quantiles(sized, by, "length", {"middle": 0.5}).join(
+        sized.groupBy(*_by(by)).agg(F.count(F.lit(1)).alias("images")), list(by))
     same = sized.filter("magic").groupBy(*_by(by), "digest").agg(F.count(F.lit(1)).alias("copies"))
     out = sized.join(middle, list(by)).join(same, [*by, "digest"], "left")
     aspect = F.try_divide(F.greatest("width", "height").cast("double"), F.least("width", "height"))

@@ -34,7 +34,7 @@ MIN_TOKEN = 4
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\r\f\x0b"))
 
 
 def paragraphs(text: Column, separator: str = "\n\n") -> Column:
@@ -50,9 +50,13 @@ def paragraphs(text: Column, separator: str = "\n\n") -> Column:
 
 def grounding_rate(text: Column, separator: str = "\n\n") -> Column:
     """Share of analytical paragraphs that hold a number; none without paragraphs."""
-    parts = paragraphs(text, separator)
-    hits = F.size(F.filter(parts, lambda p: p.rlike(NUMBER)))
-    return F.round(F.try_divide(hits.cast("double"), F.size(parts)), 4)
+    # One walk over the paragraphs counts them and the ones with a number.
+    counts = F.aggregate(
+        paragraphs(text, separator), F.struct(F.lit(0).alias("n"), F.lit(0).alias("hits")),
+        lambda acc, p: F.struct((acc["n"] + 1).alias("n"), (acc["hits"] + F.when(
+            p.rlike("[0-9]") & p.rlike(NUMBER), 1).otherwise(0)).alias("hits")),
+        lambda acc: F.try_divide(acc["hits"].cast("double"), acc["n"]))
+    return F.round(counts, 4)
 
 
 def data_coverage(text: Column, names: Sequence[str]) -> Column:

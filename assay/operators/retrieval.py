@@ -24,7 +24,7 @@ def row_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     """``column: value`` for each present, non-empty value, joined by bars."""
     parts = []
     for c in columns or df.columns:
-        v = F.regexp_replace(clean(df, c).cast("string"), r"^\s+|\s+$", "")
+        v = F.btrim(clean(df, c).cast("string"), F.lit(" \t\n\r\f\x0b"))
         parts.append(F.when(F.length(v) > 0, F.concat(F.lit(f"{c}: "), v)))
     return F.concat_ws(" | ", *parts)
 
@@ -93,7 +93,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, row_id: str = "id",
 
 def chunks(docs: DataFrame, doc_id: str, text: str, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Sliding chunks of the whole text with ids ``doc__j``."""
-    body = F.regexp_replace(quoted(text), r"^\s+|\s+$", "")
+    body = F.btrim(quoted(text), F.lit(" \t\n\r\f\x0b"))
     starts = F.when(F.length("__t") > 0, F.sequence(
         F.lit(0), F.length("__t") - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
     return docs.select(quoted(doc_id).alias("source"), body.alias("__t")).select(

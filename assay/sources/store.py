@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.columns import quoted
+from assay.functions.order_stats import value_positions
 
 
 def upsert(current: DataFrame, new: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -30,10 +31,18 @@ def skip_existing(wanted: DataFrame, stored: DataFrame, keys: Sequence[str]) ->
 
 
 def rank_positions(scores: DataFrame, method: str = "ranking_method", score: str = "strength",
-                   name: str = "player") -> DataFrame:
-    """Position by falling score within each ranking method (one row per participant)."""
-    w = Window.partitionBy(quoted(method)).orderBy(quoted(score).desc(), quoted(name))
-    return scores.withColumn("rank_position", F.row_number().over(w))
+                   name: str = "player", **split) -> DataFrame:
+    """Position by falling score within each ranking method, equal scores by name.
+
+    Positions come from counts per score, so a method with very many participants
+    is not sorted in one task.
+    """
+    rows = scores.withColumn("__down", -quoted(score).cast("double"))
+    pos = value_positions(rows, [method], "__down", **split).select(
+        quoted(method), "__down", "before")
+    tied = Window.partitionBy(quoted(method), "__down").orderBy(quoted(name))
+    return rows.join(pos, [method, "__down"]).withColumn(
+        "rank_position", F.col("before") + F.row_number().over(tied)).drop("__down", "before")
 
 
 def comparison_set_hash(games: DataFrame) -> DataFrame:

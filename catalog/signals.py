@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assay.operators import grouped as G
 from assay.operators import spectra as M
 from assay.operators import traces as T
 from catalog.grouped import _rounded
@@ -54,14 +55,13 @@ def smoothed_trace(spark, d):
     return out.select("event_id", F.round("smoothed", 6).alias("smoothed"))
 
 
-@query(f"""WITH {_T}, r AS (SELECT user_id, x, value, event_id,
-    lag(value) OVER ({_W}) AS l, lead(value) OVER ({_W}) AS r FROM t)
+@query(f"""WITH {_T}, c AS (SELECT user_id, event_id, x, value, lag(value) OVER ({_W}) AS prev FROM t),
+r AS (SELECT user_id, value, lag(value) OVER ({_W}) AS l, lead(value) OVER ({_W}) AS r
+      FROM c WHERE prev IS NULL OR prev <> value)
 SELECT user_id, count(*) AS turns FROM r WHERE l IS NULL OR r IS NULL OR (l < value AND r < value)
    OR (l > value AND r > value) GROUP BY user_id""")
 def turning_points(spark, d):
-    # The counterpart has no rule for flat runs, so equal neighbours are made distinct.
-    pts = _trace(spark, d).withColumn("value", F.col("value"))
-    return T.turning_points(pts, TRACE, "x", "value", TIE).groupBy("user_id").agg(
+    return T.turning_points(_trace(spark, d), TRACE, "x", "value", TIE).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("turns"))
 
 
@@ -242,9 +242,8 @@ s AS (SELECT l_linenumber, avg(v) AS mu, stddev_samp(v) AS sd FROM k GROUP BY l_
 SELECT CAST(l_suppkey AS VARCHAR) AS group_key, CAST(l_linenumber AS VARCHAR) AS metric,
   round((v - mu) / sd, 6) AS z, abs((v - mu) / sd) > 2 AS z_outlier FROM k JOIN s USING (l_linenumber)""")
 def batch_deviation(spark, d):
-    from assay.operators.grouped import outlier_flags
     kpi = table(spark, d, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(
         F.sum("l_extendedprice").alias("value")).select(
         F.col("l_suppkey").cast("string").alias("group_key"),
         F.col("l_linenumber").cast("string").alias("metric"), "value")
-    return outlier_flags(kpi).select("group_key", "metric", F.round("z", 6).alias("z"), "z_outlier")
+    return G.outlier_flags(kpi).select("group_key", "metric", F.round("z", 6).alias("z"), "z_outlier")
