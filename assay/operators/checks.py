@@ -461,8 +461,8 @@ def image_audit(images: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def threshold_flags(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Flag metric values outside their domain limits (metric, low, high); limits are a short list."""
-    out = metrics.join(F.broadcast(thresholds), "metric")
+    """Flag metric values outside their domain limits (metric, low, high)."""
+    out = metrics.join(thresholds, "metric")
     return out.withColumn("flagged", F.coalesce(F.col("value") < F.col("low"), F.lit(False))
                           | F.coalesce(F.col("value") > F.col("high"), F.lit(False)))
 

@@ -15,7 +15,8 @@ TRACE, TIE = ["user_id"], ["event_id"]
 
 def _trace(spark, d):
     """Events as points: x in hours since the start of 2024."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)
+    origin = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp")) - origin
     return table(spark, d, "events").select(
         "user_id", "event_id", "event_type", (micros / F.lit(3.6e9)).alias("x"), "value")
 
