@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from assay.operators import checks as Q
@@ -151,16 +153,31 @@ def interaction_mention(spark, d):
     return Q.interaction_mention(docs.withColumn("run", F.col("source")), m, RUN).select("run", "passed")
 
 
-@query()
+def _any(words) -> str:
+    return "|".join(re.escape(w) for w in words)
+
+
+@query(f"""
+WITH g AS (SELECT source AS run, count(DISTINCT lang) AS groups FROM documents GROUP BY source),
+f AS (SELECT source AS run, bool_or(regexp_matches(lower(text), '{_any(Q.TWO_GROUP_WORDS)}') OR regexp_matches(lower(text), '{Q.P_NOTATION}')) AS two,
+  bool_or(regexp_matches(lower(text), '{_any(Q.MANY_GROUP_WORDS)}') OR regexp_matches(lower(text), '{Q.P_NOTATION}')
+    OR regexp_matches(lower(text), '{Q.ACROSS_GROUPS}')) AS many FROM documents GROUP BY source)
+SELECT run, CASE WHEN groups = 2 THEN two ELSE many END AS passed FROM g JOIN f USING (run) WHERE groups >= 2""")
 def comparison_present(spark, d):
     docs = table(spark, d, "documents")
     m = docs.select(F.col("source").alias("run"), F.col("lang").alias("group_key")).distinct()
-    return Q.comparison_present(docs.withColumn("run", F.col("source")), m, RUN)
+    return Q.comparison_present(docs.withColumn("run", F.col("source")), m, RUN).select("run", "passed")
 
 
-@query()
+@query(f"""
+WITH f AS (SELECT source AS run, regexp_matches(text, '[0-9]+\\.?[0-9]*%') AND NOT regexp_matches(lower(text), '{_any(Q.INTERPRETATION_WORDS + Q.EXPLAINING_PHRASES)}')
+  AND len(regexp_split_to_array(trim(lower(text)), '\\s+')) <= 15 AS bare FROM documents)
+SELECT run, count(CASE WHEN bare THEN 1 END) = 0 AS passed,
+  CASE WHEN count(CASE WHEN bare THEN 1 END) > count(*) * 0.5 THEN 'must_fix' WHEN count(CASE WHEN bare THEN 1 END) > 0 THEN 'should_fix' END AS severity
+FROM f GROUP BY run""")
 def bare_findings(spark, d):
-    return Q.bare_findings(table(spark, d, "documents").withColumn("run", F.col("source")), RUN)
+    return Q.bare_findings(table(spark, d, "documents").withColumn("run", F.col("source")), RUN).select(
+        "run", "passed", "severity")
 
 
 @query(f"WITH {_FILES} SELECT run, count(*) >= 5 AS many, false AS passed FROM files GROUP BY run HAVING count(*) >= 3")
@@ -297,9 +314,19 @@ def gate_decisions(spark, d):
     return _attempts(spark, d).select(*X.ATTEMPT, "status")
 
 
-@query()
+@query(_SETS + _ISLANDS + f""", q AS (SELECT {_K}, round(CAST(sum(w * s) / sum(w) AS DECIMAL(20, 12)), 4)::DOUBLE AS overall FROM (
+    SELECT *, CASE WHEN passed THEN 1.0 WHEN severity = 'should_fix' THEN 0.5 ELSE 0 END AS s,
+      CASE WHEN category = 'plot_quality' THEN 2.0 / count(*) OVER (PARTITION BY {_K}, category, ref)
+           WHEN category = 'content_quality' THEN 2.0 ELSE 1.0 END AS w FROM checks) GROUP BY {_K}),
+d AS (SELECT st.*, overall, overall - lag(overall) OVER (PARTITION BY run_id, dataset, stage ORDER BY attempt) AS gain,
+  CASE WHEN must_fix = 0 AND should_fix = 0 THEN false WHEN must_fix = 0 AND should_fix_other >= 4 AND attempt < 6 THEN true
+       WHEN must_fix = 0 THEN false WHEN attempt >= 6 THEN false WHEN stall_count >= 2 THEN false ELSE true END AS failed
+  FROM st JOIN q USING ({_K}))
+SELECT {_K}, overall, round(gain, 4) AS gain, CASE WHEN NOT failed THEN 'keep' WHEN len(issues) = 0 AND overall >= 0.85 THEN 'passed'
+  WHEN rn >= 2 AND gain < 0.02 AND NOT list_has_any(i0, issues) THEN 'passed_degraded' ELSE 'retry' END AS decision FROM d""")
 def convergence(spark, d):
-    return A.convergence(_attempts(spark, d), UNIT).select(*X.ATTEMPT, "overall", "gain", "decision")
+    return A.convergence(_attempts(spark, d), UNIT).select(
+        *X.ATTEMPT, "overall", F.round("gain", 4).alias("gain"), "decision")
 
 
 @query(f"""WITH {X.CHECKS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY

@@ -13,7 +13,7 @@ from assay.operators import reports as T
 from assay.operators import retrieval as I
 from assay.operators import supervised as L
 from assay.plans.profile import profile
-from catalog.checks import _FILES, _FINDINGS, _files, _findings
+from catalog.checks import _FILES, _files, _findings
 from catalog.grouped import _rounded
 from catalog.registry import query, table
 
@@ -167,7 +167,8 @@ def parsed_replies(spark, d):
     return T.parse_model_text(raw, "reply", "k bigint").select("event_id", F.col("parsed.k").alias("k"))
 
 
-@query()
+@query(f"""WITH {_FILES}, r AS (SELECT l_suppkey AS run, 'figures/plot_' || (l_linenumber * 9) || '.png' AS path FROM lineitem)
+SELECT r.run, count(*) AS broken FROM r LEFT JOIN files f ON r.run = f.run AND r.path = f.path WHERE f.run IS NULL GROUP BY r.run""")
 def broken_references(spark, d):
     linked = _findings(spark, d).select("run", F.concat(
         F.lit("![p](figures/"), F.col("figure_ref"), F.lit(")")).alias("text"))
@@ -175,19 +176,23 @@ def broken_references(spark, d):
         F.count(F.lit(1)).alias("broken"))
 
 
-@query("""
-WITH n AS (SELECT l_suppkey AS ds, CASE l_linenumber % 7 WHEN 0 THEN 'retention_time' WHEN 1 THEN 'Peak_Area' WHEN 2 THEN 'charge_state' WHEN 3 THEN 'm/z'
-  WHEN 4 THEN 'value' WHEN 5 THEN 'wavelength' ELSE 'Intensity' END AS name FROM lineitem WHERE l_quantity > 48)
-SELECT ds, 'chromatography' AS domain, bool_or(contains(lower(name), 'retention_time')) AS has_retention FROM n GROUP BY ds""")
+_WORDS = ", ".join(f"('{d_}', '{w}')" for d_, ws in D.DOMAIN_KEYWORDS.items() for w in ws)
+
+
+@query(f"""
+WITH n AS (SELECT DISTINCT l_suppkey AS ds, CASE l_linenumber % 7 WHEN 0 THEN 'retention_time' WHEN 1 THEN 'Peak_Area' WHEN 2 THEN 'charge_state' WHEN 3 THEN 'm/z'
+  WHEN 4 THEN 'value' WHEN 5 THEN 'wavelength' ELSE 'Intensity' END AS name FROM lineitem WHERE l_discount > 0.09),
+w(domain, word) AS (VALUES {_WORDS}),
+h AS (SELECT ds, domain, word, bool_or(contains(lower(name), word)) AS hit FROM n, w GROUP BY ALL),
+c AS (SELECT ds, domain, count(CASE WHEN hit THEN 1 END) / count(*) AS confidence FROM h GROUP BY ALL)
+SELECT ds, domain, round(confidence, 6) AS confidence, confidence >= 0.05 AS detected, confidence >= 0.2 AS strong FROM c""")
 def detected_domains(spark, d):
     kind = F.col("l_linenumber") % 7
-    names = table(spark, d, "lineitem").filter("l_quantity > 48").select(
+    names = table(spark, d, "lineitem").filter("l_discount > 0.09").select(
         F.col("l_suppkey").alias("ds"), F.when(kind == 0, "retention_time").when(kind == 1, "Peak_Area").when(
             kind == 2, "charge_state").when(kind == 3, "m/z").when(kind == 4, "value").when(
             kind == 5, "wavelength").otherwise("Intensity").alias("name"))
-    found = D.detect_domains(names, ["ds"]).filter("domain = 'chromatography'")
-    has = names.groupBy("ds").agg(F.max(F.lower("name") == "retention_time").alias("has_retention"))
-    return found.join(has, "ds").select("ds", "domain", "has_retention")
+    return _rounded(D.detect_domains(names, ["ds"]), ["confidence"])
 
 
 # Retrieval -----------------------------------------------------------------------------
