@@ -10,6 +10,7 @@ from assay.operators import checks as Q
 from assay.operators import claims as V
 from assay.operators import gates as A
 from assay.operators import grouped as G
+from assay.operators import hypothesis as H
 from catalog import standins as X
 from catalog.grouped import _rounded
 from catalog.registry import query, table
@@ -421,6 +422,20 @@ def verified_claims(spark, d):
                              ["l_quantity", "l_extendedprice"])
 
 
+@query("""
+WITH c AS (SELECT l_returnflag, l_linestatus, count(*) AS n, avg(l_extendedprice) AS m, var_samp(l_extendedprice) AS s2 FROM lineitem GROUP BY ALL),
+t AS (SELECT l_returnflag, sum(n * m) / sum(n) AS mu FROM c GROUP BY l_returnflag),
+f AS (SELECT l_returnflag, (sum(n * pow(m - mu, 2)) / (count(*) - 1)) / (sum((n - 1) * s2) / (sum(n) - count(*))) AS f FROM c JOIN t USING (l_returnflag) GROUP BY l_returnflag)
+SELECT l_returnflag, round(f, 6) AS actual, CASE WHEN l_returnflag = 'A' THEN 'mismatch' ELSE 'match' END AS status FROM f""")
+def verified_statistics(spark, d):
+    actual = H.anova(table(spark, d, "lineitem"), ["l_returnflag"], "l_linestatus",
+                     "l_extendedprice").select("l_returnflag", F.col("f").alias("actual"))
+    claims = actual.select("l_returnflag", (F.col("actual") * F.when(
+        F.col("l_returnflag") == "A", 1.5).otherwise(1.005)).alias("value"))
+    return V.verify_statistics(claims, actual, ["l_returnflag"]).select(
+        "l_returnflag", F.round("actual", 6).alias("actual"), "status")
+
+
 @query(f"WITH {_CLAIMS} SELECT group_key, metric, round(abs((value - actual) / actual), 6) AS relative_gap FROM claims WHERE abs((value - actual) / actual) > 0.05")
 def large_mismatches(spark, d):
     out = V.large_mismatches(_claims(spark, d), _actual(spark, d))

@@ -149,3 +149,15 @@ def test_supervised(spark):
     moved = L.permuted(df, "id", "x", rows_per_piece=20).orderBy("id").collect()
     assert sorted(r["x"] for r in moved) == sorted(r[1] for r in rows)
     assert [r["x"] for r in moved] != [r[1] for r in rows]
+    ci = {r["metric"]: r for r in L.bootstrap_metric(preds, 50).collect()}
+    assert ci["accuracy"]["ci_lower"] <= m["accuracy"] + 0.1 and ci["mae"]["ci_upper"] < 0.3
+
+
+def test_permutation_importance(spark):
+    from pyspark.ml.regression import LinearRegression
+    rng = np.random.default_rng(11)
+    rows = [(i, float(x), float(z), 3.0 * float(x)) for i, (x, z) in enumerate(rng.normal(size=(80, 2)))]
+    df = spark.createDataFrame(rows, "id int, x double, z double, target double")
+    model = LinearRegression(labelCol="target").fit(L.assemble(df, ["x", "z"]))
+    got = {r["feature"]: r["importance"] for r in L.permutation_importance(model, df, "id", ["x", "z"]).collect()}
+    assert got["x"] > 1.0 and abs(got["z"]) < 0.1
