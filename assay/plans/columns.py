@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.functions.columns import clean, is_numeric, present, quoted, unpivot_values
+from assay.functions.columns import clean, is_numeric, quoted, unpivot_values
 from assay.functions.order_stats import exact_quantiles
 
 # Fixed values of the role rules.

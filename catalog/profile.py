@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assay.functions.columns import unpivot_values
 from assay.plans import columns as cols
 from assay.plans import groupings, relations
 from catalog.registry import query, table
