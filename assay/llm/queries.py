@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assay.llm import exact_dedup
+from assay.llm import exact_dedup, packing, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +36,32 @@ FROM documents WINDOW g AS (PARTITION BY {LOWER})
 """)
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.groups(table(spark, folder, "documents"))
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary file lies; the folder is set by the installation."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("""
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d
+    FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+FROM q
+""")
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    records = warc.round_trip(table(spark, folder, "pages")).filter("error IS NULL")
+    return records.select(
+        "page_id", F.coalesce(F.octet_length("payload").cast("long"), "declared_bytes").alias("payload_bytes"),
+        F.coalesce(F.sha2("payload", 256), "declared_digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+@query()
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"), with_ids=False)
