@@ -182,7 +182,7 @@ def groups(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     several = index.filter("group_size > 1").select("key", "text_sha256", "keep_id", "group_size")
     found = keys.drop("n_bytes").join(several, ["key", "text_sha256"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    turn = F.row_number().over(Window.partitionBy("key", "text_sha256", "doc_id").orderBy(F.lit(1)))
+    turn = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy(F.lit(1)))
     return found.select(
         "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         (F.col("doc_id").eqNullSafe(keep) & (turn == 1)).alias("kept"), "text_sha256")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assay.llm import exact_dedup, packing, warc
+from assay.llm import exact_dedup, packing, quality_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,42 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"), with_ids=False)
+
+
+@query(r"""
+WITH w AS (
+    SELECT doc_id, source, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+           list_filter(string_split(coalesce(text, ''), chr(10)),
+                       lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
+    FROM documents),
+tri AS (
+    SELECT doc_id, i, struct_pack(a := ws[i], b := ws[i + 1], c := ws[i + 2]) AS t
+    FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, t) AS n FROM tri) WHERE n > 1),
+covered AS (
+    SELECT doc_id, count(DISTINCT p) AS n FROM (
+        SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
+base AS (
+    SELECT doc_id, source, text, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+           (strlen(text) - strlen(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+           (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+    FROM w LEFT JOIN covered USING (doc_id)),
+lines AS (
+    SELECT source, text, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')) AS line,
+           len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n
+    FROM (SELECT source, text, unnest(ls) AS l FROM w)),
+hosts AS (SELECT source, count(DISTINCT text) AS d FROM lines GROUP BY source),
+frequent AS (
+    SELECT source, line FROM lines JOIN hosts USING (source) GROUP BY source, line, d
+    HAVING count(DISTINCT text) >= 20 AND count(DISTINCT text) > 0.05 * d),
+left_over AS (
+    SELECT source, text, 1 - sum(CASE WHEN f.line IS NOT NULL THEN n ELSE 0 END) / sum(n) AS share
+    FROM lines LEFT JOIN frequent f USING (source, line) GROUP BY source, text)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(share, 1) >= 0.5 AS kept
+FROM base LEFT JOIN left_over USING (source, text)
+""")
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(table(spark, folder, "documents")).drop("left")
