@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assay.llm import exact_dedup, packing, quality_rules, warc
+from assay.llm import exact_dedup, packing, quality_rules, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +104,8 @@ FROM base LEFT JOIN left_over USING (source, text)
 """)
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents")).drop("left")
+
+
+@query()
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.groups(table(spark, folder, "documents"))
