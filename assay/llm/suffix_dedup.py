@@ -51,11 +51,21 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def _least(h: np.ndarray, span: int) -> np.ndarray:
+    """The minimum of every ``span`` values in a row."""
+    width = 1
+    while 2 * width <= span:
+        h = np.minimum(h[:-width], h[width:])
+        width *= 2
+    return h if width == span else np.minimum(h[:len(h) - (span - width)], h[span - width:])
+
+
 class Anchors:
     """Finds the runs of a buffer of texts.
 
-    A run's place is one number: 24 bits of the text's second hash, 32 of the offset in the
-    text, 8 of the number of windows less one.
+    A run's place is one number: 24 bits of the text's second hash, one that tells whether a
+    window has its anchor twice (so that windows of one run can be equal), 31 bits of the offset
+    in the text, 8 of the number of windows less one.
     """
 
     def __init__(self, length: int, gram: int, room: int):
@@ -63,7 +73,7 @@ class Anchors:
         self.up, self.down = _powers(_BASE, room), _powers(_INVERSE, room)
 
     def runs(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
-        """anchor, first window and number of windows of each run, in order.
+        """anchor, first window, number of windows, text and tie flag of each run, in order.
 
         ``starts`` and ``sizes`` are the places of the texts, all of at least ``length`` bytes.
         """
@@ -76,13 +86,10 @@ class Anchors:
         h ^= h >> np.uint64(32)
         # the place within 256 bytes, wider than a window, tells equal hashes apart
         h &= ~np.uint64(255)
-        h |= np.arange(len(h), dtype=np.uint64) & np.uint64(255)
-        width, low = 1, h
-        while 2 * width <= span:
-            low = np.minimum(low[:-width], low[width:])
-            width *= 2
-        if width < span:
-            low = np.minimum(low[:len(low) - (span - width)], low[span - width:])
+        place = np.arange(len(h), dtype=np.uint64) & np.uint64(255)
+        low = _least(h | place, span)
+        # counted down, it names another place if a window has its anchor twice
+        tie = (_least(h | (np.uint64(255) - place), span) ^ low) & np.uint64(255) != np.uint64(255)
         edge = np.zeros(n + 1, np.int64)
         np.add.at(edge, starts, 1)
         np.add.at(edge, starts + sizes - self.length + 1, -1)
@@ -92,7 +99,8 @@ class Anchors:
         at = np.flatnonzero(first)
         block = np.searchsorted(starts, at, "right") - 1
         stop = np.minimum(np.append(at[1:], n), starts[block] + sizes[block] - self.length + 1)
-        return (low[at] >> np.uint64(8)).astype(np.int64), at, stop - at, block
+        ties = np.cumsum(np.concatenate(([False], tie)))
+        return (low[at] >> np.uint64(8)).astype(np.int64), at, stop - at, block, ties[stop] > ties[at]
 
 
 def _buffers(texts, length: int, room: int):
@@ -126,11 +134,12 @@ def _run_rows(length: int, gram: int):
                 joined = b"".join(p for _, _, p in held)
                 sizes = np.array([len(p) for _, _, p in held], np.int64)
                 starts = np.cumsum(sizes) - sizes
-                key, at, count, block = find.runs(np.frombuffer(joined, np.uint8), starts, sizes)
+                key, at, count, block, tied = find.runs(np.frombuffer(joined, np.uint8), starts, sizes)
                 row = np.array([r for r, _, _ in held], np.int64)[block]
                 offset = at - starts[block] + np.array([o for _, o, _ in held], np.int64)[block]
                 signs = [digest(joined[i:j]) for i, j in zip(at.tolist(), (at + count + length - 1).tolist())]
-                place = (t2[row].astype(np.uint64) << np.uint64(40)) | (offset.astype(np.uint64) << np.uint64(8)) | (
+                place = (t2[row].astype(np.uint64) << np.uint64(40)) | (
+                    tied.astype(np.uint64) << np.uint64(39)) | (offset.astype(np.uint64) << np.uint64(8)) | (
                     count - 1).astype(np.uint64)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(key), pa.array(np.array(signs, np.uint64).view(np.int64)), pa.array(t1[row]),
@@ -150,13 +159,17 @@ def _mark(place: str) -> Column:
 
 
 def _offset(place: str) -> Column:
-    return F.shiftrightunsigned(place, 8).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.shiftrightunsigned(place, 8).bitwiseAND(F.lit(0x7FFFFFFF))
 
 
 def _windows(place: str) -> Column:
     return F.col(place).bitwiseAND(F.lit(255)) + 1
 
 
+def _tied(place: str) -> Column:
+    return F.shiftrightunsigned(place, 39).bitwiseAND(F.lit(1).cast("long"))
+
+
 # ---- sorting
 
 
@@ -254,7 +267,7 @@ def _sorted_strings(length: int, sort_bytes: int):
         out = []
         for n, (t1, place, _), flags in zip(n1, names, repeated_windows([b for _, _, b in names], length)):
             if n == 1:
-                mark, offset = (place >> 40) & 0xFFFFFF, (place >> 8) & 0xFFFFFFFF
+                mark, offset = (place >> 40) & 0xFFFFFF, (place >> 8) & 0x7FFFFFFF
                 out += [(t1, mark, offset + i, j - i) for i, j in _ranges(flags)]
         return _spans(out)
 
@@ -286,7 +299,7 @@ def _strings(length: int):
             for body, t1, asked in zip(as_bytes(batch.column("text")), batch.column("t1").to_pylist(),
                                        batch.column("asked").to_pylist()):
                 for a in asked:
-                    offset, windows = (a["place"] >> 8) & 0xFFFFFFFF, (a["place"] & 255) + 1
+                    offset, windows = (a["place"] >> 8) & 0x7FFFFFFF, (a["place"] & 255) + 1
                     out.append((a["key"], a["n"], t1, a["place"], body[offset:offset + windows + length - 1]))
                     size += windows + length
                 if size > 4 << 20:
@@ -309,7 +322,7 @@ def _window_hashes(length: int):
             for n, t1, place, body in zip(*cols):
                 count = len(body) - length + 1
                 twice = [xxhash.xxh3_128_intdigest(body[i:i + length]) for i in range(count)]
-                mark, offset = (place >> 40) & 0xFFFFFF, (place >> 8) & 0xFFFFFFFF
+                mark, offset = (place >> 40) & 0xFFFFFF, (place >> 8) & 0x7FFFFFFF
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.array([x >> 64 for x in twice], np.uint64).view(np.int64)),
                     pa.array(np.array([x & (1 << 64) - 1 for x in twice], np.uint64).view(np.int64)),
@@ -327,17 +340,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, anch
     texts = cut_lineage(rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     runs = rows.select("text", "t1", "t2").mapInArrow(
         _run_rows(length, gram), "key long, sign long, t1 long, place long")
-    twice = runs.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    twice = (runs.groupBy("key").agg(F.count("*").alias("c"), F.max(_tied("place")).alias("tied"))
+             .filter("c > 1 OR tied = 1").select("key"))
     found = cut_lineage(runs.join(twice, "key").groupBy("key", "sign", "t1", "place").agg(F.lit(1).alias("one"))
                         .drop("one"))
     strings = found.groupBy("key", "sign").agg(
-        F.count("*").alias("n"), F.min(F.struct("t1", "place")).alias("at"))
-    by_key = strings.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total")).filter("total > 1")
+        F.count("*").alias("n"), F.min(F.struct("t1", "place")).alias("at"), F.max(_tied("place")).alias("tied"))
+    by_key = (strings.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.max("tied").alias("any"))
+              .filter("total > 1 OR any = 1"))
     strings = cut_lineage(strings.join(by_key.drop("total"), "key"))
     whole = found.join(strings.filter("n > 1").select("key", "sign"), ["key", "sign"], "left_semi").select(
         "t1", _mark("place").alias("t2"), _offset("place").alias("offset"), _windows("place").alias("windows"))
     spans = whole
-    mixed = strings.filter("m > 1").select(
+    mixed = strings.filter("m > 1 OR any = 1").select(
         "key", "n", "at.t1", "at.place", _mark("at.place").alias("t2"), "m")
 
     def bodies(wanted: DataFrame) -> DataFrame:
