@@ -32,8 +32,8 @@ WINDOW = 1024
 END_ID = 0
 #: Words whose ids a task remembers; beyond it the memory starts anew.
 REMEMBERED_WORDS = 400_000
+WORDS_AT_ONCE = 200
 SLICE_CHARS = 1 << 20
-#: Totals are kept by (partition) only, so this is what pass two carries to the tasks.
 _NAMES = ["part", "position", "doc_id", "n_tokens", "ids"]
 
 
@@ -47,6 +47,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        vocabulary_ids = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.n_bytes = np.zeros(max(vocabulary_ids.values()) + 1, np.int64)
+        for token, i in vocabulary_ids.items():
+            self.n_bytes[i] = len(token)  # byte-level tokens have one character for each byte
         self.words: dict[str, bytes] = {}
         self.unsplit: set[str] = set()
 
@@ -55,6 +59,19 @@ class Encoder:
         return [np.array(e.ids, kind).tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it; many words are encoded as one text."""
+        texts = [" " + " ".join(words[i:i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.int64) for e in found])
+        ends = np.cumsum(self.n_bytes[ids])
+        wanted = np.cumsum([len(w.encode()) + 1 for w in words])
+        cuts = np.minimum(np.searchsorted(ends, wanted), len(ends) - 1)
+        if not np.array_equal(ends[cuts], wanted):
+            raise ValueError("the vocabulary is not byte-level BPE with units that start at spaces")
+        raw, at = ids.astype(f"<u{self.width}").tobytes(), [0, *((cuts + 1) * self.width).tolist()]
+        return [raw[i:j] for i, j in zip(at, at[1:])]
+
     def _slices(self, text: str):
         """Cut a very long text where a unit surely starts."""
         at = 0
@@ -77,8 +94,12 @@ class Encoder:
             if len(self.words) > REMEMBERED_WORDS:
                 self.words, self.unsplit = {}, set()
                 new = list(distinct)
-            self.words.update(zip(new, self._raw([f" {w}" for w in new])))
-            self.unsplit.update(w for w in new if not w or w[0].isspace())
+            odd = [w for w in new if not w or w[0].isspace()]
+            self.unsplit.update(odd)
+            self.words.update(dict.fromkeys(odd, b""))
+            plain = [w for w in new if w not in self.unsplit] if odd else new
+            if plain:
+                self.words.update(zip(plain, self._spaced(plain)))
         if not self.unsplit.isdisjoint(distinct):
             return self._raw([text])[0]
         return (self._raw(parts[:1])[0] if parts[0] else b"") + b"".join(map(self.words.__getitem__, rest))

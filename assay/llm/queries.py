@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from assay.llm import exact_dedup, packing, quality_rules, simhash, suffix_dedup, warc
+from assay.llm import (
+    exact_dedup, ordinal_quality, packing, quality_rules, simhash, suffix_dedup, toxicity, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +115,21 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.removals(table(spark, folder, "documents"))
+
+
+@query()
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels"))).drop("spans")
+
+
+def grades() -> Column:
+    """Ratings from the labels: 0 low quality, 1 good but toxic, 2 good."""
+    return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+
+
+@query()
+def op9_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = ordinal_quality.fit(docs, table(spark, folder, "labels"), grades(), 3)
+    return ordinal_quality.score(docs, model)
