@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assay.llm import (
-    exact_dedup, ordinal_quality, packing, quality_rules, simhash, suffix_dedup, toxicity, warc)
+    exact_dedup, html_text, ordinal_quality, packing, quality_rules, sentencepiece_scan, simhash, suffix_dedup,
+    toxicity, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +134,33 @@ def op9_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = ordinal_quality.fit(docs, table(spark, folder, "labels"), grades(), 3)
     return ordinal_quality.score(docs, model)
+
+
+@query()
+def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = tokenizer_file("piece_bpe_32k.model")
+    encoded = sentencepiece_scan.encode(table(spark, folder, "documents"), vocabulary)
+    return sentencepiece_scan.digest(encoded, vocabulary)
+
+
+def _decoded(expression: str) -> str:
+    """SQL that decodes the references that occur in the given pages."""
+    for pattern, mark in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#x27;|&#39;", "''"), ("&amp;?", "&")):
+        expression = f"regexp_replace({expression}, '{pattern}', '{mark}', 'g')"
+    return expression
+
+
+@query(rf"""
+WITH a AS (
+    SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS x FROM pages),
+blocks AS (
+    SELECT page_id, url, list_transform(
+        regexp_split_to_array(x, '</?(h1|p)>'),
+        lambda b: trim(regexp_replace({_decoded("regexp_replace(b, '<[^>]*>', ' ', 'g')")}, '\s+', ' ', 'g'))) AS b
+    FROM a)
+SELECT page_id, url, array_to_string(list_filter(b, lambda t: t <> ''), chr(10)) AS text,
+       length(array_to_string(list_filter(b, lambda t: t <> ''), chr(10)))::BIGINT AS n_chars
+FROM blocks
+""")
+def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
