@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import pandas as pd
@@ -101,3 +102,34 @@ def f_upper(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def chi2_upper(x: pd.Series, k: pd.Series) -> pd.Series:
     return _rowwise(lambda v, d: upper_gamma(d / 2.0, v / 2.0) if d > 0 else None, x, k)
+
+
+@functools.cache
+def _u_tail(n: int, m: int) -> tuple[float, ...]:
+    """P(U >= u) for u = 0 .. n * m, without ties."""
+    counts = [1]
+    for i in range(1, n + 1):  # multiply by (1 - x^(m + i)) / (1 - x^i)
+        wide = counts + [0] * (m + i)
+        for u in range(len(wide) - 1, m + i - 1, -1):
+            wide[u] -= wide[u - m - i]
+        for u in range(i, len(wide)):
+            wide[u] += wide[u - i]
+        counts = wide[: i * m + 1]
+    total, above, out = sum(counts), 0, []
+    for c in reversed(counts):
+        above += c
+        out.append(above / total)
+    return tuple(reversed(out))
+
+
+@F.pandas_udf(T.DoubleType())
+def exact_u_two_sided(n_a: pd.Series, n_b: pd.Series, u: pd.Series) -> pd.Series:
+    """Exact two-sided p of the Mann-Whitney statistic; NULL where ``u`` is."""
+    out = []
+    for a, b, x in zip(n_a, n_b, u):
+        if x is None or x != x:
+            out.append(None)
+            continue
+        a, b = sorted((int(a), int(b)))
+        out.append(min(1.0, 2.0 * _u_tail(a, b)[math.ceil(max(x, a * b - x))]))
+    return pd.Series(out, dtype="float64")

@@ -8,12 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.columns import clean, quoted
 from assay.functions.order_stats import exact_quantiles, value_positions
-from assay.functions.tails import chi2_upper, f_upper, normal_two_sided, t_two_sided
+from assay.functions.tails import chi2_upper, exact_u_two_sided, f_upper, normal_two_sided, t_two_sided
+
+#: Levels of the second factor that one system of equations takes.
+MAX_SOLVED_LEVELS = 2000
+#: Exact Mann-Whitney p: values of the smaller side, and product of both sizes.
+EXACT_SIDE, EXACT_CELLS = 8, 10_000
 
 
 def _rows(df: DataFrame, by: Sequence[str], group: str, value: str) -> DataFrame:
@@ -74,7 +80,8 @@ def _group_ranks(rows: DataFrame, by: Sequence[str], **split) -> DataFrame:
 
 def mann_whitney(df: DataFrame, by: Sequence[str], group: str, value: str, first, second,
                  **split) -> DataFrame:
-    """Two-sided Mann-Whitney U with tie and continuity correction.
+    """Two-sided Mann-Whitney U: exact p without ties if a side has at most ``EXACT_SIDE``
+    values, else the normal one with tie and continuity correction.
 
     A side with fewer than two values gives (0, 1).
     """
@@ -100,8 +107,10 @@ def with_u_test(wide: DataFrame) -> DataFrame:
     big = F.greatest(F.col("u"), na * nb - F.col("u"))
     sigma = F.sqrt(na * nb / 12.0 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
     out = out.withColumn("__z", F.when(enough, F.try_divide(big - na * nb / 2.0 - 0.5, sigma)))
-    return out.withColumn("p", F.coalesce(F.when(F.col("__z") < 0, 1.0).otherwise(
-        normal_two_sided("__z")), F.lit(1.0))).drop("__z")
+    rough = F.coalesce(F.when(F.col("__z") < 0, 1.0).otherwise(normal_two_sided("__z")), F.lit(1.0))
+    small = (F.least("n_a", "n_b") <= EXACT_SIDE) & (na * nb <= EXACT_CELLS) & (F.col("ties") == 0) & enough
+    return out.withColumn("p", rough).withColumn("p", F.when(
+        small, exact_u_two_sided("n_a", "n_b", F.when(small, F.col("u")))).otherwise(F.col("p"))).drop("__z")
 
 
 def anova(df: DataFrame, by: Sequence[str], group: str, value: str) -> DataFrame:
@@ -202,11 +211,34 @@ def tukey_q(df: DataFrame, by: Sequence[str], group: str, value: str) -> DataFra
         F.abs(F.try_divide(F.col("mean_a") - F.col("mean_b"), se)).alias("q"), "k", "df_within")
 
 
+def _adjusted_square(cells: DataFrame) -> float | None:
+    """Sum of squares of ``b`` given ``a``, from the normal equations of the levels of ``b``."""
+    levels = [r[0] for r in cells.select("b").distinct().limit(MAX_SOLVED_LEVELS + 1).collect()]
+    if len(levels) > MAX_SOLVED_LEVELS:
+        return None
+    place = {v: i for i, v in enumerate(levels)}
+    of_a = cells.groupBy("a").agg(F.sum("n").alias("na"), F.sum("s").alias("sa"))
+    rows = cells.join(of_a, "a")
+    own = rows.groupBy("b").agg(F.sum("n").alias("n"), F.sum(
+        F.col("s") - F.col("n") * F.col("sa") / F.col("na")).alias("r")).collect()
+    both = rows.alias("x").join(cells.alias("y"), F.col("x.a") == F.col("y.a")).groupBy("x.b", F.col("y.b").alias("c")).agg(
+        F.sum(F.col("x.n") * F.col("y.n") / F.col("x.na")).alias("w")).collect()
+    matrix, right = np.zeros((len(levels), len(levels))), np.zeros(len(levels))
+    for r in own:
+        matrix[place[r.b], place[r.b]] += r.n
+        right[place[r.b]] = r.r
+    for r in both:
+        matrix[place[r.b], place[r.c]] -= r.w
+    return float(right @ np.linalg.pinv(matrix, hermitian=True) @ right) if levels else 0.0
+
+
 def two_way_anova(df: DataFrame, a: str, b: str, value: str) -> DataFrame:
     """Two-way analysis of variance with interaction from cell sums.
 
-    Sums of squares are sequential for ``a`` and marginal for ``b``; they are the
-    usual ones when the cells are of equal size.
+    Sums of squares are sequential: ``a``, then ``b`` given ``a``, then the interaction
+    given both. For cells of equal size they are the usual ones. ``b`` given ``a`` solves
+    one equation per level of ``b``; beyond ``MAX_SOLVED_LEVELS`` levels it and the
+    interaction are NULL.
     """
     v = clean(df, value).cast("double")
     rows = df.select(quoted(a).alias("a"), quoted(b).alias("b"), v.alias("v")).dropna()
@@ -214,6 +246,7 @@ def two_way_anova(df: DataFrame, a: str, b: str, value: str) -> DataFrame:
     cells = rows.join(F.broadcast(centre), F.lit(True)).withColumn(
         "d", F.col("v") - F.col("centre")).groupBy("a", "b").agg(
         F.count("d").alias("n"), F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("q"))
+    given = _adjusted_square(cells)
     sets = cells.groupingSets([["a", "b"], ["a"], ["b"], []], "a", "b").agg(
         F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"),
         F.grouping_id().alias("gid"))
@@ -222,11 +255,10 @@ def two_way_anova(df: DataFrame, a: str, b: str, value: str) -> DataFrame:
     def at(gid: int, c: Column) -> Column:
         return F.sum(F.when(F.col("gid") == gid, c))
     one = sets.agg(
-        at(0, part).alias("cell"), at(1, part).alias("pa"), at(2, part).alias("pb"),
-        at(3, part).alias("all"), at(3, F.col("q")).alias("q"), at(3, F.col("n")).alias("n"),
+        at(0, part).alias("cell"), at(1, part).alias("pa"), at(3, part).alias("all"), at(3, F.col("q")).alias("q"), at(3, F.col("n")).alias("n"),
         at(0, F.lit(1)).alias("kc"), at(1, F.lit(1)).alias("ka"), at(2, F.lit(1)).alias("kb"))
-    ss_a, ss_b = F.col("pa") - F.col("all"), F.col("pb") - F.col("all")
-    ss_ab = F.col("cell") - F.col("all") - ss_a - ss_b
+    ss_a, ss_b = F.col("pa") - F.col("all"), F.lit(given).cast("double")
+    ss_ab = F.greatest(F.col("cell") - F.col("all") - ss_a - ss_b, F.lit(0.0))
     ss_e = F.col("q") - F.col("cell")
     df_a, df_b = F.col("ka") - 1, F.col("kb") - 1
     df_ab, df_e = F.col("kc") - F.col("ka") - F.col("kb") + 1, F.col("n") - F.col("kc")

@@ -37,6 +37,10 @@ def l2_normalise(vector: Column) -> Column:
 
 def _best_of_batch(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best rows, equal scores by id."""
+    if len(scores) > 4 * k:
+        least = np.partition(scores, len(scores) - k)[len(scores) - k]
+        near = np.flatnonzero(scores >= least)
+        return near[np.lexsort((ids[near], -scores[near]))[:k]]
     return np.lexsort((ids, -scores))[:k]
 
 
@@ -44,17 +48,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, row_id: str = "id",
           query_id: str = "query_id") -> DataFrame:
     """Exact top ``k`` rows by dot product for every query.
 
-    Queries go out in passes of a fixed number of vectors. Each task multiplies its
-    rows by them and keeps its own k best, so only k rows per query and batch are
-    shuffled to the final ranking.
+    Queries go out in passes of a fixed number of vectors of one length. Each task
+    multiplies its rows by them and keeps its own k best, so only k rows per query and
+    batch are shuffled to the final ranking. Vectors that are NULL, empty or hold a NULL
+    match nothing, and vectors match only those of their own length.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(quoted(row_id).alias("id"), quoted(vector).cast("array<double>").alias("v"))
+    whole = lambda c: F.coalesce((F.size(c) > 0) & F.forall(c, lambda x: x.isNotNull()), F.lit(False))
+    rows = vectors.select(quoted(row_id).alias("id"), quoted(vector).cast("array<double>").alias("v")).filter(
+        whole(F.col("v")))
     schema = f"query_id {dict(queries.dtypes)[query_id]}, id {dict(vectors.dtypes)[row_id]}, score double"
     arrow = to_arrow_schema(T.StructType([
         T.StructField("query_id", queries.schema[query_id].dataType),
         T.StructField("id", vectors.schema[row_id].dataType), T.StructField("score", T.DoubleType())]))
-    passes, block = [], []
+    passes = []
+    blocks: dict[int, list] = {}
 
     def scan(qs: list) -> DataFrame:
         names = spark.sparkContext.broadcast([q[0] for q in qs])
@@ -75,15 +83,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, row_id: str = "id",
                     out_s += dots[best, j].tolist()
                 yield pa.RecordBatch.from_pydict(
                     {"query_id": out_q, "id": out_i, "score": out_s}, schema=arrow)
-        return rows.mapInArrow(score, schema)
+        return rows.filter(F.size("v") == len(qs[0][1])).mapInArrow(score, schema)
 
-    for q in queries.select(quoted(query_id), quoted(vector).cast("array<double>")).toLocalIterator():
+    asked = queries.select(quoted(query_id), quoted(vector).cast("array<double>").alias("v")).filter(whole(F.col("v")))
+    for q in asked.toLocalIterator():
+        block = blocks.setdefault(len(q[1]), [])
         block.append((q[0], q[1]))
         if len(block) == QUERIES_PER_PASS:
             passes.append(scan(block))
-            block = []
-    if block:
-        passes.append(scan(block))
+            blocks[len(q[1])] = []
+    passes += [scan(block) for block in blocks.values() if block]
     out = spark.createDataFrame([], schema)
     for p in passes:
         out = out.unionByName(p)

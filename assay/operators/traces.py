@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.functions.columns import clean, quoted
+from assay.functions.columns import clean, present, quoted
 from assay.functions.order_stats import ROWS_PER_PIECE, cut_points, exact_quantiles, value_positions
 
 # Fixed values of the signal rules.
@@ -36,14 +36,28 @@ SEGMENT, CORE = "__segment", "__core"
 
 
 def segmented(df: DataFrame, trace: Sequence[str], x: str, halo: int, tie: Sequence[str] = (), *,
-              rows_per_segment: int = ROWS_PER_PIECE, small: bool | None = None) -> DataFrame:
+              rows_per_segment: int = ROWS_PER_PIECE, small: bool | None = None, keep: bool = False) -> DataFrame:
     """Add ``__segment`` and ``__core``; each core row sees ``halo`` neighbours on both sides.
 
     Small tables keep one segment per trace. Larger ones get an exact row number
     per trace from value positions, and rows near a segment end are copied into
     the neighbouring segment as non-core rows. ``small`` passes on a size check
-    already made.
+    already made. A row without an axis value or trace key has no place on any
+    trace, whatever the size of the table: with ``keep`` it stays, alone in a
+    segment of its own, else it is left out.
     """
+    placed = present(df, x)
+    for t in trace:
+        placed = placed & quoted(t).isNotNull()
+    alone = (df.filter(~placed).withColumn(SEGMENT, -1 - F.monotonically_increasing_id())
+             .withColumn(CORE, F.lit(True))) if keep else None
+    df = df.filter(placed)
+    rows = _cut(df, trace, x, halo, tie, rows_per_segment, small)
+    return rows.unionByName(alone) if keep else rows
+
+
+def _cut(df: DataFrame, trace: Sequence[str], x: str, halo: int, tie: Sequence[str],
+         rows_per_segment: int, small: bool | None) -> DataFrame:
     if small is None:
         small = not cut_points(df, x, rows_per_segment)
     if small:
@@ -51,7 +65,9 @@ def segmented(df: DataFrame, trace: Sequence[str], x: str, halo: int, tie: Seque
     keys = [quoted(t) for t in trace]
     pos = value_positions(df, trace, x, rows_per_piece=rows_per_segment).select(
         *keys, quoted(x), "before")
-    among = Window.partitionBy(*keys, quoted(x)).orderBy(*[quoted(t) for t in tie] or [F.lit(0)])
+    # Without a tie key the rest of the row decides, so that retried tasks agree.
+    among = Window.partitionBy(*keys, quoted(x)).orderBy(
+        *[quoted(t) for t in tie] or [F.xxhash64(*[quoted(c) for c in df.columns])])
     row = df.join(pos, [*trace, x]).withColumn(
         "__row", F.col("before") + F.row_number().over(among) - 1).drop("before")
     home = F.floor(F.col("__row") / rows_per_segment)
@@ -75,7 +91,7 @@ def rolling_baseline(df: DataFrame, trace: Sequence[str], x: str, y: str, tie: S
                      window: int = BASELINE_WINDOW, **kw) -> DataFrame:
     """Rolling minimum around each point and the signal above it."""
     half = window // 2
-    rows = segmented(df, trace, x, window, tie, **kw)
+    rows = segmented(df, trace, x, window, tie, keep=True, **kw)
     w = _window(trace, x, tie).rowsBetween(-half, window - half - 1)
     return _core(rows.withColumn("baseline", F.min(clean(df, y)).over(w)).withColumn(
         "corrected", quoted(y) - F.col("baseline")))
@@ -105,7 +121,7 @@ def smooth(df: DataFrame, trace: Sequence[str], x: str, y: str, tie: Sequence[st
     fewer than ``min_points`` points.
     """
     half = window // 2
-    rows = segmented(df, trace, x, half, tie, **kw)
+    rows = segmented(df, trace, x, half, tie, keep=True, **kw)
     w = _window(trace, x, tie)
     dot = None
     for k, weight in enumerate(smoothing_weights(window, order), -half):
@@ -114,7 +130,7 @@ def smooth(df: DataFrame, trace: Sequence[str], x: str, y: str, tie: Sequence[st
     # A missing neighbour makes the sum NULL, so only complete windows count.
     out = _core(rows.withColumn("__dot", dot))
     sizes = df.groupBy(*[quoted(t) for t in trace]).agg(F.count(F.lit(1)).alias("__points"))
-    return out.join(sizes, list(trace)).withColumn("smoothed", F.when(
+    return out.join(sizes, list(trace), "left").withColumn("smoothed", F.when(
         (F.col("__points") >= min_points) & F.col("__dot").isNotNull(), F.col("__dot")
     ).otherwise(quoted(y))).drop("__dot", "__points")
 
@@ -360,10 +376,12 @@ def trace_summary(df: DataFrame, trace: Sequence[str], x: str, y: str,
 
 
 def whittaker_baseline(y: np.ndarray, lam: float, p: float, rounds: int) -> np.ndarray:
-    """Penalised least-squares baseline of one stretch of signal."""
+    """Penalised least-squares baseline of one stretch of signal; missing points weigh nothing."""
     n = len(y)
-    if n < 3:
+    seen = ~np.isnan(y)
+    if n < 3 or seen.sum() < 3:
         return y.copy()
+    y = np.where(seen, y, 0.0)
     main = np.full(n, 6.0)
     main[[0, -1]], main[[1, -2]] = 1.0, 5.0
     one = np.full(n - 1, -4.0)
@@ -371,7 +389,7 @@ def whittaker_baseline(y: np.ndarray, lam: float, p: float, rounds: int) -> np.n
     if n == 3:
         main, one = np.array([1.0, 4.0, 1.0]), np.array([-2.0, -2.0])
     two = np.ones(n - 2)
-    w, z = np.ones(n), y
+    w, z = seen.astype(float), y
     for _ in range(rounds):
         d, l1, l2 = np.empty(n), np.zeros(n), np.zeros(n)
         a0, a1, a2 = w + lam * main, lam * one, lam * two
@@ -388,7 +406,7 @@ def whittaker_baseline(y: np.ndarray, lam: float, p: float, rounds: int) -> np.n
         z = z / d
         for i in range(n - 2, -1, -1):
             z[i] -= l1[i] * z[i + 1] + (l2[i] * z[i + 2] if i < n - 2 else 0.0)
-        w = np.where(y > z, p, 1.0 - p)
+        w = np.where(y > z, p, 1.0 - p) * seen
     return z
 
 
@@ -402,7 +420,7 @@ def asymmetric_baseline(df: DataFrame, trace: Sequence[str], x: str, y: str,
     lengths, beyond which it is below rounding error.
     """
     halo = int(60 * (lam / min(p, 1 - p)) ** 0.25) + 3
-    rows = segmented(df, trace, x, halo, tie, rows_per_segment=max(rows_per_segment, 2 * halo))
+    rows = segmented(df, trace, x, halo, tie, rows_per_segment=max(rows_per_segment, 2 * halo), keep=True)
     schema = T.StructType([*rows.schema.fields, T.StructField("baseline", T.DoubleType())])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -13,6 +13,8 @@ from assay.functions.columns import clean
 # Fixed values of the grouping rules.
 MIN_GROUPS = 2
 MAX_GROUPS = 500
+#: Key sets of one pass over the table, and columns they may name.
+SETS_PER_BATCH, COLUMNS_PER_BATCH = 256, 30
 MIN_ROWS_PER_GROUP = 5
 IDEAL_GROUP_RANGE = (5, 200)
 MAX_KEY_COLUMNS = 3
@@ -65,14 +67,29 @@ def group_sizes(df: DataFrame, keys: Sequence[Sequence[str]],
     Rows lacking any column of a key are left out of that key only. All keys are
     grouping sets over the finest aggregate, so the table is read and shuffled once.
     """
+    batches: list[list[int]] = []
+    held: set[str] = set()
+    for i, key in enumerate(keys):
+        if not batches or len(held | set(key)) > COLUMNS_PER_BATCH or len(batches[-1]) == SETS_PER_BATCH:
+            batches.append([])
+            held = set()
+        batches[-1].append(i)
+        held |= set(key)
+    if len(batches) > 1:
+        parts = [group_sizes(df, [keys[i] for i in own], measures).withColumn(
+            "key_id", F.array(*[F.lit(i) for i in own])[F.col("key_id")]) for own in batches]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part, allowMissingColumns=True)
+        return out
     columns = list(dict.fromkeys(c for key in keys for c in key))
     sets = [[columns.index(c) for c in key] for key in keys]
     fine = _finest(df, columns, measures)
     carried = ["n", *[f"{p}{i}" for i in range(len(measures)) for p in ("s", "c")]]
     out = key_sets(fine, len(columns), sets, [F.sum(c).alias(c) for c in carried])
-    ids = F.create_map(*[F.lit(x) for i, s in enumerate(sets)
-                         for x in (set_id(len(columns), s), i)])
-    return out.withColumn("key_id", ids[F.col("__gid").cast("int")]).drop("__gid")
+    ids = F.create_map(*[x for i, s in enumerate(sets)
+                         for x in (F.lit(set_id(len(columns), s)).cast("long"), F.lit(i))])
+    return out.withColumn("key_id", ids[F.col("__gid").cast("long")]).drop("__gid")
 
 
 def grouping_score(groups: Column, smallest: Column, size_cv: Column, coverage: Column,

@@ -14,6 +14,8 @@ from assay.plans.groupings import key_sets, set_id
 # Fixed values of the relation rules.
 RELATIONSHIP_MAX_CARDINALITY = 5000
 CROSSING_FILL_THRESHOLD = 0.8
+#: Columns of one pass; Spark's grouping sets end at 64.
+COLUMNS_PER_BATCH = 30
 
 
 def pair_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -22,6 +24,20 @@ def pair_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     The table is first reduced to its distinct combinations, so the pairs are
     built from that reduction and not from the rows.
     """
+    columns = list(columns)
+    if len(columns) > COLUMNS_PER_BATCH:
+        half = COLUMNS_PER_BATCH // 2
+        blocks = [columns[i:i + half] for i in range(0, len(columns), half)]
+        # a pair inside one block is met with every partner block, and counted with the first
+        out, met = None, set()
+        for a, b in combinations(range(len(blocks)), 2):
+            part = pair_counts(df, blocks[a] + blocks[b])
+            for own in (a, b):
+                if own in met:
+                    part = part.filter(~(F.col("col_a").isin(blocks[own]) & F.col("col_b").isin(blocks[own])))
+            met |= {a, b}
+            out = part if out is None else out.unionByName(part)
+        return out
     width = len(columns)
     combos = df.select(*[clean(df, c).alias(f"k{i}") for i, c in enumerate(columns)]).distinct()
     members = list(combinations(range(width), 2))

@@ -296,7 +296,15 @@ WITH x AS (SELECT o_orderstatus AS a, o_orderpriority AS b,
              o_totalprice - (SELECT avg(o_totalprice) FROM orders) AS d FROM orders),
 t AS (SELECT pow(sum(d), 2) / count(*) AS cf, sum(d * d) AS q, count(*) AS n FROM x),
 sa AS (SELECT sum(p) AS p, count(*) AS k FROM (SELECT pow(sum(d), 2) / count(*) AS p FROM x GROUP BY a)),
-sb AS (SELECT sum(p) AS p, count(*) AS k FROM (SELECT pow(sum(d), 2) / count(*) AS p FROM x GROUP BY b)),
+c AS (SELECT a, b, count(*) AS n, sum(d) AS s FROM x GROUP BY a, b),
+w AS (SELECT b, sum(n) AS n, sum(s) AS s, sum(CASE WHEN a = 'F' THEN n ELSE 0 END) AS nf, sum(CASE WHEN a = 'O' THEN n ELSE 0 END) AS no,
+             sum(CASE WHEN a = 'F' THEN s ELSE 0 END) AS sf, sum(CASE WHEN a = 'O' THEN s ELSE 0 END) AS so FROM c GROUP BY b),
+m AS (SELECT sum(nf - nf * nf / n) AS ff, sum(no - no * no / n) AS oo, -sum(nf * no / n) AS fo,
+             sum(sf - nf * s / n) AS rf, sum(so - no * s / n) AS ro FROM w),
+-- the first factor (three levels) given the second, so that both orders add up to the same model
+ab AS (SELECT (oo * rf * rf - 2 * fo * rf * ro + ff * ro * ro) / (ff * oo - fo * fo) AS p FROM m),
+sm AS (SELECT sum(p) AS p, count(*) AS k FROM (SELECT pow(sum(d), 2) / count(*) AS p FROM x GROUP BY b)),
+sb AS (SELECT sm.p + ab.p - sa.p + cf AS p, sm.k AS k FROM sm, ab, sa, t),
 sc AS (SELECT sum(p) AS p, count(*) AS k FROM (SELECT pow(sum(d), 2) / count(*) AS p FROM x GROUP BY a, b)),
 e AS (SELECT (q - sc.p) / (n - sc.k) AS mse, q - cf AS sst FROM t, sc)
 SELECT 'o_orderstatus' AS source, sa.k - 1 AS df, round((sa.p - cf) / (sa.k - 1) / mse, 5) AS f,

@@ -128,3 +128,17 @@ def test_row_order_does_not_matter(runs):
     b = C.value_counts(runs.orderBy(F.rand(1)).repartition(7), ["stage", "tag"], 3).orderBy(
         "name", "position").collect()
     assert a == b
+
+
+def test_forty_columns_have_pairs_and_groupings(spark):
+    from assay.plans.groupings import group_sizes
+    from assay.plans.relations import pair_counts
+
+    names = [f"c{i}" for i in range(40)]
+    df = spark.range(60).selectExpr(*[f"CAST(id % {i % 5 + 2} AS STRING) AS c{i}" for i in range(40)])
+    pairs = pair_counts(df, names).collect()
+    assert len(pairs) == 780 == len({(r.col_a, r.col_b) for r in pairs})
+    got = {(r.col_a, r.col_b): r.n_ab for r in pairs}
+    assert got.get(("c0", "c39"), got.get(("c39", "c0"))) == df.select("c0", "c39").distinct().count()
+    sizes = group_sizes(df, [[n] for n in names] + [["c0", "c39"]]).groupBy("key_id").agg({"n": "sum"}).collect()
+    assert len(sizes) == 41 and all(r[1] == 60 for r in sizes)

@@ -161,3 +161,13 @@ def test_permutation_importance(spark):
     model = LinearRegression(labelCol="target").fit(L.assemble(df, ["x", "z"]))
     got = {r["feature"]: r["importance"] for r in L.permutation_importance(model, df, "id", ["x", "z"]).collect()}
     assert got["x"] > 1.0 and abs(got["z"]) < 0.1
+
+
+def test_nearest_rows_with_missing_vectors(spark):
+    from assay.operators.retrieval import top_k
+
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (4, [1.0]), (5, []), (6, [None, 1.0]), (7, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    asked = spark.createDataFrame([(10, [1.0, 0.1]), (11, None), (12, [2.0])], "query_id long, embedding array<double>")
+    got = {(r.query_id, r.position): r.id for r in top_k(df, asked, 2).collect()}
+    assert got == {(10, 1): 1, (10, 2): 7, (12, 1): 4}

@@ -191,3 +191,37 @@ def test_trimmed_mean(spark):
     got = {r["u"]: r for r in E.aggregate_judgments(df, ["u"], "s", "trimmed_mean").collect()}
     assert (got["a"]["mean"], got["a"]["min"], got["a"]["max"], got["a"]["n"]) == (5.0, 1.0, 9.0, 5)
     assert (got["b"]["mean"], got["b"]["std"]) == (3.0, 1.0)
+
+
+def test_two_way_anova_with_unequal_cells(spark):
+    rows = [("x", "p", v) for v in (1.0, 2.0, 4.0, 3.0, 2.5)] + [("x", "q", v) for v in (5.0, 7.0)]
+    rows += [("y", "p", v) for v in (9.0,)] + [("y", "q", v) for v in (2.0, 1.0, 0.5, 3.0, 2.2, 1.1)]
+    df = spark.createDataFrame(rows, "a string, b string, v double")
+    got = {r.source: r for r in H.two_way_anova(df, "a", "b", "v").collect()}
+    y = np.array([r[2] for r in rows])
+    a, b = (np.array([float(r[i] == k) for r in rows]) for i, k in ((0, "x"), (1, "p")))
+
+    def residual(*columns):
+        x = np.stack([np.ones(len(y)), *columns], 1)
+        return float(((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2).sum())
+
+    steps = [residual(), residual(a), residual(a, b), residual(a, b, a * b)]
+    for name, high, low in zip(("a", "b", "a:b"), steps, steps[1:]):
+        assert abs(got[name].ss - (high - low)) < 1e-9 and got[name].ss >= 0
+
+
+def test_exact_mann_whitney_of_small_samples(spark):
+    first, second = [1.1, 2.3, 0.4, 5.5], [3.3, 6.1, 7.2, 8.8, 2.9]
+    df = spark.createDataFrame([("a", v) for v in first] + [("b", v) for v in second], "g string, v double")
+    got = H.mann_whitney(df, [], "g", "v", "a", "b").first()
+    every = first + second
+    us = [sum(x > y for x in pick for y in set(every) - set(pick)) for pick in itertools.combinations(every, len(first))]
+    big = max(got.u, len(first) * len(second) - got.u)
+    assert abs(got.p - min(1.0, 2 * sum(u >= big for u in us) / len(us))) < 1e-12
+
+
+def test_small_sample_p_against_known_tables():
+    from assay.functions.tails import _u_tail
+
+    assert abs(_u_tail(3, 3)[9] - 1 / 20) < 1e-12 and _u_tail(3, 3)[0] == 1.0
+    assert abs(_u_tail(2, 4)[8] - 1 / 15) < 1e-12 and len(_u_tail(5, 40)) == 201

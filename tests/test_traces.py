@@ -99,3 +99,19 @@ def test_quality_formulas(spark):
     tri = spark.createDataFrame([("a", 0.0, 0.0), ("a", 2.0, 10.0), ("a", 6.0, 0.0)], "t string, x double, y double")
     r = T.peak_symmetry(tri, ["t"], "x", "y").first()
     assert r["asymmetry"] == pytest.approx(2.0) and r["tailing"] == pytest.approx(1.5)
+
+
+def test_rows_without_a_place_stay_in_every_size(spark):
+    rows = [(i % 2, float(i), float((i * 7) % 13)) for i in range(120)] + [(0, None, 5.0), (0, float("nan"), 6.0), (None, 3.0, 7.0)]
+    df = spark.createDataFrame(rows, "t int, x double, y double")
+    for job in (T.rolling_baseline, T.smooth):
+        small = sorted(map(repr, job(df, ["t"], "x", "y").collect()))
+        large = sorted(map(repr, job(df, ["t"], "x", "y", rows_per_segment=20).collect()))
+        assert small == large and len(small) == len(rows)
+
+
+def test_a_missing_point_does_not_void_the_baseline(spark):
+    rows = [(1, float(i), None if i == 30 else 2.0 + 0.01 * i) for i in range(60)]
+    df = spark.createDataFrame(rows, "t int, x double, y double")
+    got = T.asymmetric_baseline(df, ["t"], "x", "y").collect()
+    assert len(got) == 60 and all(r.baseline == r.baseline and abs(r.baseline - 2.3) < 0.5 for r in got)
