@@ -44,7 +44,12 @@ def containment(terms: DataFrame, texts: DataFrame, by: Sequence[str], term: str
             starts, lambda i: F.array_join(F.slice("__chars", i, F.lit(n)), "")))
 
     every = F.flatten(F.array(*[runs(n) for n in sizes])) if sizes else F.array().cast("array<string>")
-    cut = texts.withColumn("__chars", F.split(quoted(text), "")).withColumn(
-        "__block", F.explode(every)).drop("__chars")
-    return t.join(cut, [*by, "__block"]).filter(F.contains(quoted(text), quoted(term))).drop(
-        "__block")
+    # Only hashes of the rows meet at a run; whole rows come back for the pairs that remain.
+    t = t.withColumn("__term", F.xxhash64(*[quoted(c) for c in terms.columns]))
+    whole = texts.withColumn("__text", F.xxhash64(*[quoted(c) for c in texts.columns]))
+    cut = whole.withColumn("__chars", F.split(quoted(text), "")).select(
+        *[quoted(b) for b in by], "__text", F.explode(every).alias("__block"))
+    near = t.select(*[quoted(b) for b in by], "__block", "__term").join(cut, [*by, "__block"]).select(
+        *[quoted(b) for b in by], "__term", "__text").distinct()
+    return near.join(t.drop("__block"), [*by, "__term"]).join(whole, [*by, "__text"]).filter(
+        F.contains(quoted(text), quoted(term))).drop("__term", "__text")

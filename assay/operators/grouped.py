@@ -87,6 +87,7 @@ def backfill_findings(metrics: DataFrame, k: int = 3) -> DataFrame:
     """The ``k`` largest relative deviations, one per metric, as finding text."""
     worst = deviations(metrics.filter(F.col("value").isNotNull()), 1).filter(
         (F.col("groups") >= 2) & (F.col("metric_mean") != 0) & (F.col("metric_std") > 0))
+    # Fixed output format of a finding; other checks read these words.
     text = F.concat(
         F.col("group_key"), F.lit(" shows "), F.format_string("%.1f", F.col("relative_pct")),
         F.when(F.col("value") > F.col("metric_mean"), "% above").otherwise("% below"),

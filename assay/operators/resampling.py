@@ -25,6 +25,11 @@ def draw(replicate: Column, position: Column, seed: int = 42) -> Column:
     return (b * b + r + F.lit(1)) % F.lit(MODULUS)
 
 
+def wide_draw(replicate: Column, position: Column, seed: int = 42) -> Column:
+    """Pseudo-random integer below 2^62 from two draws, so that groups of any size are reached."""
+    return draw(replicate, position, seed) * F.lit(MODULUS) + draw(replicate, position, seed + 1)
+
+
 def indexed_values(df: DataFrame, keys: Sequence[str], value: str, **split) -> DataFrame:
     """(keys, position, v, n): values of each group numbered from 0 in value order."""
     rows = df.select(*[quoted(k) for k in keys], clean(df, value).cast("double").alias("v"))
@@ -47,7 +52,7 @@ def bootstrap_means(df: DataFrame, keys: Sequence[str], value: str, replicates:
     picks = rows.select(*by, "position", "n", F.explode(F.sequence(
         F.lit(1), F.lit(replicates))).alias("replicate"))
     picks = picks.select(*by, "replicate", (
-        draw(F.col("replicate"), F.col("position"), seed) % F.col("n")).alias("position"))
+        wide_draw(F.col("replicate"), F.col("position"), seed) % F.col("n")).alias("position"))
     return picks.join(rows.select(*by, "position", "v"), [*keys, "position"]).groupBy(
         *by, "replicate").agg(F.avg("v").alias("stat"))
 
@@ -107,7 +112,7 @@ def bootstrap_effect(df: DataFrame, keys: Sequence[str], side: str, value: str,
     shift = F.when(quoted(side) == "a", F.lit(0)).otherwise(F.lit(7_000_003))
     picks = rows.select(*by, quoted(side), "position", "n", F.explode(F.sequence(
         F.lit(1), F.lit(replicates))).alias("replicate"))
-    picks = picks.select(*by, quoted(side), "replicate", (draw(
+    picks = picks.select(*by, quoted(side), "replicate", (wide_draw(
         F.col("replicate") + shift, F.col("position"), seed) % F.col("n")).alias("position"))
     moments = picks.join(rows.drop("n"), [*keys, side, "position"]).groupBy(
         *by, "replicate", quoted(side)).agg(

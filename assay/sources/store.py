@@ -46,16 +46,19 @@ def rank_positions(scores: DataFrame, method: str = "ranking_method", score: str
 
 
 def comparison_set_hash(games: DataFrame) -> DataFrame:
-    """One hash for a whole set of games, whatever their order and number.
+    """One SHA-256 for a whole set of games, whatever their order.
 
-    Row hashes are summed and xored, so nothing is gathered in one place.
+    Equal games are counted first. Each run's list of (opponent, winner, count) is hashed,
+    then the list of runs with their hashes; a list is as long as there are opponents or runs.
     """
-    row = F.xxhash64("run_a", "run_b", "winner")
-    return games.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(row.cast("decimal(38,0)")).alias("s"),
-        F.bit_xor(row).alias("x")).select(F.substring(F.sha2(F.concat_ws(
-            ":", F.col("n").cast("string"), F.col("s").cast("string"),
-            F.col("x").cast("string")), 256), 1, 16).alias("comparison_set_hash"))
+    def listed(parts: Column) -> Column:
+        return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(parts)), lambda x: x["text"]), ";"), 256)
+
+    counts = games.groupBy("run_a", "run_b", "winner").agg(F.count(F.lit(1)).alias("n"))
+    text = F.concat_ws(",", "run_b", "winner", F.col("n").cast("string"))
+    runs = counts.groupBy("run_a").agg(listed(F.struct("run_b", "winner", text.alias("text"))).alias("h"))
+    return runs.agg(F.substring(listed(F.struct("run_a", F.concat_ws("=", "run_a", "h").alias("text"))), 1, 16).alias(
+        "comparison_set_hash"))
 
 
 def replace_rankings(rankings: DataFrame, path: str) -> None:

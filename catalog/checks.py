@@ -100,16 +100,23 @@ def figure_coverage(spark, d):
 
 
 @query("""
-WITH p AS (SELECT o_custkey AS run, CASE WHEN o_orderstatus = 'F' THEN 0.03 ELSE round(o_totalprice / 1e7, 2) END AS p FROM orders)
-SELECT run, min(round(p, 10)) <> max(round(p, 10)) AS passed FROM p GROUP BY run HAVING count(*) >= 3""")
+WITH o AS (SELECT o_custkey AS run, o_totalprice AS size, o_orderpriority LIKE '1%' AS told, CASE WHEN o_custkey % 5 = 0 THEN 0.0
+    WHEN o_orderstatus = 'F' THEN 0.03 ELSE round(o_totalprice / 1e7, 2) END AS p FROM orders),
+p AS (SELECT run, p FROM o WHERE NOT told UNION ALL SELECT run, 0.03 FROM o WHERE told AND run % 5 <> 0),
+s AS (SELECT run, quantile_disc(size, 0.5 + 1e-9) > 10000 AS large FROM (
+        SELECT run, size, row_number() OVER (PARTITION BY run ORDER BY size) AS i, count(*) OVER (PARTITION BY run) AS n FROM o)
+      WHERE i = n // 2 + 1 GROUP BY run)
+SELECT run, min(round(p, 10)) <> max(round(p, 10)) AS passed FROM p JOIN s USING (run) GROUP BY run, large
+HAVING count(*) >= 3 AND NOT (min(p) = 0 AND max(p) = 0 AND large)""")
 def duplicate_pvalues(spark, d):
-    p = table(spark, d, "orders").select(
-        F.col("o_custkey").alias("run"), F.when(F.col("o_orderstatus") == "F", 0.03).otherwise(
-            F.round(F.col("o_totalprice") / 1e7, 2)).alias("p"))
-    none = _findings(spark, d).filter(F.lit(False))
-    sizes = X.group_metric(spark, d).filter("metric = 'row_count'").withColumn(
-        "run", F.col("run") + 1_000_000)
-    return Q.duplicate_pvalues(none, p, sizes, RUN).select("run", "passed")
+    o = table(spark, d, "orders").withColumn("run", F.col("o_custkey"))
+    told = F.col("o_orderpriority").startswith("1")
+    p = o.filter(~told).select("run", F.when(F.col("run") % 5 == 0, 0.0).when(
+        F.col("o_orderstatus") == "F", 0.03).otherwise(F.round(F.col("o_totalprice") / 1e7, 2)).alias("p"))
+    texts = o.filter(told).select("run", F.when(F.col("run") % 5 == 0, "no test was made").otherwise(
+        "a shift between the groups (p = 0.03)").alias("text"))
+    sizes = o.select("run", F.lit("row_count").alias("metric"), F.col("o_totalprice").alias("value"))
+    return Q.duplicate_pvalues(texts, p, sizes, RUN).select("run", "passed")
 
 
 @query("""
@@ -332,9 +339,9 @@ def convergence(spark, d):
 
 @query(f"""WITH {X.CHECKS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY
     CASE category WHEN 'structural' THEN 0 WHEN 'content_quality' THEN 1 ELSE 2 END, severity, name, ref, detail) AS position FROM checks WHERE NOT passed)
-SELECT {_K}, position, name, severity, category FROM r WHERE position <= 3""")
+SELECT {_K}, position, name, severity, category FROM r WHERE position <= 10""")
 def issue_shortlist(spark, d):
-    return A.shortlist(X.checks(spark, d), X.ATTEMPT, 3).select(
+    return A.shortlist(X.checks(spark, d), X.ATTEMPT).select(
         *X.ATTEMPT, F.col("position").cast("bigint").alias("position"), "name", "severity", "category")
 
 
@@ -447,12 +454,12 @@ def columns_without_stats(spark, d):
     return V.columns_without_stats(table(spark, d, "lineitem"), _claims(spark, d))
 
 
-@query(f"""WITH {X.GROUP_METRIC_SQL}, s AS (SELECT group_key, metric, value FROM group_metric WHERE run % 2 = 0 AND value IS NOT NULL),
+@query(f"""WITH {X.GROUP_METRIC_SQL}, s AS (SELECT group_key, metric, value FROM group_metric WHERE value IS NOT NULL),
 m AS (SELECT metric, avg(value) AS mu, stddev_pop(value) AS sd, count(*) AS n FROM s GROUP BY metric),
 r AS (SELECT s.*, abs(value - mu) / abs(mu) * 100 AS pct, row_number() OVER (PARTITION BY s.metric ORDER BY abs(value - mu) DESC, group_key) AS rn
   FROM s JOIN m ON s.metric = m.metric WHERE mu <> 0 AND sd > 0 AND n >= 2)
 SELECT metric, group_key, round(pct, 6) AS relative_pct FROM r WHERE rn = 1 ORDER BY pct DESC, metric LIMIT 3""")
 def backfilled_findings(spark, d):
-    m = X.group_metric(spark, d).filter("run % 2 = 0 and value is not null").select(
+    m = X.group_metric(spark, d).filter("value is not null").select(
         "group_key", "metric", "value")
     return _rounded(G.backfill_findings(m).drop("text"), ["relative_pct"])

@@ -50,17 +50,12 @@ def judgment_median(spark, d):
 @query(f"""WITH {X.SCORES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY config, run_id ORDER BY value) AS up,
   row_number() OVER (PARTITION BY config, run_id ORDER BY value DESC) AS down,
   count(*) OVER (PARTITION BY config, run_id) AS n FROM scores)
-SELECT config, run_id, round(avg(value), 2) AS mean, 0.0::DOUBLE AS std, min(value) AS min, max(value) AS max, n
-FROM r WHERE n >= 4 AND up > 1 AND down > 1 GROUP BY config, run_id, n""")
+SELECT config, run_id, round(avg(value), 2) AS mean, CASE WHEN n >= 4 THEN 0.0 ELSE round(stddev_pop(value), 2) END AS std,
+  min(value) AS min, max(value) AS max, n
+FROM r WHERE n < 4 OR (up > 1 AND down > 1) GROUP BY config, run_id, n""")
 def judgment_trimmed(spark, d):
     return E.aggregate_judgments(X.scores(spark, d), ["config", "run_id"], "value",
-                                 "trimmed_mean").filter("n >= 4")
-
-
-@query(f"""WITH {X.RUNS_SQL} SELECT config, metric, count(*) AS n_runs, round(avg(value), 4) AS mean,
-  round(stddev_samp(value), 4) AS std, round(median(value), 4) AS median FROM runs GROUP BY ALL""")
-def replication_stats(spark, d):
-    return E.replication_stats(X.run_scores(spark, d), replicates=None)
+                                 "trimmed_mean")
 
 
 def _draw_sql(r, i, seed=42):
@@ -69,14 +64,29 @@ def _draw_sql(r, i, seed=42):
     return f"(({b}) * ({b}) + {r} + 1) % 2147483647"
 
 
+def _wide_draw_sql(r, i, seed=42):
+    return f"(({_draw_sql(r, i, seed)}) * 2147483647 + ({_draw_sql(r, i, seed + 1)}))"
+
+
+@query(f"""WITH {X.RUNS_SQL}, v AS (SELECT config, metric, value, row_number() OVER (PARTITION BY config, metric ORDER BY value) - 1 AS i,
+  count(*) OVER (PARTITION BY config, metric) AS n FROM runs),
+p AS (SELECT config, metric, b, {_wide_draw_sql('b', 'i')} % n AS j FROM v, (SELECT unnest(range(1, 10001)) AS b)),
+s AS (SELECT p.config, p.metric, b, avg(value) AS m FROM p JOIN v ON p.config = v.config AND p.metric = v.metric AND p.j = v.i GROUP BY ALL),
+c AS (SELECT config, metric, round(quantile_cont(m, 0.025), 4) AS ci_lower, round(quantile_cont(m, 0.975), 4) AS ci_upper FROM s GROUP BY ALL)
+SELECT config, metric, count(*) AS n_runs, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std,
+  round(median(value), 4) AS median, ci_lower, ci_upper FROM runs JOIN c USING (config, metric) GROUP BY ALL""")
+def replication_stats(spark, d):
+    return E.replication_stats(X.run_scores(spark, d))
+
+
 @query(f"""WITH {X.RUNS_SQL}, v AS (SELECT config, value, row_number() OVER (PARTITION BY config ORDER BY value) - 1 AS i,
   count(*) OVER (PARTITION BY config) AS n FROM runs),
-p AS (SELECT config, b, ({_draw_sql('b', 'i')}) % n AS j FROM v, (SELECT unnest(range(1, 2001)) AS b)),
+p AS (SELECT config, b, {_wide_draw_sql('b', 'i')} % n AS j FROM v, (SELECT unnest(range(1, 10001)) AS b)),
 s AS (SELECT p.config, b, avg(value) AS m FROM p JOIN v ON p.config = v.config AND p.j = v.i GROUP BY ALL)
 SELECT config, round(quantile_cont(m, 0.025), 8) AS ci_lower, round(quantile_cont(m, 0.975), 8) AS ci_upper
 FROM s GROUP BY config""")
 def bootstrap_ci(spark, d):
-    return _rounded(B.bootstrap_ci(X.run_scores(spark, d), ["config"], "value", 2000),
+    return _rounded(B.bootstrap_ci(X.run_scores(spark, d), ["config"], "value"),
                     ["ci_lower", "ci_upper"], 8)
 
 
@@ -85,18 +95,25 @@ def bootstrap_ci(spark, d):
 f AS (SELECT count(CASE WHEN side = 'a' THEN 1 END) AS na, count(CASE WHEN side = 'b' THEN 1 END) AS nb, sum(value) AS total,
   abs(avg(CASE WHEN side = 'a' THEN value END) - avg(CASE WHEN side = 'b' THEN value END)) AS obs FROM v),
 p AS (SELECT r, value, row_number() OVER (PARTITION BY r ORDER BY ({_draw_sql('r', 'i')}), i) AS pos
-  FROM v, (SELECT unnest(range(1, 1001)) AS r)),
+  FROM v, (SELECT unnest(range(1, 10001)) AS r)),
 s AS (SELECT r, sum(value) AS sa FROM p, f WHERE pos <= na GROUP BY r)
-SELECT 'overall' AS metric, count(CASE WHEN abs(sa / na - (total - sa) / nb) >= obs - 1e-12 THEN 1 END) / 1000.0 AS p FROM s, f""")
+SELECT 'overall' AS metric, count(CASE WHEN abs(sa / na - (total - sa) / nb) >= obs - 1e-12 THEN 1 END) / 10000.0 AS p FROM s, f""")
 def permutation_test(spark, d):
     rows = X.run_scores(spark, d).withColumn("side", F.when(F.col("config") < "3", "a").otherwise("b"))
-    return B.permutation_test(rows, ["metric"], "side", "value", 1000)
+    return B.permutation_test(rows, ["metric"], "side", "value")
 
 
-@query()
+@query(f"""WITH {X.RUNS_SQL}, v AS (SELECT CASE WHEN config < '3' THEN 'a' ELSE 'b' END AS side, value FROM runs),
+i AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY side) AS n FROM v),
+p AS (SELECT side, b, CASE WHEN side = 'a' THEN {_wide_draw_sql('b', 'i')} ELSE {_wide_draw_sql('(b + 7000003)', 'i')} END % n AS j
+      FROM i, (SELECT unnest(range(1, 5001)) AS b)),
+m AS (SELECT b, p.side, count(*) AS n, avg(value) AS mu, var_samp(value) AS s2 FROM p JOIN i ON p.side = i.side AND p.j = i.i GROUP BY ALL),
+d AS (SELECT x.b, (x.mu - y.mu) / sqrt(((x.n - 1) * x.s2 + (y.n - 1) * y.s2) / (x.n + y.n - 2)) * (1 - 3.0 / (4 * (x.n + y.n) - 9)) AS d
+      FROM m x JOIN m y ON x.b = y.b AND x.side = 'a' AND y.side = 'b')
+SELECT 'overall' AS metric, round(quantile_cont(d, 0.025), 8) AS d_lower, round(quantile_cont(d, 0.975), 8) AS d_upper FROM d""")
 def bootstrap_effect(spark, d):
     rows = X.run_scores(spark, d).withColumn("side", F.when(F.col("config") < "3", "a").otherwise("b"))
-    return B.bootstrap_effect(rows, ["metric"], "side", "value", 1000)
+    return _rounded(B.bootstrap_effect(rows, ["metric"], "side", "value"), ["d_lower", "d_upper"], 8)
 
 
 _PAIRS = f"""WITH {X.RUNS_SQL},
@@ -332,7 +349,7 @@ def config_labels(spark, d):
 
 @query()
 def ablation_overview(spark, d):
-    tables = E.ablation_tables(X.scores(spark, d), replicates=500)
+    tables = E.ablation_tables(X.scores(spark, d), replicates=10_000)
     parts = [t.select(F.lit(name).alias("table"), F.to_json(F.struct("*")).alias("row"))
              for name, t in tables.items()]
     out = parts[0]
@@ -384,6 +401,8 @@ def rank_positions(spark, d):
         "rank_position", F.col("rank_position").cast("bigint")), ["strength"], 4)
 
 
-@query()
+@query(f"""WITH {X.GAMES_SQL}, t AS (SELECT run_a, run_b, winner, count(*) AS n FROM games GROUP BY ALL),
+r AS (SELECT run_a, sha256(string_agg(run_b || ',' || winner || ',' || n, ';' ORDER BY run_b, winner)) AS h FROM t GROUP BY run_a)
+SELECT substr(sha256(string_agg(run_a || '=' || h, ';' ORDER BY run_a)), 1, 16) AS comparison_set_hash FROM r""")
 def comparison_set_hash(spark, d):
     return S.comparison_set_hash(X.games(spark, d))
