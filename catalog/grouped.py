@@ -8,8 +8,8 @@ from assay.operators import correlation as R
 from assay.operators import grouped as G
 from assay.operators import hypothesis as H
 from assay.plans import distributions as D
-from assay.plans.groupings import rank_groupings
-from catalog.profile import KEYS, ORDINAL, _per_column
+from assay.plans.groupings import candidate_keys, rank_groupings
+from catalog.profile import KEYS, ORDINAL, _grouping_sql, _per_column
 from catalog.registry import query, table
 
 METRICS = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -140,7 +140,24 @@ def wide_features(spark, d):
         "o_totalprice_skew")
 
 
-@query()
+def _deviants_sql():
+    """Top five keys, and the three most deviant groups of the best one for each metric."""
+    keys = candidate_keys(KEYS)
+    labels = ", ".join(f"'{','.join(k)}'" for k in keys)
+    means = " UNION ALL ".join(
+        f"SELECT '{','.join(k)}' AS key, concat_ws('__', {', '.join(k)}) AS gk, avg(l_extendedprice) AS p, avg(l_tax) AS t "
+        f"FROM lineitem GROUP BY {', '.join(k)}" for k in keys)
+    return f"""WITH scored AS ({_grouping_sql(keys, ORDINAL, ["l_extendedprice"])}),
+top AS (SELECT key, score, row_number() OVER (ORDER BY score DESC, list_position([{labels}], key)) AS rn FROM scored),
+groups AS ({means}),
+v AS (SELECT key, gk, unnest(['l_extendedprice', 'l_tax']) AS metric, unnest([p, t]) AS value FROM groups JOIN top USING (key) WHERE rn = 1),
+d AS (SELECT *, abs(value - avg(value) OVER (PARTITION BY metric)) AS dev, avg(value) OVER (PARTITION BY metric) AS mu FROM v),
+n AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY dev DESC, gk) AS position FROM d)
+SELECT 'grouping' AS part, key, score AS value FROM top WHERE rn <= 5
+UNION ALL SELECT 'deviant', concat_ws(':', key, metric, gk), round(dev / abs(mu) * 100, 4) FROM n WHERE position <= 3"""
+
+
+@query(_deviants_sql())
 def grouping_with_deviants(spark, d):
     """Ranked keys of line items, and the groups of the best key that deviate most."""
     li = table(spark, d, "lineitem")
