@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assay.operators import checks as Q
@@ -463,3 +464,60 @@ def backfilled_findings(spark, d):
     m = X.group_metric(spark, d).filter("value is not null").select(
         "group_key", "metric", "value")
     return _rounded(G.backfill_findings(m).drop("text"), ["relative_pct"])
+
+
+@query("""
+WITH k AS (SELECT DISTINCT l_suppkey AS run, l_quantity || '__' || l_returnflag AS group_key FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY group_key) AS i FROM k),
+t AS (SELECT run, lower(string_agg(group_key, ' ')) AS t FROM n WHERE i <= 20 GROUP BY run),
+s AS (SELECT DISTINCT l_suppkey AS run, 'flag' AS col, l_returnflag AS value FROM lineitem
+      UNION ALL SELECT DISTINCT l_suppkey, 'quantity', l_quantity::VARCHAR FROM lineitem
+      UNION ALL SELECT DISTINCT l_suppkey, 'status', 'status ' || l_linestatus FROM lineitem),
+p AS (SELECT *, row_number() OVER (PARTITION BY run, col ORDER BY value) AS position FROM s),
+f AS (SELECT p.run, col, bool_or(contains(t, lower(value))) AS found FROM p JOIN t ON p.run = t.run WHERE position <= 5 GROUP BY ALL)
+SELECT run, bool_and(found) AS passed, CASE WHEN bool_and(found) THEN NULL WHEN NOT bool_or(found) THEN 'must_fix' ELSE 'should_fix' END AS severity
+FROM f GROUP BY run""")
+def grouping_compliance(spark, d):
+    li = table(spark, d, "lineitem").withColumn("run", F.col("l_suppkey"))
+    quantity = F.col("l_quantity").cast("string")
+    keys = li.select("run", F.concat_ws("__", quantity, "l_returnflag").alias("group_key"))
+    samples = None
+    for name, value in (("flag", F.col("l_returnflag")), ("quantity", quantity),
+                        ("status", F.concat(F.lit("status "), F.col("l_linestatus")))):
+        part = li.select("run", F.lit(name).alias("column"), value.alias("value")).distinct()
+        samples = part if samples is None else samples.unionByName(part)
+    w = Window.partitionBy("run", "column").orderBy("value")
+    samples = samples.withColumn("position", F.row_number().over(w))
+    return Q.grouping_compliance(samples, keys, RUN).select("run", "passed", "severity")
+
+
+@query("""
+WITH c AS (SELECT o_custkey AS run, 'by_' || lower(o_orderstatus) || '_' || o_orderkey % 3 AS name, o_orderpriority AS across FROM orders),
+u AS (SELECT DISTINCT run, name, lower(across) AS term FROM c UNION SELECT run, replace(name, '_', ' ') AS name, NULL FROM c WHERE false),
+f AS (SELECT DISTINCT o_custkey AS run, 'seen: ' || lower(o_orderpriority) AS text FROM orders WHERE o_totalprice > 150000),
+h AS (SELECT DISTINCT u.run, u.name FROM u JOIN f ON u.run = f.run AND contains(f.text, u.term)),
+n AS (SELECT run, count(DISTINCT name) AS n FROM c GROUP BY run),
+k AS (SELECT run, count(*) AS used FROM h GROUP BY run)
+SELECT n.run, coalesce(used, 0) >= greatest(2, n - 1) AS passed FROM n LEFT JOIN k ON n.run = k.run WHERE n >= 2""")
+def context_coverage(spark, d):
+    o = table(spark, d, "orders").withColumn("run", F.col("o_custkey"))
+    contexts = o.select("run", F.concat(F.lit("by_"), F.lower("o_orderstatus"), F.lit("_"), (
+        F.col("o_orderkey") % 3).cast("string")).alias("name"), F.col("o_orderpriority").alias("compare_across"),
+        F.array().cast("array<string>").alias("group_by"))
+    said = o.filter("o_totalprice > 150000").select("run", F.concat(
+        F.lit("seen: "), F.col("o_orderpriority")).alias("text"))
+    return Q.context_coverage(contexts, said, RUN).select("run", "passed")
+
+
+@query("""
+WITH r AS (SELECT l_suppkey AS run, count(*) AS rows FROM lineitem GROUP BY 1),
+s AS (SELECT DISTINCT l_suppkey AS run FROM lineitem WHERE l_tax = 0 AND l_discount = 0 AND l_quantity > 40)
+SELECT r.run, s.run IS NOT NULL AS passed FROM r LEFT JOIN s ON r.run = s.run WHERE r.rows < 200 OR r.run % 3 = 0""")
+def stability_present(spark, d):
+    li = table(spark, d, "lineitem").withColumn("run", F.col("l_suppkey"))
+    tasks = li.select("run", F.when(F.col("run") % 2 == 0, "regression").otherwise(
+        "supervised_regression").alias("task_type"))
+    size = F.when(F.col("run") % 3 == 0, F.lit(0.0)).otherwise(F.lit(1.0))
+    metrics = li.select("run", F.lit("row_count").alias("metric"), size.alias("value"))
+    stable = li.filter("l_tax = 0 AND l_discount = 0 AND l_quantity > 40").select("run", F.lit("l_tax").alias("feature"))
+    return Q.stability_present(tasks, stable, metrics, RUN).select("run", "passed")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assay.operators import cleaning as C
+from assay.plans import columns as P
 from assay.sources import tables as S
 from catalog.profile import LINEITEM_COLUMNS, _per_column
 from catalog.registry import query, table
@@ -186,3 +187,36 @@ def condition_map(spark, d):
         "c_custkey", "c_mktsegment", "c_nationkey"))
     return out.select("run_id", F.col("conditions")["c_mktsegment"].alias("segment"),
                       F.col("conditions")["c_nationkey"].alias("nation"))
+
+
+@query("""
+SELECT 'all_null_column' AS name, 'gone' AS ref, false AS passed
+FROM (SELECT count(n) AS k FROM (SELECT NULL::DOUBLE AS n FROM lineitem)) WHERE k = 0
+UNION ALL SELECT 'missing_preserved_column', 'batch', false
+UNION ALL SELECT 'zero_rows', NULL, false FROM (SELECT count(*) AS k FROM lineitem) WHERE k = 0""")
+def table_checks(spark, d):
+    li = table(spark, d, "lineitem").withColumn("gone", F.lit(None).cast("double"))
+    return C.validate_cleaned(li, ["l_quantity", "batch", "GONE"]).select("name", "ref", "passed")
+
+
+@query("""
+SELECT o_orderkey AS order_key, o_orderstatus AS status, o_totalprice AS total_price, o_orderpriority AS total_price_2
+FROM orders""")
+def standard_names(spark, d):
+    o = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("Order Key"), F.col("o_orderstatus").alias("status"),
+        F.col("o_totalprice").alias("Total-Price"), F.col("o_orderpriority").alias("total price"))
+    return C.standardise_names(o)
+
+
+_SHAPE = """
+SELECT '{c}' AS name, quantile_cont(length(CAST({c} AS VARCHAR)), 0.5) AS median_length,
+       avg(CASE WHEN TRY_CAST(CAST({c} AS VARCHAR) AS TIMESTAMP) IS NULL THEN 0.0 ELSE 1.0 END) AS datetime_share
+FROM orders"""
+
+
+@query(_per_column(_SHAPE, ["o_orderstatus", "o_orderpriority", "o_orderdate"]))
+def text_shapes(spark, d):
+    o = table(spark, d, "orders").select(
+        "o_orderstatus", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"))
+    return P.text_shape(o, o.columns)
