@@ -15,12 +15,13 @@ def upsert(current: DataFrame, new: DataFrame, keys: Sequence[str], order: str)
     """Last write wins per key; NULL key parts equal each other.
 
     Kept as one aggregate (greatest ``order`` per key), so repeats of a hot key are
-    folded before the shuffle.
+    folded before the shuffle. Rows of equal order are told apart by a hash of the rest.
     """
     both = current.unionByName(new, allowMissingColumns=True)
     rest = [c for c in both.columns if c not in keys]
     last = both.groupBy(*[quoted(k) for k in keys]).agg(
-        F.max_by(F.struct(*[quoted(c) for c in rest]), quoted(order)).alias("__row"))
+        F.max_by(F.struct(*[quoted(c) for c in rest]), F.struct(
+            quoted(order), F.xxhash64(*[quoted(c) for c in rest]))).alias("__row"))
     return last.select(*[quoted(k) if k in keys else F.col("__row").getField(k).alias(k)
                          for k in both.columns])
 

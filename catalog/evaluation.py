@@ -361,16 +361,17 @@ def ablation_overview(spark, d):
 # Store -----------------------------------------------------------------------------
 
 @query("""
-SELECT l_suppkey, l_returnflag, max(l_orderkey * 10 + l_linenumber) AS version FROM (
+SELECT l_suppkey, l_returnflag, arg_max(l_linestatus, l_orderkey * 10 + l_linenumber) AS l_linestatus,
+  arg_max(l_extendedprice, l_orderkey * 10 + l_linenumber) AS l_extendedprice, max(l_orderkey * 10 + l_linenumber) AS version FROM (
   SELECT * FROM lineitem WHERE l_linestatus = 'O' UNION ALL SELECT * FROM lineitem WHERE l_linestatus = 'F')
 GROUP BY ALL""")
 def keyed_upsert(spark, d):
     li = table(spark, d, "lineitem").select(
-        "l_suppkey", "l_returnflag", "l_linestatus",
+        "l_suppkey", "l_returnflag", "l_linestatus", "l_extendedprice",
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("version"))
     out = S.upsert(li.filter("l_linestatus = 'O'"), li.filter("l_linestatus = 'F'"),
                    ["l_suppkey", "l_returnflag"], "version")
-    return out.select("l_suppkey", "l_returnflag", "version")
+    return out.select("l_suppkey", "l_returnflag", "l_linestatus", "l_extendedprice", "version")
 
 
 @query("""

@@ -134,13 +134,11 @@ def ranked_figures(spark, d):
 
 
 @query(r"""
-SELECT lang, count(*) AS n, sum(idx)::BIGINT AS idx_sum FROM (
-  SELECT lang, min(doc_id) AS idx FROM documents WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 0
-  GROUP BY lang, regexp_replace(text, '^\s+|\s+$', '', 'g')) GROUP BY lang""")
+SELECT lang, min(doc_id) AS idx FROM documents WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 0
+GROUP BY lang, regexp_replace(text, '^\s+|\s+$', '', 'g')""")
 def distinct_findings(spark, d):
     docs = table(spark, d, "documents").withColumnRenamed("doc_id", "idx")
-    return T.distinct_findings(docs, ["lang"]).groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("idx").alias("idx_sum"))
+    return T.distinct_findings(docs, ["lang"]).select("lang", "idx")
 
 
 @query(r"""
@@ -208,11 +206,11 @@ def row_texts(spark, d):
 _UNIT = """u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings)"""
 
 
-@query(f"WITH {_UNIT} SELECT vec_id, round(v[1], 6) AS first, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS norm FROM u")
+@query(f"WITH {_UNIT} SELECT vec_id, unnest(range(1, len(v) + 1)) AS place, round(unnest(v), 6) AS value FROM u")
 def unit_vectors(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", I.l2_normalise(F.col("embedding")).alias("v"))
-    return v.select("vec_id", F.round(F.col("v")[0], 6).alias("first"), F.round(F.aggregate(
-        "v", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+    return v.select("vec_id", F.posexplode("v").alias("place", "value")).select(
+        "vec_id", (F.col("place") + 1).cast("long").alias("place"), F.round("value", 6).alias("value"))
 
 
 def _centroids(spark, d):
@@ -359,10 +357,17 @@ def regression_task(spark, d):
 
 
 @query("""
-WITH o AS (SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders) SELECT n, total FROM o""")
+SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total, min(o_totalprice) AS lowest, max(o_totalprice) AS highest,
+       count(DISTINCT o_totalprice) AS kinds, true AS moved, true AS unrelated FROM orders""")
 def permuted_column(spark, d):
-    out = L.permuted(table(spark, d, "orders"), "o_orderkey", "o_totalprice")
-    return out.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    orders = table(spark, d, "orders")
+    out = L.permuted(orders, "o_orderkey", "o_totalprice").join(
+        orders.select("o_orderkey", F.col("o_totalprice").alias("was")), "o_orderkey")
+    v = F.col("o_totalprice")
+    return out.agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(v), 2).alias("total"), F.min(v).alias("lowest"), F.max(v).alias("highest"),
+        F.count_distinct(v).alias("kinds"), (F.avg((v != F.col("was")).cast("double")) > 0.9).alias("moved"),
+        (F.abs(F.corr(v, "was")) < 0.1).alias("unrelated"))
 
 
 @query()
