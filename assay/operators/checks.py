@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions.columns import quoted
+from assay.functions.columns import clean, quoted
 from assay.functions.order_stats import exact_quantiles
 from assay.functions.text import containment, mentions, stem
 from assay.plans.groupings import PURPOSE_WEIGHTS
@@ -60,6 +60,7 @@ P_NOTATION = r"p\s*[<>=≤≥]\s*0\.[0-9]"
 ACROSS_GROUPS = r"across\s+\S+\s+groups|across\s+groups|between\s+the\s+groups"
 P_VALUE = r"p\s*[=<]\s*(0\.[0-9]+)"
 # Fixed limits.
+MIN_FINDINGS = 3
 MIN_FILE_BYTES, MIN_PLOT_BYTES = 100, 5000
 MIN_PIXELS, WIDE_ASPECT, EXTREME_ASPECT = 400, 4.0, 20.0
 COVERED_SHARE = 0.9
@@ -421,6 +422,41 @@ def plot_gate(files: DataFrame, by: Sequence[str], min_plots: int = 1) -> DataFr
                    F.format_string("%d plots, %d too small", n, small))
 
 
+def content_gate(runs: DataFrame, findings: DataFrame, metrics: DataFrame, by: Sequence[str],
+                 min_findings: int = MIN_FINDINGS) -> DataFrame:
+    """Per run: enough findings, values per group, and a positive row count in every group.
+
+    ``runs`` names the runs that should have content; ``metrics`` is (by, group_key, metric, value).
+    """
+    said = findings.groupBy(*_by(by)).agg(F.count(F.lit(1)).alias("found"))
+    sized = F.when((F.col("metric") == "row_count") & (clean(metrics, "value").cast("double") > 0), F.col("group_key"))
+    groups = metrics.groupBy(*_by(by)).agg(
+        F.count_distinct("group_key").alias("groups"), F.count_distinct(sized).alias("sized"))
+    out = runs.select(*_by(by)).distinct().join(said, list(by), "left").join(groups, list(by), "left")
+    n, k, m = (F.coalesce(c, F.lit(0)) for c in ("found", "groups", "sized"))
+    return _result(out, by, "struct__min_findings", n >= min_findings, "must_fix", F.format_string("%d findings", n)).unionByName(
+        _result(out, by, "struct__group_values", k > 0, "must_fix", F.format_string("%d groups", k))).unionByName(
+        _result(out.filter(k > 0), by, "struct__row_counts", m == k, "should_fix",
+                F.format_string("%d of %d groups have a row count", m, k)))
+
+
+def reasoning_gate(runs: DataFrame, entries: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Whether the reasoning section is there, has entries, and names changes and surprises.
+
+    ``entries`` is (by, kind) with one row per hypothesis, modification or observation, and a
+    row of another kind for a section without any.
+    """
+    kinds = entries.groupBy(*_by(by)).agg(*[
+        F.count_if(F.col("kind") == k).alias(k) for k in ("hypothesis", "modification", "observation")])
+    out = runs.select(*_by(by)).distinct().join(kinds, list(by), "left")
+    total = F.col("hypothesis") + F.col("modification") + F.col("observation")
+    passed = F.coalesce((F.col("modification") > 0) & (F.col("observation") > 0), F.lit(False))
+    return _result(out, by, "struct__reasoning", passed, F.when(total.isNull(), "must_fix").otherwise("should_fix"),
+                   F.when(total.isNull(), "no section").when(total == 0, "empty section").otherwise(F.format_string(
+                       "%d hypotheses, %d modifications, %d observations", F.col("hypothesis"), F.col("modification"),
+                       F.col("observation"))))
+
+
 def image_audit(images: DataFrame, by: Sequence[str]) -> DataFrame:
     """Header checks of image files from (by, path, length, content).
 

@@ -264,9 +264,29 @@ def compare_runs(files: DataFrame) -> DataFrame:
                                        F.col("files").cast("string")))
 
 
-def ablation_tables(scores: DataFrame, replicates: int = 10_000, permutations: int | None = None
-                    ) -> dict[str, DataFrame]:
-    """Tables of an ablation study from (config, run_id, dataset, judge, metric, value)."""
+def ablation_tables(scores: DataFrame, replicates: int = 10_000, permutations: int | None = None, *,
+                    gates: DataFrame | None = None, structure: DataFrame | None = None,
+                    structural_metrics: Sequence[str] = (), strengths: DataFrame | None = None,
+                    labels: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Tables of an ablation study from (config, run_id, dataset, judge, metric, value).
+
+    Gate records, structural rows, and strengths with run labels add their tables if given.
+    """
+    from assay.operators.agreement import krippendorff_alpha, spearman_agreement
+    from assay.operators.rankings import config_rankings
+
+    unit = ["config", "run_id", "dataset"]
+    judged = scores.groupBy(*_cols([*unit, "judge", "metric"])).agg(F.avg("value").alias("value"))
+    more = {
+        "judge_alpha": krippendorff_alpha(judged, ["metric"], unit, "value"),
+        "judge_rank_agreement": spearman_agreement(judged, ["metric"], unit, "judge", "value"),
+    }
+    if gates is not None:
+        more["gates"] = gate_scores(gates)
+    if structure is not None:
+        more["structural"] = structural_scores(structure, structural_metrics)
+    if strengths is not None and labels is not None:
+        more["rankings"] = config_rankings(strengths, labels)
     runs = scores.groupBy("config", "run_id", "metric").agg(F.avg("value").alias("value"))
     compared = compare_configs(runs, permutations=permutations)
     return {
@@ -276,4 +296,4 @@ def ablation_tables(scores: DataFrame, replicates: int = 10_000, permutations: i
         "per_judge": scores_by(scores, ["config", "judge", "metric"], "value"),
         "correlation": cross_dataset_correlation(scores),
         "repeatability": stability(runs),
-    }
+    } | more

@@ -521,3 +521,40 @@ def stability_present(spark, d):
     metrics = li.select("run", F.lit("row_count").alias("metric"), size.alias("value"))
     stable = li.filter("l_tax = 0 AND l_discount = 0 AND l_quantity > 40").select("run", F.lit("l_tax").alias("feature"))
     return Q.stability_present(tasks, stable, metrics, RUN).select("run", "passed")
+
+
+@query("""
+WITH r AS (SELECT DISTINCT o_custkey AS run FROM orders),
+f AS (SELECT o_custkey AS run, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+m AS (SELECT o_custkey AS run, count(DISTINCT o_orderpriority) AS groups,
+        count(DISTINCT CASE WHEN o_totalprice > 50000 THEN o_orderpriority END) AS sized FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1),
+j AS (SELECT r.run, coalesce(n, 0) AS n, coalesce(groups, 0) AS groups, coalesce(sized, 0) AS sized
+      FROM r LEFT JOIN f ON r.run = f.run LEFT JOIN m ON r.run = m.run)
+SELECT run, 'struct__min_findings' AS name, n >= 3 AS passed, n || ' findings' AS detail FROM j
+UNION ALL SELECT run, 'struct__group_values', groups > 0, groups || ' groups' FROM j
+UNION ALL SELECT run, 'struct__row_counts', sized = groups, sized || ' of ' || groups || ' groups have a row count' FROM j WHERE groups > 0""")
+def content_gate(spark, d):
+    o = table(spark, d, "orders").withColumn("run", F.col("o_custkey"))
+    values = o.filter("o_orderstatus <> 'P'").select(
+        "run", F.col("o_orderpriority").alias("group_key"), F.lit("row_count").alias("metric"),
+        F.when(F.col("o_totalprice") > 50000, 1.0).otherwise(0.0).alias("value"))
+    return Q.content_gate(o.select("run"), o.filter("o_orderstatus = 'F'"), values, RUN).select(
+        "run", "name", "passed", "detail")
+
+
+@query("""
+WITH r AS (SELECT DISTINCT o_custkey AS run FROM orders),
+e AS (SELECT o_custkey AS run, count(CASE WHEN o_orderpriority LIKE '1%' THEN 1 END) AS h, count(CASE WHEN o_orderpriority LIKE '2%' THEN 1 END) AS m,
+        count(CASE WHEN o_orderpriority LIKE '3%' THEN 1 END) AS o FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
+SELECT r.run, coalesce(m > 0 AND o > 0, false) AS passed, CASE WHEN coalesce(m > 0 AND o > 0, false) THEN NULL
+    WHEN e.run IS NULL THEN 'must_fix' ELSE 'should_fix' END AS severity,
+  CASE WHEN e.run IS NULL THEN 'no section' WHEN h + m + o = 0 THEN 'empty section'
+    ELSE h || ' hypotheses, ' || m || ' modifications, ' || o || ' observations' END AS detail
+FROM r LEFT JOIN e ON r.run = e.run""")
+def reasoning_gate(spark, d):
+    o = table(spark, d, "orders").withColumn("run", F.col("o_custkey"))
+    first = F.substring("o_orderpriority", 1, 1)
+    kind = F.when(first == "1", "hypothesis").when(first == "2", "modification").when(
+        first == "3", "observation").otherwise("none")
+    return Q.reasoning_gate(o.select("run"), o.filter("o_orderstatus = 'O'").select("run", kind.alias("kind")), RUN).select(
+        "run", "passed", "severity", "detail")

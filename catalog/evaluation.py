@@ -266,13 +266,17 @@ l AS (SELECT 'n' || n_nationkey AS run_id, CASE WHEN n_regionkey = 0 THEN '' ELS
 SELECT coalesce(nullif(run_label, ''), player) AS config, round(avg(strength), 4) AS strength, count(*) AS runs
 FROM r LEFT JOIN l ON player = run_id GROUP BY 1""")
 def config_rankings(spark, d):
+    return K.config_rankings(*_strengths(spark, d))
+
+
+def _strengths(spark, d):
     counts = K.win_counts(X.games(spark, d)).groupBy("player").agg(
         (F.sum("wins") / F.sum("games")).alias("strength"))
     labels = table(spark, d, "nation").join(
         table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("run_id"),
         F.when(F.col("n_regionkey") == 0, "").otherwise(F.col("r_name")).alias("run_label"))
-    return K.config_rankings(counts, labels)
+    return counts, labels
 
 
 @query("""
@@ -281,14 +285,17 @@ WITH g AS (SELECT o_orderpriority AS config, 'r' || o_custkey AS run_id, CASE o_
 r AS (SELECT config, run_id, stage, avg(q) AS m FROM g WHERE attempt_label = '' AND stage IN ('cleaning', 'analysis') GROUP BY ALL)
 SELECT config, stage, round(avg(m), 8) AS mean, round(stddev_samp(m), 8) AS std, count(*) AS runs FROM r GROUP BY ALL""")
 def gate_scores(spark, d):
-    g = table(spark, d, "orders").select(
+    return _rounded(E.gate_scores(_gates(spark, d)), ["mean", "std"], 8)
+
+
+def _gates(spark, d):
+    return table(spark, d, "orders").select(
         F.col("o_orderpriority").alias("config"),
         F.concat(F.lit("r"), F.col("o_custkey").cast("string")).alias("run_id"),
         F.when(F.col("o_orderstatus") == "F", "cleaning").when(
             F.col("o_orderstatus") == "O", "analysis").otherwise("report").alias("stage"),
         F.when(F.col("o_orderkey") % 3 == 0, "retry1").otherwise("").alias("attempt_label"),
         (F.col("o_totalprice") / 500000).alias("quality_score"))
-    return _rounded(E.gate_scores(g), ["mean", "std"], 8)
 
 
 @query("""
@@ -296,10 +303,13 @@ WITH r AS (SELECT l_returnflag AS config, l_suppkey AS run_id, avg(l_quantity) A
 SELECT config, 'l_quantity' AS metric, round(avg(a), 8) AS mean, round(stddev_samp(a), 8) AS std, count(a) AS runs FROM r GROUP BY config
 UNION ALL SELECT config, 'tax', round(avg(b), 8), round(stddev_samp(b), 8), count(b) FROM r GROUP BY config""")
 def structural_scores(spark, d):
-    rows = table(spark, d, "lineitem").select(
+    return _rounded(E.structural_scores(_structure(spark, d), ["l_quantity", "tax"]), ["mean", "std"], 8)
+
+
+def _structure(spark, d):
+    return table(spark, d, "lineitem").select(
         F.col("l_returnflag").alias("config"), F.col("l_suppkey").alias("run_id"), "l_quantity",
         F.when(F.col("l_tax") > 0, F.col("l_tax")).alias("tax"))
-    return _rounded(E.structural_scores(rows, ["l_quantity", "tax"]), ["mean", "std"], 8)
 
 
 @query(f"WITH {X.SCORES_SQL} SELECT config, dataset, judge, CAST(round(CAST(avg(value) AS DECIMAL(24, 14)), 3) AS DOUBLE) AS mean, count(*) AS n FROM scores GROUP BY ALL")
@@ -349,7 +359,10 @@ def config_labels(spark, d):
 
 @query()
 def ablation_overview(spark, d):
-    tables = E.ablation_tables(X.scores(spark, d), replicates=10_000)
+    counts, labels = _strengths(spark, d)
+    tables = E.ablation_tables(
+        X.scores(spark, d), gates=_gates(spark, d), structure=_structure(spark, d),
+        structural_metrics=["l_quantity", "tax"], strengths=counts, labels=labels)
     parts = [t.select(F.lit(name).alias("table"), F.to_json(F.struct("*")).alias("row"))
              for name, t in tables.items()]
     out = parts[0]
