@@ -336,7 +336,7 @@ def _task(spark, d):
 def classification_task(spark, d):
     rows = _task(spark, d)
     feats = L.auto_features(rows, ["l_suppkey", "label", "price_cv"])
-    preds, weights = L.cross_validate(rows, ["l_suppkey"], feats, "label", trees=20)
+    preds, weights = L.cross_validate(rows, ["l_suppkey"], feats, "label")
     metrics = L.metric_summary(L.fold_metrics(preds)).select(
         F.lit("metric").alias("part"), F.col("metric").alias("name"), F.col("mean").alias("value"))
     stable = L.feature_stability(weights).select(
@@ -350,7 +350,7 @@ def regression_task(spark, d):
     feats = L.auto_features(rows, ["l_suppkey", "label", "price_cv"])
     out = None
     for kind in ("regression", "linear", "ridge"):
-        preds, _ = L.cross_validate(rows, ["l_suppkey"], feats, "price_cv", kind, trees=20)
+        preds, _ = L.cross_validate(rows, ["l_suppkey"], feats, "price_cv", kind)
         part = L.metric_summary(L.fold_metrics(preds, kind)).withColumn("model", F.lit(kind))
         out = part if out is None else out.unionByName(part)
     return out
