@@ -88,8 +88,9 @@ def verified_claims(claims: DataFrame, df: DataFrame, keys: Sequence[str], metri
     chosen = verify(lead.unionByName(rest), recomputed_means(df, keys, metrics))
     cols = column_means(df).select(
         F.lit(None).cast("string").alias("group_key"), F.col("column").alias("metric"),
-        F.col("mean").alias("value"), F.lit(4).alias("strategy"), F.col("mean").alias("actual"),
-        F.lit("match").alias("status"))
+        F.col("mean").alias("value"), F.lit(4).alias("strategy"), F.col("mean").alias("actual"))
+    cols = cols.withColumn("status", F.when(
+        F.abs(F.col("value") - F.col("actual")) <= tolerance(F.col("value")), "match").otherwise("mismatch"))
     every = chosen.select(*cols.columns).unionByName(cols)
     # A handful of rows per metric: claims are chosen above, not data rows.
     w = Window.orderBy("strategy", "metric", "group_key")
