@@ -151,9 +151,8 @@ def op9_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    vocabulary = tokenizer_file("piece_bpe_32k.model")
-    encoded = sentencepiece_scan.encode(table(spark, folder, "documents"), vocabulary)
-    return sentencepiece_scan.digest(encoded, vocabulary)
+    return sentencepiece_scan.encode(
+        table(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"), digests=True)
 
 
 def _decoded(expression: str) -> str:

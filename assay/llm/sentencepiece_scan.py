@@ -20,9 +20,11 @@ space; rows that repeat are encoded alike; ids may be null; no rows give no rows
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -37,9 +39,9 @@ GIANT = 65_536
 CHUNK = 16_384
 #: Chunks whose matrices are combined in one task.
 BLOCK = 64
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 600_000
 _NONE = -(1 << 62)
-_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+DIGESTS = "doc_id long, score double, n_pieces long, ids_crc32 long, decoded_sha256 string"
 _CUT = re.compile(f"[^{SPACE}]{SPACE}")
 
 
@@ -60,14 +62,37 @@ class Lattice:
         self.unknown_id = sp.unk_id()
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.reach = max(map(len, self.score))
-        self.open = {p[:k] for p in self.score for k in range(1, len(p))}
+        #: Score of each piece; None for a beginning of a piece that is not one itself.
+        self.table: dict[str, int | None] = {p[:k]: None for p in self.score for k in range(1, len(p))} | self.score
+        self.word = self._units()
         self.piece = [b""] * n
         for i in plain:
             self.piece[i] = sp.id_to_piece(i).encode()
         for byte, i in self.bytes.items():
             self.piece[i] = bytes([byte])
+        self.joined = np.frombuffer(b"".join(self.piece), np.uint8)
+        self.sizes = np.array([len(p) for p in self.piece], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.words: dict[str, tuple[bytes, int]] = {}
 
+    def _units(self) -> re.Pattern:
+        """Pattern of the units that no piece crosses out of.
+
+        Letters and other characters are units of their own if no piece mixes them; letters
+        that some piece does mix count as others. A line end without a piece stands alone.
+        """
+        line = "" if any("\n" in p for p in self.score) else "\n"
+        mixing: set[str] = set()
+        while True:
+            letter = re.compile(rf"[^\W\d_{re.escape(''.join(sorted(mixing)))}]")
+            found = {a if letter.match(a) else b for p in self.score for a, b in zip(p, p[1:])
+                     if SPACE not in (a, b) and bool(letter.match(a)) != bool(letter.match(b))}
+            if not found:
+                break
+            mixing |= found
+        other = f"(?:(?!{letter.pattern})[^{SPACE}{line}])"
+        return re.compile(f"{SPACE}*{letter.pattern}+|{SPACE}*{other}+|{SPACE}+" + (f"|{line}" if line else ""))
+
     @staticmethod
     def normalised(text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
@@ -77,9 +102,9 @@ class Lattice:
         score = self.score.get(text[start])
         yield 1, self.unknown if score is None else score
         for size in range(2, min(self.reach, len(text) - start) + 1):
-            if text[start:start + size - 1] not in self.open:
+            score = self.table.get(text[start:start + size], 0.5)
+            if score == 0.5:  # neither a piece nor a beginning of one
                 return
-            score = self.score.get(text[start:start + size])
             if score is not None:
                 yield size, score
 
@@ -91,14 +116,26 @@ class Lattice:
         n = len(text)
         best = best + [_NONE] * (n - first)
         back = [0] * (n + 1)
-        for start in range(max(0, first - self.reach + 1), n):
+        find, unknown, reach = self.table.get, self.unknown, self.reach
+        for start in range(max(0, first - reach + 1), n):
             here = best[start]
             if here == _NONE:
                 continue
-            for size, score in self.pieces_from(text, start):
-                end = start + size
-                if end > first and here + score > best[end]:
-                    best[end], back[end] = here + score, size
+            end = start + 1
+            score = find(text[start], 0.5)
+            if end > first:
+                total = here + (unknown if score is None or score == 0.5 else score)
+                if total > best[end]:
+                    best[end], back[end] = total, 1
+            if score == 0.5:
+                continue
+            for end in range(start + 2, min(start + reach, n) + 1):
+                score = find(text[start:end], 0.5)
+                if score is not None:
+                    if score == 0.5:
+                        break
+                    if end > first and here + score > best[end]:
+                        best[end], back[end] = here + score, end - start
         return best, back
 
     def ids_of(self, pieces: list[str]) -> list[int]:
@@ -116,11 +153,11 @@ class Lattice:
         while at:
             pieces.append(word[at - back[at]:at])
             at -= back[at]
-        return np.array(self.ids_of(pieces[::-1]), "<u4").tobytes(), best[-1]
+        return array("I", self.ids_of(pieces[::-1])).tobytes(), best[-1]
 
     def encode(self, text: str) -> tuple[bytes, int]:
         """Ids (32 bits each) and total score of a whole text."""
-        words = _WORD.findall(self.normalised(text))
+        words = self.word.findall(self.normalised(text))
         new = set(words).difference(self.words)
         if len(self.words) > REMEMBERED_WORDS:
             self.words, new = {}, set(words)
@@ -130,8 +167,14 @@ class Lattice:
         return b"".join([f[0] for f in found]), sum([f[1] for f in found])
 
     def decode(self, ids: bytes) -> str:
-        text = b"".join(map(self.piece.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode()
-        return text.replace(SPACE, " ")[1:]
+        found = np.frombuffer(ids, "<u4")
+        parts = []
+        for at in range(0, len(found), 1 << 18):
+            own = found[at:at + (1 << 18)]
+            sizes = self.sizes[own]
+            shift = self.starts[own] - (np.cumsum(sizes) - sizes)
+            parts.append(self.joined[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))].tobytes())
+        return b"".join(parts).decode().replace(SPACE, " ")[1:]
 
     # ---- chunks; a body has up to ``reach`` characters in front of the chunk, ``first`` of them
 
@@ -198,23 +241,37 @@ def _grid(raw: bytes, reach: int) -> np.ndarray:
     return np.frombuffer(raw, "<i8").reshape(-1, reach)
 
 
-def _small(vocabulary: str):
+def _small(vocabulary: str, digests: bool):
     def run(batches):
         lattice = Lattice(vocabulary)
         for batch in batches:
             out, size = [], 0
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids, score = lattice.encode(text)
+                if digests:
+                    out.append((doc_id, score / lattice.scale, *_digest(lattice, ids)))
+                    continue
                 out.append((doc_id, ids, score / lattice.scale))
                 size += len(ids)
                 if size > 8 << 20:
                     yield _ids_batch(out)
                     out, size = [], 0
             if out:
-                yield _ids_batch(out)
+                yield _digest_batch(out) if digests else _ids_batch(out)
     return run
 
 
+def _digest(lattice: Lattice, ids: bytes) -> tuple[int, int, str]:
+    """Number of pieces, CRC-32 of the ids and SHA-256 of the text that they decode to."""
+    return len(ids) // 4, zlib.crc32(ids), hashlib.sha256(lattice.decode(ids).encode()).hexdigest()
+
+
+def _digest_batch(rows):
+    kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                      ["doc_id", "score", "n_pieces", "ids_crc32", "decoded_sha256"])
+
+
 def _ids_batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
         zip(*rows), (pa.int64(), pa.binary(), pa.float64()))], ["doc_id", "ids", "score"])
@@ -311,15 +368,22 @@ def _giants(docs: DataFrame, vocabulary: str, chunk: int, block: int, reach: int
     return joined.join(scores, "text_key").select("doc_id", "ids", "score")
 
 
-def encode(docs: DataFrame, vocabulary: str, giant: int = GIANT, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
-    """doc_id, ids (little-endian, 32 bits each) and score of each row."""
+def encode(docs: DataFrame, vocabulary: str, giant: int = GIANT, chunk: int = CHUNK, block: int = BLOCK,
+           digests: bool = False) -> DataFrame:
+    """doc_id, ids (little-endian, 32 bits each) and score of each row.
+
+    With ``digests`` the ids are decoded again where they were made, and their number, CRC-32
+    and the SHA-256 of the decoded text take their place.
+    """
     lattice = Lattice(vocabulary)
     if chunk < lattice.reach:
         raise ValueError("a chunk must be at least as long as the longest piece")
     rows = text_rows(docs)
-    small = rows.filter(F.length("text") <= giant).mapInArrow(_small(vocabulary), "doc_id long, ids binary, score double")
-    return small.union(_giants(rows.filter(F.length("text") > giant), vocabulary, chunk, block, lattice.reach)
-                       .select("doc_id", "ids", F.expr(f"score / {lattice.scale}D").alias("score")))
+    small = rows.filter(F.length("text") <= giant).mapInArrow(
+        _small(vocabulary, digests), DIGESTS if digests else "doc_id long, ids binary, score double")
+    large = _giants(rows.filter(F.length("text") > giant), vocabulary, chunk, block, lattice.reach).select(
+        "doc_id", "ids", F.expr(f"score / {lattice.scale}D").alias("score"))
+    return small.union(digest(large, vocabulary) if digests else large)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -333,14 +397,11 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def digest(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_pieces, score, ids_crc32 and the SHA-256 of the decoded text."""
+    """DIGESTS of encoded rows."""
     def run(batches):
         lattice = Lattice(vocabulary)
         for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), batch.column("score"),
-                pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array([lattice.decode(i) for i in ids], pa.string())],
-                ["doc_id", "n_pieces", "score", "ids_crc32", "text"])
-    return encoded.mapInArrow(run, "doc_id long, n_pieces long, score double, ids_crc32 long, text string").select(
-        "doc_id", "n_pieces", "score", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+            if batch.num_rows:
+                yield _digest_batch([(d, s, *_digest(lattice, i)) for d, i, s in zip(
+                    *(batch.column(c).to_pylist() for c in ("doc_id", "ids", "score")))])
+    return encoded.mapInArrow(run, DIGESTS)
