@@ -14,7 +14,6 @@ from assay.functions.columns import clean, quoted
 from assay.functions.order_stats import value_positions
 from assay.functions.tails import t_two_sided
 
-LARGE_TABLE_ROWS = 100_000
 
 
 def aggregate_first(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:

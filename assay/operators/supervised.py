@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from assay.functions.columns import clean, quoted
 from assay.functions.order_stats import value_positions
 from assay.operators.resampling import bootstrap_ci
+from assay.session import cut_lineage
 
 # Fixed values of the task settings.
 TREES, FOLDS, SEED = 200, 5, 42
@@ -62,9 +63,9 @@ def cross_validate(df: DataFrame, key: Sequence[str], features: Sequence[str], t
     The loop is over the few folds; every fit and prediction is a Spark job over
     the whole feature table.
     """
-    rows = with_fold(assemble(df.withColumn("target", quoted(target).cast("double")).filter(
+    rows = cut_lineage(with_fold(assemble(df.withColumn("target", quoted(target).cast("double")).filter(
         "target is not null"), features), key, folds).select(*[quoted(k) for k in key], "fold",
-                                                            "target", "features").cache()
+                                                            "target", "features"))
     preds, importance = None, []
     for fold in range(folds):
         model = _learner(kind, trees, depth).fit(rows.filter(F.col("fold") != fold))

@@ -36,8 +36,21 @@ def _named(df: DataFrame) -> DataFrame:
         "attempt_label"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3).alias("run_id"))
 
 
+def unreadable(spark: SparkSession, folder: str) -> DataFrame:
+    """Gate and verdict files that are not JSON or whose name does not follow the format."""
+    def scan(kind: str, schema: str, column: str) -> DataFrame:
+        raw = spark.read.schema(schema).option("multiLine", True).option(
+            "recursiveFileLookup", True).option("pathGlobFilter", f"*__{kind}.json").json(folder)
+        return _named(raw.select(column, "_corrupt_record", "_metadata")).select(
+            F.col("_metadata.file_path").alias("path"), F.lit(kind).alias("kind"),
+            F.when(F.col("_corrupt_record").isNotNull() & F.col(column).isNull(), "not JSON").when(
+                F.col("dataset") == "", "unknown name").alias("problem"))
+    return scan("gate", GATE_SCHEMA, "status").unionByName(
+        scan("verdict", VERDICT_SCHEMA, "evaluators_ran")).filter("problem is not null")
+
+
 def read_gates(spark: SparkSession, folder: str) -> DataFrame:
-    """Gate records of all runs; unreadable files are left out."""
+    """Gate records of all runs; ``unreadable`` lists the files that give none."""
     raw = spark.read.schema(GATE_SCHEMA).option("multiLine", True).option(
         "recursiveFileLookup", True).option("pathGlobFilter", "*__gate.json").json(folder)
     return _named(raw).filter("_corrupt_record is null and dataset <> ''").drop("_corrupt_record")

@@ -65,6 +65,8 @@ def test_artifacts(spark, tmp_path):
     assert [(r["run_id"], r["model"], r["run_label"]) for r in reg] == [("r1", "m", "base"), ("r2", "spare", "")]
     idx = {(r["run_id"], r["dataset"]): r for r in S.artifact_index(spark, str(tmp_path)).collect()}
     assert (idx[("r1", "ds")]["gate"], idx[("r1", "ds")]["verdict"]) == (3, 1)
+    lost = S.unreadable(spark, str(tmp_path)).collect()
+    assert sorted((r["path"].split("/")[-1], r["problem"]) for r in lost) == [("ds__cleaning__gate.json", "not JSON")] * 2
 
 
 def test_store(spark, tmp_path):
