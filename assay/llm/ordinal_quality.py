@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,22 +76,23 @@ class Model:
 
 
 def _design(texts: list[str], bits: int):
-    row, col, value = [], [], []
+    """Sparse features: text, slot and value; a slot stands once for each text."""
+    rows, cols, values = [], [], []
     for i, text in enumerate(texts):
         words = text.split()
-        counts: dict[str, int] = {}
-        for w in words:
-            counts[w] = counts.get(w, 0) + 1
+        counts = Counter(words)
+        share: dict[int, float] = {}
         for w, c in counts.items():
             for s in slots_of(w, bits):
-                row.append(i)
-                col.append(s)
-                value.append(SCALE * c / len(words))
+                share[s] = share.get(s, 0.0) + SCALE * c / len(words)
         for s in bins_of(text, words, len(counts), bits):
-            row.append(i)
-            col.append(s)
-            value.append(1.0)
-    return np.array(row, np.int32), np.array(col, np.int32), np.array(value, np.float32)
+            share[s] = share.get(s, 0.0) + 1.0
+        rows.append(np.full(len(share), i, np.int32))
+        cols.append(np.fromiter(share.keys(), np.int32, len(share)))
+        values.append(np.fromiter(share.values(), np.float32, len(share)))
+    if not rows:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32)
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
 
 
 def _likelihood_gradients(z: np.ndarray, grade: np.ndarray, thresholds: np.ndarray):
