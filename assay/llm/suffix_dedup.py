@@ -340,14 +340,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, anch
     texts = cut_lineage(rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     runs = rows.select("text", "t1", "t2").mapInArrow(
         _run_rows(length, gram), "key long, sign long, t1 long, place long")
-    twice = (runs.groupBy("key").agg(F.count("*").alias("c"), F.max(_tied("place")).alias("tied"))
-             .filter("c > 1 OR tied = 1").select("key"))
+    # Written first, so that the join has plain exchanges, of which Spark can split a hot key.
+    twice = cut_lineage(runs.groupBy("key").agg(F.count("*").alias("c"), F.max(_tied("place")).alias("tied"))
+                        .filter("c > 1 OR tied = 1").select("key"))
     found = cut_lineage(runs.join(twice, "key").groupBy("key", "sign", "t1", "place").agg(F.lit(1).alias("one"))
                         .drop("one"))
-    strings = found.groupBy("key", "sign").agg(
-        F.count("*").alias("n"), F.min(F.struct("t1", "place")).alias("at"), F.max(_tied("place")).alias("tied"))
-    by_key = (strings.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.max("tied").alias("any"))
-              .filter("total > 1 OR any = 1"))
+    strings = cut_lineage(found.groupBy("key", "sign").agg(
+        F.count("*").alias("n"), F.min(F.struct("t1", "place")).alias("at"), F.max(_tied("place")).alias("tied")))
+    by_key = cut_lineage(strings.groupBy("key").agg(
+        F.count("*").alias("m"), F.sum("n").alias("total"), F.max("tied").alias("any")).filter("total > 1 OR any = 1"))
     strings = cut_lineage(strings.join(by_key.drop("total"), "key"))
     whole = found.join(strings.filter("n > 1").select("key", "sign"), ["key", "sign"], "left_semi").select(
         "t1", _mark("place").alias("t2"), _offset("place").alias("offset"), _windows("place").alias("windows"))
