@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import exact_dedup, packing, quality_rules, simhash, suffix_dedup
+from assay.llm import exact_dedup, near_texts, packing, quality_rules, suffix_dedup
 from assay.llm.common import cut_lineage
 from assay.llm.queries import tokenizer_file
 
@@ -22,8 +22,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-equal fingerprints stays."""
-    return simhash.dedup(docs)
+    """One document of each component of texts with similarity 0.8 or more (five-word shingles) stays."""
+    return near_texts.dedup(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
