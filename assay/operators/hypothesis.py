@@ -8,16 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.columns import clean, quoted
 from assay.functions.order_stats import exact_quantiles, value_positions
 from assay.functions.tails import chi2_upper, exact_u_two_sided, f_upper, normal_two_sided, t_two_sided
+from assay.session import cut_lineage
 
-#: Levels of the second factor that one system of equations takes.
-MAX_SOLVED_LEVELS = 2000
 #: Exact Mann-Whitney p: values of the smaller side, and product of both sizes.
 EXACT_SIDE, EXACT_CELLS = 8, 10_000
 
@@ -211,34 +209,45 @@ def tukey_q(df: DataFrame, by: Sequence[str], group: str, value: str) -> DataFra
         F.abs(F.try_divide(F.col("mean_a") - F.col("mean_b"), se)).alias("q"), "k", "df_within")
 
 
-def _adjusted_square(cells: DataFrame) -> float | None:
-    """Sum of squares of ``b`` given ``a``, from the normal equations of the levels of ``b``."""
-    levels = [r[0] for r in cells.select("b").distinct().limit(MAX_SOLVED_LEVELS + 1).collect()]
-    if len(levels) > MAX_SOLVED_LEVELS:
-        return None
-    place = {v: i for i, v in enumerate(levels)}
-    of_a = cells.groupBy("a").agg(F.sum("n").alias("na"), F.sum("s").alias("sa"))
-    rows = cells.join(of_a, "a")
-    own = rows.groupBy("b").agg(F.sum("n").alias("n"), F.sum(
-        F.col("s") - F.col("n") * F.col("sa") / F.col("na")).alias("r")).collect()
-    both = rows.alias("x").join(cells.alias("y"), F.col("x.a") == F.col("y.a")).groupBy("x.b", F.col("y.b").alias("c")).agg(
-        F.sum(F.col("x.n") * F.col("y.n") / F.col("x.na")).alias("w")).collect()
-    matrix, right = np.zeros((len(levels), len(levels))), np.zeros(len(levels))
-    for r in own:
-        matrix[place[r.b], place[r.b]] += r.n
-        right[place[r.b]] = r.r
-    for r in both:
-        matrix[place[r.b], place[r.c]] -= r.w
-    return float(right @ np.linalg.pinv(matrix, hermitian=True) @ right) if levels else 0.0
+def _adjusted_square(cells: DataFrame) -> float:
+    """Sum of squares of ``b`` given ``a``, for any number of levels.
+
+    Conjugate gradients on the normal equations of the levels of ``b``, scaled by their sizes.
+    A step sums the cells by ``a``, then by ``b``, each time with one value per level; the sum
+    of squares grows by a known share in every step.
+    """
+    cells = cut_lineage(cells.select("a", "b", F.col("n").cast("double").alias("n"), "s"))
+
+    def centred(values: DataFrame, c: str) -> DataFrame:
+        """Per level of b: the sum of ``c`` over its rows less the mean of each row's level of a."""
+        of_a = values.groupBy("a").agg((F.sum(c) / F.sum("n")).alias("m"))
+        return values.join(of_a, "a").groupBy("b").agg(
+            F.sum("n").alias("size"), F.sum(F.col(c) - F.col("n") * F.col("m")).alias("r"))
+
+    z = F.col("r") / F.col("size")
+    state = cut_lineage(centred(cells, "s").withColumn("p", z))
+    rz = first = state.agg(F.sum(F.col("r") * z)).first()[0] or 0.0
+    total = 0.0
+    while rz > 1e-22 * first:
+        moved = cells.join(state.select("b", "p"), "b").withColumn("np", F.col("n") * F.col("p"))
+        step = cut_lineage(state.join(centred(moved, "np").select("b", F.col("r").alias("q")), "b"))
+        pq = step.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+        if not pq > 0:
+            break
+        alpha = rz / pq
+        total += alpha * rz
+        state = cut_lineage(step.withColumn("r", F.col("r") - alpha * F.col("q")).drop("q"))
+        last, rz = rz, state.agg(F.sum(F.col("r") * z)).first()[0]
+        state = state.withColumn("p", z + rz / last * F.col("p"))
+    return total
 
 
 def two_way_anova(df: DataFrame, a: str, b: str, value: str) -> DataFrame:
     """Two-way analysis of variance with interaction from cell sums.
 
     Sums of squares are sequential: ``a``, then ``b`` given ``a``, then the interaction
-    given both. For cells of equal size they are the usual ones. ``b`` given ``a`` solves
-    one equation per level of ``b``; beyond ``MAX_SOLVED_LEVELS`` levels it and the
-    interaction are NULL.
+    given both. For cells of equal size they are the usual ones. ``b`` given ``a`` has an
+    equation per level of ``b``, solved by steps in Spark for any number of levels.
     """
     v = clean(df, value).cast("double")
     rows = df.select(quoted(a).alias("a"), quoted(b).alias("b"), v.alias("v")).dropna()
@@ -258,7 +267,8 @@ def two_way_anova(df: DataFrame, a: str, b: str, value: str) -> DataFrame:
         at(0, part).alias("cell"), at(1, part).alias("pa"), at(3, part).alias("all"), at(3, F.col("q")).alias("q"), at(3, F.col("n")).alias("n"),
         at(0, F.lit(1)).alias("kc"), at(1, F.lit(1)).alias("ka"), at(2, F.lit(1)).alias("kb"))
     ss_a, ss_b = F.col("pa") - F.col("all"), F.lit(given).cast("double")
-    ss_ab = F.greatest(F.col("cell") - F.col("all") - ss_a - ss_b, F.lit(0.0))
+    left = F.col("cell") - F.col("all") - ss_a - ss_b
+    ss_ab = F.when(left < 0, 0.0).otherwise(left)  # NULL stays NULL
     ss_e = F.col("q") - F.col("cell")
     df_a, df_b = F.col("ka") - 1, F.col("kb") - 1
     df_ab, df_e = F.col("kc") - F.col("ka") - F.col("kb") + 1, F.col("n") - F.col("kc")

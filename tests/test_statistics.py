@@ -210,6 +210,30 @@ def test_two_way_anova_with_unequal_cells(spark):
         assert abs(got[name].ss - (high - low)) < 1e-9 and got[name].ss >= 0
 
 
+def test_two_way_anova_of_many_levels(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 3, 9000), rng.integers(0, 2500, 9000)
+    y = rng.normal(size=9000) + a + 0.01 * b
+    df = spark.createDataFrame([(int(i), int(j), float(v)) for i, j, v in zip(a, b, y)], "a int, b int, v double")
+    got = {r.source: r for r in H.two_way_anova(df, "a", "b", "v").collect()}
+    levels = {v: i for i, v in enumerate(np.unique(b))}
+    at = np.array([levels[v] for v in b])
+    k, size = len(levels), np.bincount(at)
+    assert k > 2000
+    # b is eliminated here: residuals within b, then three equations for a
+    def within(v):
+        return v - (np.bincount(at, v) / size)[at]
+
+    x = np.stack([within((a == i).astype(float)) for i in range(3)], 1)
+    r = within(y)
+    both = float((r ** 2).sum() - r @ x @ np.linalg.pinv(x.T @ x) @ x.T @ r)
+    alone = sum(((y[a == i] - y[a == i].mean()) ** 2).sum() for i in range(3))
+    cell = np.unique(a * 10_000 + b, return_inverse=True)[1]
+    full = float(((y - (np.bincount(cell, y) / np.bincount(cell))[cell]) ** 2).sum())
+    assert got["b"].ss == pytest.approx(alone - both, rel=1e-9) and got["b"].df == k - 1
+    assert got["a:b"].ss == pytest.approx(both - full, rel=1e-9) and 0 < got["a:b"].p < 1
+
+
 def test_exact_mann_whitney_of_small_samples(spark):
     first, second = [1.1, 2.3, 0.4, 5.5], [3.3, 6.1, 7.2, 8.8, 2.9]
     df = spark.createDataFrame([("a", v) for v in first] + [("b", v) for v in second], "g string, v double")
