@@ -10,7 +10,8 @@ The labelled table is made from ``LABELLED``: page outlines in which every block
 filled with words in several lengths.
 
 Results for unusual input: a null page and a page without article blocks have an empty text;
-broken markup is read as far as it goes, an unclosed comment, script or style hides the rest;
+broken markup is read as far as it goes, an unclosed comment, script, style, textarea or title
+hides the rest;
 rows that repeat are extracted alike; ids and urls may be null; no rows give no rows.
 """
 
@@ -33,6 +34,8 @@ BLOCK = set("""address article aside blockquote body button caption center dd de
 #: Elements whose content is not text of the page.
 SILENT = set("script style noscript template svg title textarea select iframe object canvas head".split())
 RAW = ("script", "style", "textarea", "title", "iframe", "noscript", "template", "svg")
+#: Those that contain their own kind, and those that hide the rest of a page when unclosed.
+NESTED, HIDES_REST = ("svg", "template"), ("script", "style", "textarea", "title")
 #: Elements that stay open until their end tag and pass their context on.
 CONTAINER = set("""article aside body button center dialog details div dl dd fieldset figure footer form header
  label main menu nav ol section select table td th ul li blockquote""".split())
@@ -59,6 +62,7 @@ FEATURES = ["words", "links", "words before", "links before", "words after", "li
             "sentence", "outside"] + KINDS + ["hidden"]
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_RAW_TAG = {e: re.compile(rf"<(/?){e}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I) for e in RAW}
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -152,9 +156,35 @@ class _Page:
             self.item = sum(e == "li" for e, _ in self.stack)
 
 
+def raw_end(page: str, element: str, attributes: str, at: int, unclosed: set[str]) -> int:
+    """Where the page goes on after the start tag of a silent element that ends at ``at``.
+
+    An svg that closes itself is empty; svg and template nest. Without an end tag, script, style,
+    textarea and title hide the rest, the others nothing; ``unclosed`` remembers those, so that a
+    page full of them is not searched again for each.
+    """
+    if element == "svg" and attributes.endswith("/"):
+        return at
+    if element in unclosed:
+        return at
+    depth, nests = 1, element in NESTED
+    for mark in _RAW_TAG[element].finditer(page, at):
+        if mark[1]:
+            depth -= 1
+        elif nests and not (element == "svg" and mark[2].endswith("/")):
+            depth += 1
+        if not depth:
+            return mark.end()
+    if element in HIDES_REST:
+        return len(page)
+    unclosed.add(element)
+    return at
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in page order."""
     out, at, n = _Page(), 0, len(page)
+    unclosed: set[str] = set()
     while at < n:
         mark = page.find("<", at)
         if mark < 0:
@@ -176,8 +206,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if element in RAW:
             out.flush()
-            end = re.compile(rf"</{element}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            at = raw_end(page, element, tag[3], at, unclosed)
             continue
         out.open(element, tag[3])
     out.flush()

@@ -37,6 +37,14 @@ def test_odd_markup(body, text):
     assert page(body) == text
 
 
+@pytest.mark.parametrize("raw", [
+    '<svg class="icon"/>', "<svg/>", "<svg><g><svg><text>in</text></svg></g><text>out</text></svg>", "<iframe src=x>", "<noscript>",
+    "<template><template><p>in</p></template><p>out</p></template>", "<svg><svg/><text>in</text></svg>", "<svg viewbox='0 0 1 1'>",
+    "<svg><title>never closed</svg>"])
+def test_silent_elements_hide_only_themselves(raw):
+    assert page(f"<article><p>First line here.</p>{raw}<p>Second line here.</p></article>") == "First line here.\nSecond line here."
+
+
 def test_tree_learns_its_table():
     rows, labels = html_text.labelled_table()
     tree = html_text.grow(rows, labels)
