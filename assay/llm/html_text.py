@@ -58,6 +58,10 @@ _MEANS = {word: k for k, kind in enumerate(KINDS) for word in NAMES[kind].split(
 _ELEMENT = {"nav": 0, "menu": 0, "header": 1, "footer": 2, "aside": 3, "form": 5, "button": 5, "label": 5, "fieldset": 5,
             "dialog": 6, "article": 8, "main": 8}
 MAIN, HIDDEN = KINDS.index("main"), len(KINDS)
+#: Names with such a word tell how a page is laid out, not what a container holds.
+MODIFIERS = frozenset("has with without no not layout".split())
+NAMED = 16
+_WRAPPERS = sum(1 << KINDS.index(k) for k in ("menu", "header", "footer", "form", "notice"))
 FEATURES = ["words", "links", "words before", "links before", "words after", "links after", "heading", "list", "cell",
             "sentence", "outside"] + KINDS + ["hidden"]
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
@@ -80,22 +84,42 @@ class Block:
 
 
 def context(element: str, attributes: str, outer: int) -> int:
-    """Bits of the container kinds in force inside an element."""
-    own = 0
+    """Bits of the container kinds in force inside an element.
+
+    Kinds that elements and roles give stand in the low bits, those of class and id names
+    ``NAMED`` bits higher. Names on body and of a main element itself say nothing but that it is
+    main, nor do names with a word such as "no" or "has"; inside main, names of its wrappers no
+    longer hold, and inside an article those that wrap no articles of their own.
+    """
+    hard = named = 0
+    main = element == "main"
     if element in _ELEMENT:
-        own |= 1 << _ELEMENT[element]
+        hard |= 1 << _ELEMENT[element]
     if attributes:
         given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-        for name in ("class", "id", "role"):
-            for word in _NAME.findall(given.get(name, "")):
-                if (k := _MEANS.get(word.lower())) is not None and not (element == "body" and k == MAIN):
-                    own |= 1 << k
+        for word in _NAME.findall(given.get("role", "")):
+            if (k := _MEANS.get(word.lower())) is not None:
+                hard |= 1 << k
+                main |= word.lower() == "main"
+        for name in f"{given.get('class', '')} {given.get('id', '')}".split():
+            words = [w.lower() for w in _NAME.findall(name)]
+            if not MODIFIERS.intersection(words):
+                for k in {_MEANS[w] for w in words if w in _MEANS}:
+                    named |= 1 << k
+        if element == "body":
+            named = 0
+        elif main:
+            named &= 1 << MAIN
         if _HIDDEN.search(given.get("style", "")) or given.get("aria-hidden") == "true" or re.search(
                 r"(?:^|\s)hidden(?:\s|$)", attributes):
-            own |= 1 << HIDDEN
-    if outer >> MAIN & 1:  # a header of the article itself is part of it
-        own &= ~(1 << KINDS.index("header"))
-    return outer | own
+            hard |= 1 << HIDDEN
+    if main:
+        outer &= (1 << NAMED) - 1
+    elif element == "article":
+        outer &= ~(_WRAPPERS << NAMED)
+    if (outer | outer >> NAMED) >> MAIN & 1:  # a header of the article itself is part of it
+        hard, named = hard & ~(1 << KINDS.index("header")), named & ~(1 << KINDS.index("header"))
+    return outer | hard | named << NAMED
 
 
 class _Page:
@@ -121,8 +145,9 @@ class _Page:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
+                bits = self.stack[-1][1] if self.stack else 0
                 self.blocks.append(Block(text, max(1, self.words), self.linked, self.heading, self.item > 0,
-                                         self.cell > 0, self.stack[-1][1] if self.stack else 0))
+                                         self.cell > 0, (bits | bits >> NAMED) & (1 << NAMED) - 1))
             self.parts, self.words, self.linked = [], 0, 0
 
     def open(self, element: str, attributes: str) -> None:
@@ -258,6 +283,10 @@ LABELLED = [
     "<article><h1>K*</h1></article><div class=sponsored><p>D*</p></div>",
     "<h1>K**</h1><p>K**</p>",
     "<main><section><h2>K*</h2><p>K*</p></section><section class=comments><p>D***</p><p>D*</p></section></main>",
+    "<body class=has-sidebar><div class=layout-no-sidebar><h1>K**</h1><p>K***</p><p>K**</p></div><div class=sidebar><p>D***"
+    "</p></div></body>",
+    "<div id=legal-news><main class=with-footer><p>K***</p><p>K*</p></main></div><div class=site-footer><p>D***</p></div>",
+    "<div id=form-page><article><h1>K**</h1><p>K***</p></article></div><div class=sidebar><article><p>D***</p></article></div>",
 ]
 LENGTHS = ((1, 4, 18), (2, 9, 45), (1, 14, 120), (3, 25, 70))
 

@@ -45,6 +45,16 @@ def test_silent_elements_hide_only_themselves(raw):
     assert page(f"<article><p>First line here.</p>{raw}<p>Second line here.</p></article>") == "First line here.\nSecond line here."
 
 
+@pytest.mark.parametrize("wrap", [
+    '<body class="has-sidebar"><article>%s</article></body>', '<div class="layout-no-sidebar"><article>%s</article></div>',
+    '<div id="legal-news"><article>%s</article></div>', '<main class="with-footer">%s</main>',
+    '<div class="page sidebar"><div role="main">%s</div></div>'])
+def test_names_of_wrappers_do_not_hide_the_article(wrap):
+    text = " ".join(["word"] * 40) + "."
+    assert page(wrap % f"<h1>Some heading here</h1><p>{text}</p><p>{text}</p>") == f"Some heading here\n{text}\n{text}"
+    assert page(f"<div class=sidebar><article><p>{text}</p></article></div>") == ""
+
+
 def test_tree_learns_its_table():
     rows, labels = html_text.labelled_table()
     tree = html_text.grow(rows, labels)
