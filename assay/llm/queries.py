@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assay.llm import (
-    best_position, exact_dedup, html_text, ordinal_quality, packing, quality_rules, segment_bounds, sentencepiece_scan,
-    simhash,
-    suffix_dedup, toxicity, warc)
+    best_position, exact_dedup, html_text, ordinal_quality, packing, pii_spans, quality_rules, segment_bounds,
+    sentencepiece_scan, simhash, suffix_dedup, toxicity, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -220,3 +219,13 @@ SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_scor
 def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return segment_bounds.mine(table(spark, folder, "embeddings"), moved, F.col("vec_id") % 50 == 0)
+
+
+@query()
+def op11_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii_spans.detect(table(spark, folder, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}")
+              for k, name in enumerate(pii_spans.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii_spans.as_text(F.col("base")), 256).alias("base_sha256"),
+                        pii_spans.as_text(F.col("spans")).alias("spans"))
