@@ -1,16 +1,31 @@
-"""Text helpers: keyword conditions and exact containment of terms in texts."""
+"""Text helpers: keyword conditions and exact containment of terms in texts.
+
+Containment is a search for many patterns at once: the terms become an Aho-Corasick automaton,
+which walks each text one time whatever their number. An automaton holds at most ``SHARD_CHARS``
+characters of terms, dealt by the hash of the whole term, so a prefix that many terms share fills
+no shard more than others. Up to ``MAX_PASSES`` shards, each shard is one Arrow pass over the
+texts where they lie: the driver holds the terms of one shard, texts are not shuffled, and what
+leaves a task are four hashes for each match. Beyond that, terms and texts of a group meet in a
+grid of cells, each with one shard and one slice of the group's texts.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.columns import quoted
+from assay.session import cut_lineage
 
-BLOCK = 6
+SHARD_CHARS = 1 << 20
+MAX_PASSES = 32
+SLICE_CHARS = 1 << 26
+_PAIRS = "t1 long, t2 long, d1 long, d2 long"
+_FLUSH = 1 << 16
 
 
 def mentions(text: Column, words: Sequence[str]) -> Column:
@@ -24,32 +39,127 @@ def stem(path: Column) -> Column:
     return F.lower(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""))
 
 
-def containment(terms: DataFrame, texts: DataFrame, by: Sequence[str], term: str, text: str
-                ) -> DataFrame:
+def _hashes(columns: Sequence[Column], names: Sequence[str]) -> list[Column]:
+    """Two 64-bit hashes of a row that tell NULL from absent values."""
+    parts = [x for c in columns for x in (c.isNull(), c)]
+    return [F.xxhash64(F.lit(i), *parts).alias(n) for i, n in enumerate(names)]
+
+
+def _automaton(terms: Sequence[str]):
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for i, term in enumerate(terms):
+        found.add_word(term, i)
+    found.make_automaton()
+    return found
+
+
+class _Pairs:
+    """Matches as Arrow batches of bounded size."""
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+
+    def add(self, automaton, terms: Sequence[tuple[int, int]], text: str, d1: int, d2: int) -> None:
+        self.rows += [(*terms[i], d1, d2) for i in {i for _, i in automaton.iter(text)}]
+
+    def full(self, least: int = _FLUSH):
+        if len(self.rows) >= least:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in zip(*self.rows)], ["t1", "t2", "d1", "d2"])
+            self.rows = []
+
+
+def _one_pass(terms: Sequence[tuple[str, int, int]]) -> Callable:
+    """Search the automaton of one shard in the texts that a task reads."""
+    def run(batches):
+        automaton, keys, out = _automaton([t for t, _, _ in terms]), [(a, b) for _, a, b in terms], _Pairs()
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("body", "d1", "d2")]
+            for text, d1, d2 in zip(*cols):
+                out.add(automaton, keys, text, d1, d2)
+                yield from out.full()
+        yield from out.full(1)
+    return run
+
+
+def _cells(batches):
+    """Rows come sorted by cell, the terms of a cell before its texts."""
+    at, terms, keys, automaton, out = None, [], [], None, _Pairs()
+    for batch in batches:
+        cols = [batch.column(c).to_pylist() for c in ("g1", "g2", "shard", "slice", "is_text", "h1", "h2", "body")]
+        for g1, g2, shard, part, is_text, h1, h2, body in zip(*cols):
+            if (g1, g2, shard, part) != at:
+                at, terms, keys, automaton = (g1, g2, shard, part), [], [], None
+            if not is_text:
+                terms.append(body)
+                keys.append((h1, h2))
+            elif terms:
+                automaton = automaton or _automaton(terms)
+                out.add(automaton, keys, body, h1, h2)
+                yield from out.full()
+    yield from out.full(1)
+
+
+def _grid_pairs(terms: DataFrame, texts: DataFrame, by: Sequence[Column], shard_chars: int, slice_chars: int) -> DataFrame:
+    """Pairs from a grid of (group, shard of its terms, slice of its texts)."""
+    own = _hashes(by, ["g1", "g2"])
+    t = terms.select(*own, "h1", "h2", "body").distinct()
+    d = texts.select(*own, F.col("d1").alias("h1"), F.col("d2").alias("h2"), "body")
+
+    def parts(df: DataFrame, name: str, most: int) -> DataFrame:
+        n = F.ceil(F.sum(F.length("body")) / most).cast("int").alias(name)
+        return df.groupBy("g1", "g2").agg(n).filter(F.col(name) > 1)  # at most total / most groups
+    many = parts(t, "shards", shard_chars).join(parts(d, "slices", slice_chars), ["g1", "g2"], "full")
+
+    def dealt(df: DataFrame, is_text: bool) -> DataFrame:
+        own, other = ("slice", "shard") if is_text else ("shard", "slice")
+        df = df.join(many, ["g1", "g2"], "left").withColumn(own, F.pmod(
+            F.xxhash64("h1", "h2"), F.coalesce(f"{own}s", F.lit(1))).cast("int"))
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(f"{other}s", F.lit(1)) - 1))).select(
+            "g1", "g2", "shard", "slice", F.lit(is_text).alias("is_text"), "h1", "h2", "body")
+    cell = ["g1", "g2", "shard", "slice"]
+    return dealt(t, False).union(dealt(d, True)).repartition(*cell).sortWithinPartitions(*cell, "is_text").mapInArrow(
+        _cells, _PAIRS)
+
+
+def containment(terms: DataFrame, texts: DataFrame, by: Sequence[str], term: str, text: str,
+                shard_chars: int = SHARD_CHARS, max_passes: int = MAX_PASSES, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """All (term row, text row) pairs of one ``by`` group where the text contains the term.
 
-    An equi join on the first characters of the term meets the same run of
-    characters in the text, so texts are cut into short runs once and never paired
-    with every term. Candidates are then checked in full.
+    Columns are ``by``, the other columns of ``terms``, then those of ``texts``. Empty and NULL
+    terms, NULL texts and NULL keys are in no pair; rows that repeat give a pair each. A text comes
+    into the result only if it is selected from it: pairs are found as hashes of the two rows.
     """
-    t = terms.filter(F.length(quoted(term)) > 0).withColumn(
-        "__block", F.substring(quoted(term), 1, BLOCK))
-    sizes = [r[0] for r in t.select(F.length("__block")).distinct().collect()]  # at most BLOCK rows
-
-    def runs(n: int) -> Column:
-        """All runs of n characters, built from the character array in one linear walk."""
-        last = F.size("__chars") - (n - 1)
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(
-            starts, lambda i: F.array_join(F.slice("__chars", i, F.lit(n)), "")))
-
-    every = F.flatten(F.array(*[runs(n) for n in sizes])) if sizes else F.array().cast("array<string>")
-    # Only hashes of the rows meet at a run; whole rows come back for the pairs that remain.
-    t = t.withColumn("__term", F.xxhash64(*[quoted(c) for c in terms.columns]))
-    whole = texts.withColumn("__text", F.xxhash64(*[quoted(c) for c in texts.columns]))
-    cut = whole.withColumn("__chars", F.split(quoted(text), "")).select(
-        *[quoted(b) for b in by], "__text", F.explode(every).alias("__block"))
-    near = t.select(*[quoted(b) for b in by], "__block", "__term").join(cut, [*by, "__block"]).select(
-        *[quoted(b) for b in by], "__term", "__text").distinct()
-    return near.join(t.drop("__block"), [*by, "__term"]).join(whole, [*by, "__text"]).filter(
-        F.contains(quoted(text), quoted(term))).drop("__term", "__text")
+    keys = [quoted(b) for b in by]
+    known = F.lit(True)
+    for k in keys:
+        known &= k.isNotNull()
+    asked = terms.filter(known & (F.length(quoted(term)) > 0))
+    asked = asked.select("*", *_hashes([quoted(term)], ["__t1", "__t2"]))
+    given = texts.filter(known & quoted(text).isNotNull())
+    given = given.select("*", *_hashes([quoted(c) for c in texts.columns], ["__d1", "__d2"]))
+    bodies = given.select(*keys, F.col("__d1").alias("d1"), F.col("__d2").alias("d2"), quoted(text).alias("body"))
+    patterns = asked.select(F.col("__t1").alias("h1"), F.col("__t2").alias("h2"), quoted(term).alias("body"))
+    n_chars = patterns.distinct().agg(F.sum(F.length("body"))).first()[0] or 0
+    n_shards = max(1, -(-n_chars // shard_chars))
+    if n_shards > max_passes:
+        pairs = _grid_pairs(asked.select(*keys, F.col("__t1").alias("h1"), F.col("__t2").alias("h2"), quoted(term).alias("body")),
+                            bodies, keys, shard_chars, slice_chars)
+    else:
+        pairs = None
+        for shard in range(n_shards if n_chars else 0):
+            dealt = patterns.filter(F.pmod("h1", F.lit(n_shards)) == shard).distinct()
+            some = bodies.select("d1", "d2", "body").mapInArrow(
+                _one_pass([(r["body"], r["h1"], r["h2"]) for r in dealt.collect()]), _PAIRS)
+            if n_shards > 1:
+                some = cut_lineage(some)  # the driver keeps the terms of one shard
+            pairs = some if pairs is None else pairs.union(some)
+        if pairs is None:
+            pairs = terms.sparkSession.createDataFrame([], _PAIRS)
+    pairs = pairs.distinct().toDF("__t1", "__t2", "__d1", "__d2")
+    def named(side: str, df: DataFrame) -> list[Column]:
+        return [F.col(f"{side}.`" + c.replace("`", "``") + "`") for c in df.columns if c not in by]
+    return pairs.join(given.alias("d"), ["__d1", "__d2"]).join(asked.alias("t"), ["__t1", "__t2", *by]).select(
+        *keys, *named("t", terms), *named("d", texts))

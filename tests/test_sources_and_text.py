@@ -173,3 +173,29 @@ def test_nearest_rows_with_missing_vectors(spark):
     asked = spark.createDataFrame([(10, [1.0, 0.1]), (11, None), (12, [2.0])], "query_id long, embedding array<double>")
     got = {(r.query_id, r.position): r.id for r in top_k(df, asked, 2).collect()}
     assert got == {(10, 1): 1, (10, 2): 7, (12, 1): 4}
+
+
+def test_containment_in_shards_and_cells_equals_substring_search(spark):
+    rng = np.random.default_rng(16)
+    rows = lambda n, most: [(g, i, "".join(rng.choice(list("abé "), rng.integers(0, most)))) for g in ("x", "y", None) for i in range(n)]
+    terms, texts = rows(25, 7), rows(15, 80)
+    terms += [("x", 99, None), ("x", 98, ""), *terms[:4]]
+    texts += [("y", 99, None), *texts[:3]]
+    t = spark.createDataFrame(terms, "`a.g` string, no int, term string")
+    d = spark.createDataFrame(texts, "`a.g` string, i int, text string")
+    want = sorted((g, n, x, i, y) for g, n, x in terms for h, i, y in texts if g and g == h and x and y is not None and x in y)
+    for limits in ({}, {"shard_chars": 40}, {"shard_chars": 40, "max_passes": 1}, {"shard_chars": 30, "max_passes": 1, "slice_chars": 100}):
+        out = containment(t, d, ["a.g"], "term", "text", **limits)
+        assert out.columns == ["a.g", "no", "term", "i", "text"]
+        assert sorted(map(tuple, out.collect())) == want
+    assert containment(t.limit(0), d, ["a.g"], "term", "text").count() == 0
+
+
+def test_containment_of_many_terms_in_a_long_text(spark):
+    words = [f"term{i:06d}x" for i in range(120_000)]
+    body = " ".join(f"term{i:06d}x" for i in range(0, 900_000, 7))  # about 1.5 MB, every seventh number
+    d = spark.createDataFrame([(1, body), (2, "none")], "i int, text string").withColumn("g", F.lit(1))
+    t = spark.createDataFrame([(1, w) for w in words], "g int, term string")
+    out = containment(t, d, ["g"], "term", "text", shard_chars=1 << 19).select("i", "term")
+    assert "Contains" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["term"] for r in out.collect()) == words[::7]

@@ -249,3 +249,45 @@ def test_small_sample_p_against_known_tables():
 
     assert abs(_u_tail(3, 3)[9] - 1 / 20) < 1e-12 and _u_tail(3, 3)[0] == 1.0
     assert abs(_u_tail(2, 4)[8] - 1 / 15) < 1e-12 and len(_u_tail(5, 40)) == 201
+
+
+def test_leaf_counts_add_up_and_follow_their_law():
+    take = np.full(4000, 1000, np.int64)
+    for replace in (True, False):
+        counts = B.leaf_counts(1000 if replace else 1700, take, range(17), replace, 3, 100)
+        assert (sum(counts.values()) == 1000).all()
+        if replace:
+            assert counts[4].mean() == pytest.approx(100, abs=1) and counts[4].var() == pytest.approx(90, rel=0.1)
+        else:
+            n, share = 1700, 1000 / 1700
+            assert counts[4].mean() == pytest.approx(100 * share, abs=0.5)
+            assert counts[4].var() == pytest.approx(100 * share * (1 - share) * (n - 100) / (n - 1), rel=0.1)
+    # A task that needs two leaves only finds the counts that all tasks find.
+    some, all_ = B.leaf_counts(1000, take, [3, 8], True, 3, 100), B.leaf_counts(1000, take, range(10), True, 3, 100)
+    assert (some[3] == all_[3]).all() and (some[8] == all_[8]).all() and len(some) == 2
+    big = B.leaf_counts(1 << 40, np.full(2000, 1 << 39, np.int64), [0, 7], False, 3, 1 << 36)
+    assert big[7].mean() == pytest.approx(2 ** 35, rel=1e-4)
+
+
+def test_splits_keep_the_distribution(spark):
+    rng = np.random.default_rng(7)
+    a, b = np.round(rng.normal(10, 2, 700), 1), np.round(rng.normal(10.4, 2, 500), 1)
+    rows = [("m", "a", float(v)) for v in a] + [("m", "b", float(v)) for v in b] + [("k", "a", 5.0)] * 300 + [("k", "b", 5.0)] * 300
+    df = spark.createDataFrame(rows, "metric string, side string, v double")
+    whole, cut = ({r["metric"]: r for r in B.bootstrap_ci(df, ["metric"], "v", 2000, leaf_size=n).collect()} for n in (1 << 16, 64))
+    for m, spread in (("m", 0.02), ("k", 1e-12)):
+        assert cut[m]["ci_lower"] == pytest.approx(whole[m]["ci_lower"], abs=spread)
+        assert cut[m]["ci_upper"] == pytest.approx(whole[m]["ci_upper"], abs=spread)
+    p, q = ({r["metric"]: r["p"] for r in B.permutation_test(df, ["metric"], "side", "v", 2000, leaf_size=n).collect()} for n in (1 << 16, 64))
+    assert q["m"] == pytest.approx(p["m"], abs=0.01) and p["k"] == q["k"] == 1.0
+    d, e = ({r["metric"]: r for r in B.bootstrap_effect(df, ["metric"], "side", "v", 2000, leaf_size=n).collect()} for n in (1 << 16, 64))
+    assert e["m"]["d_lower"] == pytest.approx(d["m"]["d_lower"], abs=0.03) and (d["k"]["d_lower"], e["k"]["d_upper"]) == (0.0, 0.0)
+
+
+def test_resampling_plan_moves_no_replicated_rows(spark):
+    df = spark.range(5000).selectExpr("id % 3 AS g", "CAST(id AS DOUBLE) AS v")
+    plan = B.bootstrap_means(df, ["g"], "v", 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(sequence") == 1  # leaves of a run of equal values
+    assert "FlatMapGroupsInArrow" in plan and plan.index("posexplode") < plan.index("FlatMapGroupsInArrow")
+    free = B.bootstrap_ci(df, [], "v", 200).first()
+    assert free["ci_lower"] < 2499.5 < free["ci_upper"]
