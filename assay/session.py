@@ -54,6 +54,39 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The stored files outlive lost executors, end the lineage, and tell the
     optimiser the true size of the table for its next joins.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/assay-{uuid.uuid4().hex}"
+    return _stored(df, f"{ensure_checkpoint_dir(df.sparkSession)}/assay-{uuid.uuid4().hex}")
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Intermediate tables of one operator, deleted when nothing reads them any more.
+
+    ``cut`` writes a table as ``cut_lineage`` does; ``free`` deletes the given ones, which must
+    not be read again, not even by a table that was not written itself.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{ensure_checkpoint_dir(spark)}/assay-{uuid.uuid4().hex}"
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.tables)}"
+        table = _stored(df, path)
+        self.tables.append((table, path))
+        return table
+
+    def free(self, *done: DataFrame) -> None:
+        """Delete the files of ``done``; tables that this object did not write stay as they are."""
+        jvm = self.spark._jvm
+        for table, path in self.tables:
+            if any(table is d for d in done):
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def free_all_but(self, *kept: DataFrame) -> None:
+        self.free(*[t for t, _ in self.tables if not any(t is k for k in kept)])
