@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.columns import present, quoted
+from assay.session import cut_lineage
 
 ROWS_PER_PIECE = 4_000_000
 MAX_PIECES = 8192
@@ -118,3 +119,29 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, rank: str = "a
         *[quoted(k) for k in keys], quoted(value),
         (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias(rank))
     return df.join(pos, [*keys, value], "left")
+
+
+def numbered_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], number: str, total: str | None = None
+                  ) -> DataFrame:
+    """Number the rows of each key from 1 in the given order; ``total`` names a column with their count.
+
+    Rows are dealt to tasks by sampled ranges of (keys, order) and sorted there, so neither a key
+    nor a value with very many rows meets in one task, as long as ``order`` goes on beyond the value.
+    What one task holds of a key is numbered from the sum of the tasks before it: a window over as
+    many rows a key as there are tasks. The dealt rows are written first, so that a recomputed
+    task finds the same ranges. Rows with a NULL key are left out.
+    """
+    by = [quoted(k) for k in keys]
+    rows = df.dropna(subset=[k for k in keys]) if keys else df
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(rows.repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order).withColumn(
+        "__at", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__at", 33))
+    sizes = placed.groupBy(*by, "__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    across = Window.partitionBy(*(by or [F.lit(1)]))
+    before = F.sum("__n").over(across.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*by, "__part", (F.coalesce(before, F.lit(0)) - F.col("__first") + 1).alias("__shift"),
+                           F.sum("__n").over(across).alias("__total"))
+    out = placed.join(offsets, [*keys, "__part"]).withColumn(number, F.col("__at") + F.col("__shift"))
+    if total:
+        out = out.withColumn(total, F.col("__total"))
+    return out.select(*[quoted(c) for c in df.columns], quoted(number), *([quoted(total)] if total else []))

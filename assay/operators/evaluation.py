@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.columns import clean, quoted
-from assay.functions.order_stats import exact_quantiles, value_positions
+from assay.functions.columns import clean, present, quoted
+from assay.functions.order_stats import exact_quantiles, numbered_rows, value_positions
 from assay.functions.tails import t_two_sided
 from assay.operators import resampling as B
 from assay.operators.hypothesis import _group_ranks, with_u_test
@@ -171,19 +171,17 @@ def compare_configs(scores: DataFrame, baseline: str | None = None, permutations
 
 
 def holm(comparisons: DataFrame, p: str = "mann_whitney_p", alpha: float = 0.05,
-         family: Sequence[str] = (), tie: Sequence[str] = (), strict: bool = False, **split
-         ) -> DataFrame:
+         family: Sequence[str] = (), tie: Sequence[str] = (), strict: bool = False) -> DataFrame:
     """Holm's corrected significance.
 
-    Each comparison is held against alpha / (number - rank). ``strict`` also stops
-    at the first failure, as the textbook procedure does.
+    Each comparison is held against alpha / (number - rank); equal p-values go by ``tie``, then by
+    a hash of the row, so that any number of them is spread. ``strict`` also stops at the first
+    failure, as the textbook procedure does.
     """
     by = _cols(family)
-    pos = value_positions(comparisons, family, p, **split).select(
-        *by, quoted(p), "before", "total")
-    among = Window.partitionBy(*by, quoted(p)).orderBy(*_cols(tie) or [F.lit(0)])
-    ranked = comparisons.join(pos, [*family, p]).withColumn(
-        "rank", F.col("before") + F.row_number().over(among)).withColumn(
+    known = comparisons.filter(present(comparisons, p))
+    rest = F.xxhash64(*[quoted(c) for c in comparisons.columns])
+    ranked = numbered_rows(known, family, [quoted(p), *_cols(tie), rest], "rank", "total").withColumn(
         "adjusted_alpha", alpha / (F.col("total") - F.col("rank") + 1))
     out = ranked.withColumn("significant", quoted(p) < F.col("adjusted_alpha"))
     if strict:
@@ -192,7 +190,7 @@ def holm(comparisons: DataFrame, p: str = "mann_whitney_p", alpha: float = 0.05,
             F.broadcast(fails), F.lit(True), "left")
         out = out.withColumn("significant", F.col("significant") & (
             F.col("__stop").isNull() | (F.col("rank") < F.col("__stop")))).drop("__stop")
-    return out.drop("before", "total")
+    return out.drop("total")
 
 
 def two_level_mean(df: DataFrame, config: str, run: str, by: Sequence[str], value: str) -> DataFrame:

@@ -17,7 +17,7 @@ from assay.functions.tails import chi2_upper, exact_u_two_sided, f_upper, normal
 from assay.session import cut_lineage
 
 #: Exact Mann-Whitney p: values of the smaller side, and product of both sizes.
-EXACT_SIDE, EXACT_CELLS = 8, 10_000
+EXACT_SIDE, EXACT_CELLS = 8, 1_000_000
 
 
 def _rows(df: DataFrame, by: Sequence[str], group: str, value: str) -> DataFrame:
@@ -79,7 +79,8 @@ def _group_ranks(rows: DataFrame, by: Sequence[str], **split) -> DataFrame:
 def mann_whitney(df: DataFrame, by: Sequence[str], group: str, value: str, first, second,
                  **split) -> DataFrame:
     """Two-sided Mann-Whitney U: exact p without ties if a side has at most ``EXACT_SIDE``
-    values, else the normal one with tie and continuity correction.
+    values and the product of both sizes is at most ``EXACT_CELLS``, else the normal one with tie
+    and continuity correction.
 
     A side with fewer than two values gives (0, 1).
     """

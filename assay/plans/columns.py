@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -21,6 +22,8 @@ ORDINAL_SAMPLE = 20
 ORDINAL_SHARE = 0.6
 DATETIME_SAMPLE = 10
 DATETIME_SHARE = 0.7
+#: Relative error of the distinct-count sketches, and how many such errors an estimate may be off.
+SKETCH_ERROR, SKETCH_MARGIN = 0.02, 6.0
 
 # Fixed patterns: values that look like ordered stages.
 ORDINAL_PATTERNS = (
@@ -50,20 +53,38 @@ def _rows_from_one(wide: DataFrame, structs: list[Column]) -> DataFrame:
     return wide.select(F.inline(F.array(*structs)))
 
 
+def sketched_count(value: Column, error: float) -> Column:
+    """Estimated distinct count from a mergeable sketch, one binary buffer a column."""
+    size = min(21, max(4, math.ceil(2 * math.log2(1.04 / error))))
+    hashed = F.when(value.isNotNull(), F.xxhash64(value))
+    return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(hashed, size)), F.lit(0))
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """ordinal (place in ``columns``) and cardinality: exact distinct counts of many columns in one scan.
+
+    Values meet as 8-byte hashes, which are one-to-one for numbers, dates and times, and merge
+    on the map side first.
+    """
+    pairs = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.when(
+        clean(df, c).isNotNull(), F.xxhash64(clean(df, c))).alias("h")) for i, c in enumerate(columns)])
+    each = df.select(F.inline(pairs).alias("ordinal", "h")).filter(F.col("h").isNotNull())
+    return each.groupBy("ordinal", "h").agg(F.lit(1).alias("one")).groupBy("ordinal").agg(F.count("one").alias("cardinality"))
+
+
 def column_stats(df: DataFrame, approx_error: float | None = None) -> DataFrame:
     """dtype, cardinality, cardinality ratio and nulls of every column.
 
-    Exact distinct counts run as one column-pruned branch per column, so each
-    value is read and shuffled once and never widened to the whole row. Set
-    ``approx_error`` to estimate them in a single pass without any shuffle of values.
+    Exact distinct counts come from one scan that all columns share. Set ``approx_error`` to
+    estimate them by sketches, without any shuffle of values.
     """
     fields = df.schema.fields
-    countable = [isinstance(f.dataType, COUNTABLE) for f in fields]
+    countable = [i for i, f in enumerate(fields) if isinstance(f.dataType, COUNTABLE)]
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, field in enumerate(fields):
         aggs.append(F.count(clean(df, field.name)).alias(f"c{i}"))
-        if approx_error is not None and countable[i]:
-            aggs.append(F.approx_count_distinct(clean(df, field.name), approx_error).alias(f"d{i}"))
+        if approx_error is not None and i in countable:
+            aggs.append(sketched_count(clean(df, field.name), approx_error).alias(f"d{i}"))
     none = F.lit(None).cast("bigint")
     structs = []
     for i, field in enumerate(fields):
@@ -71,16 +92,15 @@ def column_stats(df: DataFrame, approx_error: float | None = None) -> DataFrame:
             F.lit(i).alias("ordinal"), F.lit(field.name).alias("name"),
             F.lit(field.dataType.simpleString()).alias("dtype"), F.col("rows").alias("row_count"),
             (F.col("rows") - F.col(f"c{i}")).alias("null_count"),
-            (F.col(f"d{i}") if approx_error is not None and countable[i] else none
+            (F.col(f"d{i}") if approx_error is not None and i in countable else none
              ).alias("estimate")))
     counts = _rows_from_one(df.agg(*aggs), structs)
-    if approx_error is None and any(countable):
-        branches = [
-            df.agg(F.count_distinct(clean(df, f.name)).alias("cardinality")).select(
-                F.lit(i).alias("ordinal"), "cardinality")
-            for i, f in enumerate(fields) if countable[i]]
-        distinct = reduce(DataFrame.union, branches)
-        counts = counts.join(F.broadcast(distinct), "ordinal", "left")
+    if approx_error is None and countable:
+        places = F.array(*[F.lit(i) for i in countable])
+        distinct = distinct_counts(df, [fields[i].name for i in countable]).select(
+            places[F.col("ordinal")].alias("ordinal"), "cardinality")
+        known = F.coalesce("cardinality", F.when(F.col("ordinal").isin(countable), 0))
+        counts = counts.join(F.broadcast(distinct), "ordinal", "left").withColumn("cardinality", known.cast("bigint"))
     else:
         counts = counts.withColumn("cardinality", F.col("estimate"))
 
@@ -109,6 +129,20 @@ def parses_as_datetime(value: Column) -> Column:
         F.try_to_timestamp(F.trim(value), F.lit(fmt)) for fmt in DATETIME_FORMATS]).isNotNull()
 
 
+def _shape_aggs(name: str, i: int) -> list[Column]:
+    """Median length, and the smallest value of each of ten hash classes, of a string column."""
+    c = quoted(name)
+    chosen = [F.pmod(F.xxhash64(c), F.lit(DATETIME_SAMPLE)) == k for k in range(DATETIME_SAMPLE)]
+    return [F.percentile(F.length(c), F.lit(0.5)).alias(f"len{i}"),
+            *[F.min(F.when(hit, c)).alias(f"v{i}_{k}") for k, hit in enumerate(chosen)]]
+
+
+def _datetime_share(i: int) -> Column:
+    sample = F.filter(F.array(*[F.col(f"v{i}_{k}") for k in range(DATETIME_SAMPLE)]), lambda v: v.isNotNull())
+    hits = F.size(F.filter(sample, parses_as_datetime))
+    return F.coalesce(F.try_divide(hits.cast("double"), F.size(sample)), F.lit(0.0))
+
+
 def text_shape(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Median length and datetime share of string columns, in one pass.
 
@@ -116,23 +150,9 @@ def text_shape(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     hash of the value (smallest value of each of ten hash classes), so the choice
     does not depend on row order.
     """
-    aggs = []
-    for i, name in enumerate(columns):
-        c = quoted(name)
-        aggs.append(F.percentile(F.length(c), F.lit(0.5)).alias(f"len{i}"))
-        for k in range(DATETIME_SAMPLE):
-            chosen = F.pmod(F.xxhash64(c), F.lit(DATETIME_SAMPLE)) == k
-            aggs.append(F.min(F.when(chosen, c)).alias(f"v{i}_{k}"))
-    structs = []
-    for i, name in enumerate(columns):
-        sample = F.filter(F.array(*[F.col(f"v{i}_{k}") for k in range(DATETIME_SAMPLE)]),
-                          lambda v: v.isNotNull())
-        hits = F.size(F.filter(sample, parses_as_datetime))
-        structs.append(F.struct(
-            F.lit(name).alias("name"), F.col(f"len{i}").alias("median_length"),
-            F.coalesce(F.try_divide(hits.cast("double"), F.size(sample)),
-                       F.lit(0.0)).alias("datetime_share")))
-    return _rows_from_one(df.agg(*aggs), structs)
+    structs = [F.struct(F.lit(name).alias("name"), F.col(f"len{i}").alias("median_length"),
+                        _datetime_share(i).alias("datetime_share")) for i, name in enumerate(columns)]
+    return _rows_from_one(df.agg(*[a for i, name in enumerate(columns) for a in _shape_aggs(name, i)]), structs)
 
 
 def role_expression(kind: Column, integer: Column, rows: Column, distinct: Column,
@@ -174,46 +194,109 @@ def _kind(dt: T.DataType) -> str:
     return "other"
 
 
-def column_roles(df: DataFrame, approx_error: float | None = None) -> DataFrame:
+_FACTS = ("ordinal int, name string, dtype string, kind string, integer boolean, row_count bigint, present bigint, "
+          "cardinality bigint, spread double, median_length double, datetime_share double, ordered_share double")
+
+
+def _first_pass(df: DataFrame, error: float) -> list[dict]:
+    """Counts, estimated distinct counts, spreads and text shapes of all columns: one aggregate."""
+    fields = df.schema.fields
+    aggs, out = [F.count(F.lit(1)).alias("rows")], [F.col("rows")]
+
+    def take(agg: Column, name: str) -> None:
+        aggs.append(agg.alias(name))
+        out.append(F.col(name))
+    for i, field in enumerate(fields):
+        kind, v = _kind(field.dataType), clean(df, field.name)
+        take(F.count(v), f"c{i}")
+        if isinstance(field.dataType, COUNTABLE):
+            take(sketched_count(v, error), f"d{i}")
+        if kind == "number":
+            take(F.stddev_samp(v).cast("double"), f"s{i}")
+        if kind == "text":
+            aggs += _shape_aggs(field.name, i)
+            out += [F.col(f"len{i}").cast("double"), _datetime_share(i).alias(f"t{i}")]
+    row = df.agg(*aggs).select(*out).first().asDict() if fields else {}
+    return [{
+        "ordinal": i, "name": f.name, "dtype": f.dataType.simpleString(), "kind": _kind(f.dataType),
+        "integer": isinstance(f.dataType, T.IntegralType), "row_count": row["rows"], "present": row[f"c{i}"],
+        "cardinality": min(row[f"d{i}"], row[f"c{i}"]) if f"d{i}" in row else None,
+        "spread": (row[f"s{i}"] or 0.0) if f"s{i}" in row else None, "median_length": row.get(f"len{i}"),
+        "datetime_share": row.get(f"t{i}"), "ordered_share": 0.0} for i, f in enumerate(fields)]
+
+
+def _role(facts: DataFrame) -> DataFrame:
+    return facts.withColumn("role", role_expression(*[F.col(c) for c in (
+        "kind", "integer", "row_count", "cardinality", "spread", "median_length", "datetime_share", "ordered_share")]))
+
+
+def _undecided(spark, facts: list[dict], margin: float) -> set[int]:
+    """Columns whose role is not the same for all distinct counts within the sketch's error."""
+    points = []
+    for f in facts:
+        n, rows = f["cardinality"], f["row_count"]
+        if n is None:
+            continue
+        low, high = int(n * (1 - margin)), min(f["present"], int(n * (1 + margin)) + 1)
+        limits = [1, MAX_CATEGORICAL_UNIQUE, int(rows * CATEGORICAL_RATIO_CEIL), int(rows * IDENTIFIER_RATIO_FLOOR)]
+        at = {low, high, *[x for limit in limits for x in (limit - 1, limit, limit + 1) if low <= x <= high]}
+        points += [tuple({**f, "cardinality": x}.values()) for x in at]
+    if not points:
+        return set()
+    roles = _role(spark.createDataFrame(points, _FACTS)).groupBy("ordinal").agg(F.count_distinct("role").alias("n"))
+    return {r["ordinal"] for r in roles.filter("n > 1").collect()}
+
+
+def _small_sets(df: DataFrame, facts: list[dict]) -> dict[int, tuple[int, float]]:
+    """Exact distinct count and ordered share of columns with few values: one aggregate of small sets."""
+    out = []
+    for f in facts:
+        values = F.col(f"set{f['ordinal']}")
+        out.append(F.size(values).alias(f"n{f['ordinal']}"))
+        if f["kind"] == "text":
+            first = F.slice(F.sort_array(values), 1, ORDINAL_SAMPLE)
+            out.append(F.try_divide(F.size(F.filter(first, looks_ordinal)).cast("double"), F.size(first)).alias(f"o{f['ordinal']}"))
+    sets = df.agg(*[F.collect_set(clean(df, f["name"])).alias(f"set{f['ordinal']}") for f in facts])
+    row = sets.select(*out).first().asDict()
+    return {f["ordinal"]: (row[f"n{f['ordinal']}"], row.get(f"o{f['ordinal']}") or 0.0) for f in facts}
+
+
+def column_roles(df: DataFrame, approx_error: float | None = None, exact_counts: bool = False) -> DataFrame:
     """Column profile with the role of each column.
 
-    Runs a fixed number of jobs whatever the width of the table; only one row per
-    column ever reaches the driver.
+    A first scan sketches all columns. A second one gathers the values of columns that have about
+    ``MAX_CATEGORICAL_UNIQUE`` of them or fewer. Of the others, only those whose role changes within
+    ``SKETCH_MARGIN`` deviations of the estimate are counted exactly, by one more scan, so roles are
+    those of exact counts. ``cardinality`` is exact for all columns counted so, else the estimate;
+    with ``exact_counts`` it is exact for all. ``approx_error`` leaves out every exact count.
     """
     spark = df.sparkSession
-    stats = column_stats(df, approx_error).collect()
-    texts = [r["name"] for r in stats if _kind(df.schema[r["name"]].dataType) == "text"]
-    numbers = [r["name"] for r in stats if _kind(df.schema[r["name"]].dataType) == "number"]
-    shape = {r["name"]: r for r in text_shape(df, texts).collect()} if texts else {}
-    short = [r["name"] for r in stats if r["name"] in shape
-             and 1 < r["cardinality"] <= MAX_CATEGORICAL_UNIQUE]
-    ordered = {r["name"]: r["ordinal_share"]
-               for r in ordinal_share(df, short).collect()} if short else {}
-    spread = df.agg(*[F.stddev_samp(clean(df, n)).alias(f"s{i}")
-                      for i, n in enumerate(numbers)]).first() if numbers else None
-    facts = []
-    for r in stats:
-        dt = df.schema[r["name"]].dataType
-        s = shape.get(r["name"])
-        facts.append((
-            r["ordinal"], r["name"], r["dtype"], _kind(dt), isinstance(dt, T.IntegralType),
-            r["row_count"], r["cardinality"], r["cardinality_ratio"], r["null_count"],
-            r["null_fraction"],
-            float(spread[numbers.index(r["name"])] or 0.0) if r["name"] in numbers else None,
-            float(s["median_length"]) if s and s["median_length"] is not None else None,
-            float(s["datetime_share"]) if s else None,
-            float(ordered.get(r["name"], 0.0))))
-    rows = spark.createDataFrame(
-        facts, "ordinal int, name string, dtype string, kind string, integer boolean, "
-        "row_count bigint, cardinality bigint, cardinality_ratio double, null_count bigint, "
-        "null_fraction double, spread double, median_length double, datetime_share double, "
-        "ordered_share double")
-    role = role_expression(*[F.col(c) for c in (
-        "kind", "integer", "row_count", "cardinality", "spread", "median_length",
-        "datetime_share", "ordered_share")])
-    return rows.withColumn("role", role).select(
-        "ordinal", "name", "dtype", "role", "row_count", "cardinality", "cardinality_ratio",
-        "null_count", "null_fraction")
+    error = approx_error or SKETCH_ERROR
+    facts = _first_pass(df, error)
+    if approx_error is None:
+        margin = SKETCH_MARGIN * error
+        counted = [f for f in facts if f["cardinality"] is not None]
+        small = [f for f in counted if f["cardinality"] * (1 - margin) <= MAX_CATEGORICAL_UNIQUE and f["present"]]
+        for i, (n, ordered) in (_small_sets(df, small).items() if small else ()):
+            facts[i].update(cardinality=n, ordered_share=ordered)
+        large = [f for f in counted if f not in small and f["present"]]
+        open_ = {f["ordinal"] for f in large} if exact_counts else _undecided(spark, large, margin)
+        wanted = [f for f in large if f["ordinal"] in open_]
+        if wanted:
+            for r in distinct_counts(df, [f["name"] for f in wanted]).collect():
+                wanted[r["ordinal"]]["cardinality"] = r["cardinality"]
+    else:
+        short = [f for f in facts if f["kind"] == "text" and 1 < f["cardinality"] <= MAX_CATEGORICAL_UNIQUE]
+        for i, (_, ordered) in (_small_sets(df, short).items() if short else ()):
+            facts[i].update(ordered_share=ordered)
+    rows = spark.createDataFrame([tuple(f.values()) for f in facts], _FACTS)
+
+    def share(c: Column) -> Column:
+        return F.coalesce(F.round(F.try_divide(c.cast("double"), F.col("row_count")), 4), F.lit(0.0))
+    missing = F.col("row_count") - F.col("present")
+    return _role(rows).select(
+        "ordinal", "name", "dtype", "role", "row_count", "cardinality", share(F.col("cardinality")).alias("cardinality_ratio"),
+        missing.alias("null_count"), share(missing).alias("null_fraction"))
 
 
 def value_counts(df: DataFrame, columns: Sequence[str], k: int | None = None,

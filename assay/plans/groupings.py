@@ -9,12 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.columns import clean
+from assay.plans.lattice import group_tables
 
 # Fixed values of the grouping rules.
 MIN_GROUPS = 2
 MAX_GROUPS = 500
-#: Key sets of one pass over the table, and columns they may name.
-SETS_PER_BATCH, COLUMNS_PER_BATCH = 256, 30
 MIN_ROWS_PER_GROUP = 5
 IDEAL_GROUP_RANGE = (5, 200)
 MAX_KEY_COLUMNS = 3
@@ -29,69 +28,6 @@ def candidate_keys(columns: Sequence[str], width: int = MAX_KEY_COLUMNS) -> list
     return [c for k in range(1, min(width, len(columns)) + 1) for c in combinations(columns, k)]
 
 
-def key_sets(fine: DataFrame, slots: int, sets: Sequence[Sequence[int]],
-             aggs: Sequence[Column]) -> DataFrame:
-    """Grouping sets over the key columns ``k0..``, without groups lacking a key value.
-
-    Column ``__gid`` is Spark's grouping id: bit ``slots - 1 - j`` is 0 when column
-    ``j`` is part of the set.
-    """
-    names = [f"k{j}" for j in range(slots)]
-    out = fine.groupingSets([[F.col(names[j]) for j in s] for s in sets],
-                            *names).agg(*aggs, F.grouping_id().alias("__gid"))
-    for j, name in enumerate(names):
-        absent = F.col("__gid").bitwiseAND(F.lit(1 << (slots - 1 - j))) != 0
-        out = out.filter(absent | F.col(name).isNotNull())
-    return out
-
-
-def set_id(slots: int, members: Sequence[int]) -> int:
-    """Grouping id of the set holding the given columns."""
-    return sum(1 << (slots - 1 - j) for j in range(slots) if j not in members)
-
-
-def _finest(df: DataFrame, columns: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """Rows, sums and counts at the finest key: every candidate is a roll-up of it."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, m in enumerate(measures):
-        v = clean(df, m).cast("double")
-        aggs += [F.sum(v).alias(f"s{i}"), F.count(v).alias(f"c{i}")]
-    keyed = [clean(df, c).alias(f"k{j}") for j, c in enumerate(columns)]
-    return df.groupBy(*keyed).agg(*aggs)
-
-
-def group_sizes(df: DataFrame, keys: Sequence[Sequence[str]],
-                measures: Sequence[str] = ()) -> DataFrame:
-    """Group rows of every key: (key_id, k0.., n, s0.., c0..).
-
-    Rows lacking any column of a key are left out of that key only. All keys are
-    grouping sets over the finest aggregate, so the table is read and shuffled once.
-    """
-    batches: list[list[int]] = []
-    held: set[str] = set()
-    for i, key in enumerate(keys):
-        if not batches or len(held | set(key)) > COLUMNS_PER_BATCH or len(batches[-1]) == SETS_PER_BATCH:
-            batches.append([])
-            held = set()
-        batches[-1].append(i)
-        held |= set(key)
-    if len(batches) > 1:
-        parts = [group_sizes(df, [keys[i] for i in own], measures).withColumn(
-            "key_id", F.array(*[F.lit(i) for i in own])[F.col("key_id")]) for own in batches]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part, allowMissingColumns=True)
-        return out
-    columns = list(dict.fromkeys(c for key in keys for c in key))
-    sets = [[columns.index(c) for c in key] for key in keys]
-    fine = _finest(df, columns, measures)
-    carried = ["n", *[f"{p}{i}" for i in range(len(measures)) for p in ("s", "c")]]
-    out = key_sets(fine, len(columns), sets, [F.sum(c).alias(c) for c in carried])
-    ids = F.create_map(*[x for i, s in enumerate(sets)
-                         for x in (F.lit(set_id(len(columns), s)).cast("long"), F.lit(i))])
-    return out.withColumn("key_id", ids[F.col("__gid").cast("long")]).drop("__gid")
-
-
 def grouping_score(groups: Column, smallest: Column, size_cv: Column, coverage: Column,
                    discriminability: Column, ordinal: Column, width: Column) -> Column:
     """Score in 0..1 of a grouping; ``coverage`` is a fraction."""
@@ -131,7 +67,8 @@ def evaluate_groupings(df: DataFrame, keys: Sequence[Sequence[str]],
                                           for c in used]).first()
         total_rows = row[0]
         null_fraction = {c: row[i + 1] or 0.0 for i, c in enumerate(used)}
-    groups = group_sizes(df, keys, measures)
+    complete = [c for c, share in null_fraction.items() if not share]
+    groups = group_tables(df, keys, measures, max_groups=max_groups, complete=complete)
     aggs = [F.count(F.lit(1)).alias("group_count"), F.min("n").alias("min_group_size"),
             F.sum("n").alias("covered"),
             # g groups over N rows have at most sqrt(2N) different sizes, so the
@@ -205,4 +142,4 @@ def rank_groupings(df: DataFrame, columns: Sequence[str], measures: Sequence[str
 def count_distinct_keys(df: DataFrame, keys: Sequence[Sequence[str]]) -> DataFrame:
     """Number of distinct non-null keys for each key, in one pass over the table."""
     keys = [list(k) for k in keys]
-    return group_sizes(df, keys).groupBy("key_id").agg(F.count(F.lit(1)).alias("groups"))
+    return group_tables(df, keys).groupBy("key_id").agg(F.count(F.lit(1)).alias("groups"))

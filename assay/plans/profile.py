@@ -142,7 +142,7 @@ def profile(df: DataFrame, mode: str = "roles_only", *, group_by: Sequence[str]
     ``group_by`` overrides the grouping choice. The number of jobs does not depend
     on the number of rows or columns.
     """
-    rows = C.column_roles(df, approx_error).orderBy("ordinal").collect()
+    rows = C.column_roles(df, approx_error, exact_counts=approx_error is None).orderBy("ordinal").collect()
     facts = [S.Column(r["name"], r["dtype"], r["role"], r["cardinality"] or 0,
                       r["cardinality_ratio"], r["null_fraction"]) for r in rows]
     total = rows[0]["row_count"] if rows else 0

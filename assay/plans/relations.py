@@ -9,53 +9,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.columns import clean
-from assay.plans.groupings import key_sets, set_id
+from assay.plans.lattice import pair_values
 
-# Fixed values of the relation rules.
+# Fixed values of the relation rules; the profile compares columns below the first.
 RELATIONSHIP_MAX_CARDINALITY = 5000
 CROSSING_FILL_THRESHOLD = 0.8
-#: Columns of one pass; Spark's grouping sets end at 64.
-COLUMNS_PER_BATCH = 30
 
 
 def pair_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Distinct values of each side and distinct pairs, over rows where both are present.
-
-    The table is first reduced to its distinct combinations, so the pairs are
-    built from that reduction and not from the rows.
-    """
+    """Distinct values of each side and distinct pairs, over rows where both are present."""
     columns = list(columns)
-    if len(columns) > COLUMNS_PER_BATCH:
-        half = COLUMNS_PER_BATCH // 2
-        blocks = [columns[i:i + half] for i in range(0, len(columns), half)]
-        # a pair inside one block is met with every partner block, and counted with the first
-        out, met = None, set()
-        for a, b in combinations(range(len(blocks)), 2):
-            part = pair_counts(df, blocks[a] + blocks[b])
-            for own in (a, b):
-                if own in met:
-                    part = part.filter(~(F.col("col_a").isin(blocks[own]) & F.col("col_b").isin(blocks[own])))
-            met |= {a, b}
-            out = part if out is None else out.unionByName(part)
-        return out
-    width = len(columns)
-    combos = df.select(*[clean(df, c).alias(f"k{i}") for i, c in enumerate(columns)]).distinct()
-    members = list(combinations(range(width), 2))
-    sets = key_sets(combos, width, members, [F.count(F.lit(1)).alias("__n")])
-    # Only distinct pairs are left here, so the text form is cheap.
-    text = [F.col(f"k{i}").cast("string") for i in range(width)]
-    case_i = case_j = case_a = case_b = None
-    for i, j in members:
-        hit = F.col("__gid") == set_id(width, (i, j))
-        case_i = F.when(hit, i) if case_i is None else case_i.when(hit, i)
-        case_j = F.when(hit, j) if case_j is None else case_j.when(hit, j)
-        case_a = F.when(hit, text[i]) if case_a is None else case_a.when(hit, text[i])
-        case_b = F.when(hit, text[j]) if case_b is None else case_b.when(hit, text[j])
-    pairs = sets.select(case_i.alias("i"), case_j.alias("j"), case_a.alias("a"),
-                        case_b.alias("b"))
-    seen = pairs.groupBy("i", "j").agg(
-        F.count_distinct("a").alias("n_a"), F.count_distinct("b").alias("n_b"),
-        F.count(F.lit(1)).alias("n_ab"))
+    pairs = pair_values(df, columns)
+    both = pairs.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n_ab"))
+    sides = [pairs.groupBy("i", "j", c).agg(F.lit(1).alias("one")).groupBy("i", "j").agg(F.count("one").alias(f"n_{c}"))
+             for c in ("a", "b")]
+    seen = both.join(sides[0], ["i", "j"]).join(sides[1], ["i", "j"])
     names = df.sparkSession.createDataFrame(
         [(i, j, columns[i], columns[j]) for i, j in combinations(range(len(columns)), 2)],
         "i int, j int, col_a string, col_b string")
@@ -66,14 +34,13 @@ def pair_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def relationships(df: DataFrame, columns: Sequence[str],
                   cardinality: Mapping[str, int] | None = None) -> DataFrame:
-    """Relation and strength of every pair of the given discrete columns."""
+    """Relation and strength of every pair of the given columns, of any number of values."""
     if cardinality is None:
         row = df.agg(*[F.count_distinct(clean(df, c)).alias(f"d{i}")
                        for i, c in enumerate(columns)]).first()
         cardinality = {c: row[i] for i, c in enumerate(columns)}
-    kept = [c for c in columns if cardinality[c] < RELATIONSHIP_MAX_CARDINALITY]
-    levels = F.create_map(*[x for c in kept for x in (F.lit(c), F.lit(int(cardinality[c])))])
-    counts = pair_counts(df, kept)
+    levels = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(int(cardinality[c])))])
+    counts = pair_counts(df, columns)
     a_sets_b = F.col("n_ab") == F.col("n_a")
     b_sets_a = F.col("n_ab") == F.col("n_b")
     fill = F.coalesce(

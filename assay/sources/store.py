@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.functions.columns import quoted
-from assay.functions.order_stats import value_positions
+from assay.functions.columns import present, quoted
+from assay.functions.order_stats import numbered_rows
+
+BUCKET, BUCKETS = "key_bucket", 64
 
 
 def upsert(current: DataFrame, new: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -32,18 +34,52 @@ def skip_existing(wanted: DataFrame, stored: DataFrame, keys: Sequence[str]) ->
 
 
 def rank_positions(scores: DataFrame, method: str = "ranking_method", score: str = "strength",
-                   name: str = "player", **split) -> DataFrame:
-    """Position by falling score within each ranking method, equal scores by name.
+                   name: str = "player") -> DataFrame:
+    """Position by falling score within each ranking method, equal scores by name."""
+    rows = scores.filter(present(scores, score))
+    return numbered_rows(rows, [method], [quoted(score).desc(), quoted(name)], "rank_position")
+
+
+def _bucket(keys: Sequence[str], buckets: int) -> Column:
+    parts = [x for k in keys for x in (quoted(k).isNull(), quoted(k))]
+    return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int").alias(BUCKET)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def write_store(df: DataFrame, path: str, keys: Sequence[str], buckets: int = BUCKETS) -> None:
+    """Start a keyed store: one folder for each hash bucket of the keys."""
+    df.withColumn(BUCKET, _bucket(keys, buckets)).repartition(BUCKET).write.mode("errorifexists").partitionBy(BUCKET).parquet(path)
+
+
+def read_store(spark: SparkSession, path: str, keys: Sequence[str] = (), wanted: DataFrame | None = None,
+               buckets: int = BUCKETS) -> DataFrame:
+    """The stored rows; with ``wanted`` (its keys) only the buckets that can hold one of them."""
+    stored = spark.read.parquet(path)
+    if wanted is not None:
+        touched = [r[0] for r in wanted.select(_bucket(keys, buckets)).distinct().collect()]  # at most ``buckets``
+        stored = stored.filter(F.col(BUCKET).isin(touched))
+    return stored.drop(BUCKET)
+
+
+def upsert_store(path: str, new: DataFrame, keys: Sequence[str], order: str, buckets: int = BUCKETS) -> None:
+    """Last write wins per key, in the store at ``path``.
 
-    Positions come from counts per score, so a method with very many participants
-    is not sorted in one task.
+    Only the buckets that ``new`` touches are read and rewritten, by dynamic partition overwrite;
+    the files of the others stay as they are. The new files take the place of the old ones when
+    the job commits, and the same rows written again give the same store.
     """
-    rows = scores.withColumn("__down", -quoted(score).cast("double"))
-    pos = value_positions(rows, [method], "__down", **split).select(
-        quoted(method), "__down", "before")
-    tied = Window.partitionBy(quoted(method), "__down").orderBy(quoted(name))
-    return rows.join(pos, [method, "__down"]).withColumn(
-        "rank_position", F.col("before") + F.row_number().over(tied)).drop("__down", "before")
+    spark = new.sparkSession
+    if not _exists(spark, path):
+        none = spark.createDataFrame([], new.schema)
+        write_store(upsert(none, new, keys, order), path, keys, buckets)
+        return
+    merged = upsert(read_store(spark, path, keys, new, buckets), new, keys, order)
+    (merged.withColumn(BUCKET, _bucket(keys, buckets)).repartition(BUCKET).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path))
 
 
 def comparison_set_hash(games: DataFrame) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from assay.operators import agreement as A
 from assay.operators import evaluation as E
 from assay.operators import rankings as K
 from assay.operators import resampling as B
+from assay.session import ensure_checkpoint_dir
 from assay.sources import store as S
 from catalog import standins as X
+from catalog import tails_sql as P
 from catalog.grouped import _rounded
 from catalog.registry import query, table
 
@@ -129,9 +133,26 @@ u AS (SELECT c.config_a, c.config_b, c.metric, c.na, r.config,
 s AS (SELECT config_a, config_b, metric, sum(CASE WHEN config = config_a THEN r END) - na * (na + 1) / 2.0 AS u FROM u GROUP BY config_a, config_b, metric, na)"""
 
 
-@query(_PAIRS + " SELECT config_a, config_b, metric, mean_diff, effect_size, u AS mann_whitney_u FROM c JOIN s USING (config_a, config_b, metric)")
+@query(_PAIRS + f""",
+z AS (SELECT config_a, config_b, metric, sum(pow(n, 3) - n) AS ties FROM (
+  SELECT config_a, config_b, c.metric, value, count(*) AS n FROM c JOIN runs r ON r.metric = c.metric AND r.config IN (c.config_a, c.config_b)
+  GROUP BY ALL) GROUP BY ALL),
+sizes AS (SELECT config_a, config_b, c.metric, count(CASE WHEN config = config_a THEN 1 END) AS na, count(CASE WHEN config = config_b THEN 1 END) AS nb,
+  sum(value) AS total, abs(avg(CASE WHEN config = config_a THEN value END) - avg(CASE WHEN config = config_b THEN value END)) AS obs
+  FROM c JOIN runs r ON r.metric = c.metric AND r.config IN (c.config_a, c.config_b) GROUP BY ALL),
+v AS (SELECT config_a, config_b, c.metric, value, row_number() OVER (PARTITION BY config_a, config_b, c.metric ORDER BY value) - 1 AS i
+  FROM c JOIN runs r ON r.metric = c.metric AND r.config IN (c.config_a, c.config_b)),
+o AS (SELECT config_a, config_b, metric, b, value, row_number() OVER (PARTITION BY config_a, config_b, metric, b ORDER BY {_draw_sql('b', 'i')}, i) AS pos
+  FROM v, (SELECT unnest(range(1, 1001)) AS b)),
+h AS (SELECT config_a, config_b, metric, b, sum(value) AS sa FROM o JOIN sizes USING (config_a, config_b, metric) WHERE pos <= na GROUP BY ALL),
+pp AS (SELECT config_a, config_b, metric, count(CASE WHEN abs(sa / na - (total - sa) / nb) >= obs - 1e-12 * greatest(1.0, obs) THEN 1 END) / 1000.0 AS p
+  FROM h JOIN sizes USING (config_a, config_b, metric) GROUP BY ALL)
+SELECT config_a, config_b, metric, mean_diff, effect_size, u AS mann_whitney_u,
+  round({P.u_two_sided('u', 'sizes.na', 'sizes.nb', 'ties')}, 6) AS mann_whitney_p, p AS permutation_p
+FROM c JOIN s USING (config_a, config_b, metric) JOIN z USING (config_a, config_b, metric) JOIN sizes USING (config_a, config_b, metric)
+JOIN pp USING (config_a, config_b, metric)""")
 def compare_configs(spark, d):
-    return E.compare_configs(X.run_scores(spark, d)).drop("mann_whitney_p")
+    return E.compare_configs(X.run_scores(spark, d), permutations=1000)
 
 
 @query("""
@@ -317,12 +338,14 @@ def scores_by_dataset_judge(spark, d):
     return E.scores_by(X.scores(spark, d), ["config", "dataset", "judge"], "value")
 
 
-@query(f"""WITH {X.SCORES_SQL}, m AS (SELECT config, run_id AS dataset, avg(value) AS m FROM scores GROUP BY ALL)
-SELECT a.config AS config_a, b.config AS config_b, round(corr(a.m, b.m), 4) AS pearson_r, count(*) AS n_datasets
-FROM m a JOIN m b ON a.dataset = b.dataset AND a.config < b.config GROUP BY ALL""")
+@query(f"""WITH {X.SCORES_SQL}, m AS (SELECT config, run_id AS dataset, avg(value) AS m FROM scores GROUP BY ALL),
+r AS (SELECT a.config AS config_a, b.config AS config_b, corr(a.m, b.m) AS r, count(*) AS n_datasets
+  FROM m a JOIN m b ON a.dataset = b.dataset AND a.config < b.config GROUP BY ALL)
+SELECT config_a, config_b, round(r, 4) AS pearson_r,
+  round({P.t_two_sided('(r * sqrt((n_datasets - 2) / (1 - r * r)))', '(n_datasets - 2)')}, 4) AS p_value, n_datasets FROM r""")
 def cross_dataset_correlation(spark, d):
     rows = X.scores(spark, d).select("config", F.col("run_id").alias("dataset"), "value")
-    return E.cross_dataset_correlation(rows).drop("p_value")
+    return E.cross_dataset_correlation(rows)
 
 
 @query("""
@@ -373,11 +396,14 @@ def ablation_overview(spark, d):
 
 # Store -----------------------------------------------------------------------------
 
-@query("""
+_UPSERT = """
 SELECT l_suppkey, l_returnflag, arg_max(l_linestatus, l_orderkey * 10 + l_linenumber) AS l_linestatus,
   arg_max(l_extendedprice, l_orderkey * 10 + l_linenumber) AS l_extendedprice, max(l_orderkey * 10 + l_linenumber) AS version FROM (
   SELECT * FROM lineitem WHERE l_linestatus = 'O' UNION ALL SELECT * FROM lineitem WHERE l_linestatus = 'F')
-GROUP BY ALL""")
+GROUP BY ALL"""
+
+
+@query(_UPSERT)
 def keyed_upsert(spark, d):
     li = table(spark, d, "lineitem").select(
         "l_suppkey", "l_returnflag", "l_linestatus", "l_extendedprice",
@@ -387,6 +413,18 @@ def keyed_upsert(spark, d):
     return out.select("l_suppkey", "l_returnflag", "l_linestatus", "l_extendedprice", "version")
 
 
+@query(_UPSERT)
+def stored_upsert(spark, d):
+    li = table(spark, d, "lineitem").select(
+        "l_suppkey", "l_returnflag", "l_linestatus", "l_extendedprice",
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("version"))
+    path = f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    for status in ("O", "F"):
+        S.upsert_store(path, li.filter(F.col("l_linestatus") == status), ["l_suppkey", "l_returnflag"], "version")
+    return S.read_store(spark, path)
+
+
+
 @query("""
 SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
 def skip_existing(spark, d):

@@ -131,7 +131,7 @@ def test_row_order_does_not_matter(runs):
 
 
 def test_forty_columns_have_pairs_and_groupings(spark):
-    from assay.plans.groupings import group_sizes
+    from assay.plans.lattice import group_tables
     from assay.plans.relations import pair_counts
 
     names = [f"c{i}" for i in range(40)]
@@ -140,5 +140,70 @@ def test_forty_columns_have_pairs_and_groupings(spark):
     assert len(pairs) == 780 == len({(r.col_a, r.col_b) for r in pairs})
     got = {(r.col_a, r.col_b): r.n_ab for r in pairs}
     assert got.get(("c0", "c39"), got.get(("c39", "c0"))) == df.select("c0", "c39").distinct().count()
-    sizes = group_sizes(df, [[n] for n in names] + [["c0", "c39"]]).groupBy("key_id").agg({"n": "sum"}).collect()
+    sizes = group_tables(df, [[n] for n in names] + [["c0", "c39"]]).groupBy("key_id").agg({"n": "sum"}).collect()
     assert len(sizes) == 41 and all(r[1] == 60 for r in sizes)
+
+
+def test_sets_of_sixty_columns(spark):
+    """Same scores as plain grouping; wide keys are ruled out, and few rows leave a task."""
+    names = [f"c{i}" for i in range(60)]
+    wide = [f"CAST(pmod(xxhash64(id, {i}), {700 if i < 40 else 3 + i % 4}) AS INT) AS c{i}" for i in range(60)]
+    df = spark.range(6000).selectExpr(*wide, "CAST(id % 97 AS DOUBLE) AS m").selectExpr(
+        *[c if c != "c45" else "CASE WHEN m > 9 THEN c45 END AS c45" for c in names], "m")
+    keys = G.candidate_keys(names)
+    got = {tuple(r["columns"]): r for r in G.evaluate_groupings(df, keys, ["m"]).collect()}
+    small = names[40:]
+    assert set(got) == set(G.candidate_keys(small))  # 700 groups are too many, alone and with others
+    rows = df.collect()
+    for key in [("c40",), ("c41", "c45"), ("c44", "c52", "c59"), ("c45", "c46", "c47")]:
+        groups = {}
+        for r in rows:
+            if all(r[c] is not None for c in key):
+                groups.setdefault(tuple(r[c] for c in key), []).append(r["m"])
+        sizes = sorted(map(len, groups.values()))
+        assert (got[key]["group_count"], got[key]["min_group_size"]) == (len(sizes), sizes[0])
+        assert got[key]["rows_covered_pct"] == round(100 * sum(sizes) / len(rows), 1)
+        means = [sum(v) / len(v) for v in groups.values()]
+        spread = (sum((x - sum(means) / len(means)) ** 2 for x in means) / (len(means) - 1)) ** 0.5
+        assert got[key]["discriminability"] == pytest.approx(spread / (sum(means) / len(means)), abs=1e-6)
+    plan = G.evaluate_groupings(df, keys, ["m"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
+
+
+def test_a_column_with_nulls_rules_nothing_out(spark):
+    """A key may have fewer groups than its part, where the other column is NULL."""
+    df = spark.range(900).selectExpr("id AS a", "CASE WHEN id < 3 THEN id END AS b", *[f"1 AS c{i}" for i in range(10)])
+    names = ["a", "b", *[f"c{i}" for i in range(10)]]
+    got = {tuple(r["columns"]): r["group_count"] for r in G.evaluate_groupings(df, G.candidate_keys(names)).collect()}
+    assert ("a",) not in got and ("a", "c0") not in got and got[("a", "b")] == 3 and got[("a", "b", "c4")] == 3
+
+
+def test_relations_of_columns_with_many_values(spark):
+    df = spark.range(20_000).selectExpr("id", "CAST(id AS STRING) AS text", "id % 7 AS d", "CASE WHEN id % 2 = 0 THEN id END AS half")
+    rel = {(r["col_a"], r["col_b"]): r for r in R.relationships(df, ["id", "text", "d", "half"]).collect()}
+    assert rel[("id", "text")]["relationship"] == "redundant" and rel[("id", "d")]["relationship"] == "nested_a_in_b"
+    assert (rel[("text", "half")]["n_a"], rel[("text", "half")]["n_ab"]) == (10_000, 10_000)
+
+
+def test_roles_near_every_limit_equal_those_of_exact_counts(spark):
+    rows = 4000
+    counts = [1, 2, 49, 50, 51, 52, 60, 190, 199, 200, 201, 215, 3700, 3799, 3800, 3801, 3950, 4000]
+    exprs = [e for n in counts for e in (
+        f"CAST(id % {n} AS INT) AS i{n}", f"CAST(id % {n} AS DOUBLE) AS d{n}", f"concat('k', id % {n}) AS s{n}",
+        f"concat('some rather long text no ', id % {n}, ' of all') AS t{n}")]
+    df = spark.range(rows).selectExpr(*exprs, "CAST(NULL AS STRING) AS nothing", "id % 2 = 0 AS flag")
+    got = {r["name"]: r["role"] for r in C.column_roles(df).collect()}
+    want = {r["name"]: r["role"] for r in C.column_roles(df, exact_counts=True).collect()}
+    assert got == want
+    for n in counts[1:]:
+        few = n <= 50 and n < 0.05 * rows
+        assert got[f"i{n}"] == ("ordinal_stage" if few else "identifier" if n >= 3800 else "continuous_measurement")
+        assert got[f"s{n}"] == ("identifier" if n >= 3800 else "ordinal_stage" if few else "categorical_group" if n <= 50 else "metadata_text")
+        assert got[f"t{n}"] == ("metadata_text" if n > 50 else "categorical_group")
+    assert got["nothing"] == got["i1"] == "constant" and got["flag"] == "categorical_group"
+
+
+def test_hundreds_of_columns(spark):
+    df = spark.range(40).selectExpr(*[f"id % {i % 7 + 1} AS c{i}" for i in range(300)])
+    roles = C.column_roles(df).collect()
+    assert len(roles) == 300 and {r["cardinality"] for r in roles} == {1, 2, 3, 4, 5, 6, 7}

@@ -199,3 +199,39 @@ def test_containment_of_many_terms_in_a_long_text(spark):
     out = containment(t, d, ["g"], "term", "text", shard_chars=1 << 19).select("i", "term")
     assert "Contains" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r["term"] for r in out.collect()) == words[::7]
+
+
+def test_grid_of_queries_equals_passes(spark):
+    from assay.operators.retrieval import top_k
+
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-2, 3, 8 if i % 5 else 4).astype(float).tolist()) for i in range(300)] + [(900, None), (901, [])]
+    asked = [(f"q{i}", rng.integers(-2, 3, 8 if i % 7 else 4).astype(float).tolist()) for i in range(40)] + [("none", None)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    q = spark.createDataFrame(asked, "query_id string, embedding array<double>")
+    want = sorted(map(tuple, top_k(df, q, 4).collect()))
+    assert want == sorted(map(tuple, top_k(df, q, 4, queries_per_pass=5, block=(6, 50)).collect()))
+    best = {}
+    for name, v in asked[:40]:
+        best[name] = [i for _, i in sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if w and len(w) == len(v))[:4]]
+    assert {(n, p): i for n, i, _, p in want} == {(n, p + 1): i for n, ids in best.items() for p, i in enumerate(ids)}
+
+
+def test_store_rewrites_touched_buckets_only(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "store")
+    files = lambda: {f for d, _, names in os.walk(path) for n in names if n.endswith(".parquet") for f in [os.path.join(d, n)]}
+    first = spark.range(500).selectExpr("CAST(id AS STRING) AS run", "CASE WHEN id % 9 > 0 THEN id % 9 END AS part", "id AS v", "1 AS at")
+    store.upsert_store(path, first, ["run", "part"], "at", 16)
+    before = files()
+    new = spark.createDataFrame([("9", None, 90, 2), ("9", None, 91, 3), ("x", 1, 5, 1), ("10", 1, -1, 0)],
+                                "run string, part long, v long, at int")
+    for _ in range(2):  # a second time changes nothing
+        store.upsert_store(path, new, ["run", "part"], "at", 16)
+        rows = {(r["run"], r["part"]): r["v"] for r in store.read_store(spark, path).collect()}
+        assert len(rows) == 501 and rows[("9", None)] == 91 and rows[("x", 1)] == 5 and rows[("10", 1)] == 10
+    assert len(before & files()) >= len(before) - 3 and before != files()
+    some = store.read_store(spark, path, ["run", "part"], new, 16)
+    assert some.count() < 501 and store.skip_existing(new, some, ["run"]).count() == 0
+    assert "PartitionFilters: [key_bucket" in some._jdf.queryExecution().executedPlan().toString()

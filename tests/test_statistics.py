@@ -291,3 +291,27 @@ def test_resampling_plan_moves_no_replicated_rows(spark):
     assert "FlatMapGroupsInArrow" in plan and plan.index("posexplode") < plan.index("FlatMapGroupsInArrow")
     free = B.bootstrap_ci(df, [], "v", 200).first()
     assert free["ci_lower"] < 2499.5 < free["ci_upper"]
+
+
+def test_rows_are_numbered_within_equal_values(spark):
+    from assay.functions.order_stats import numbered_rows
+
+    df = spark.range(4000).selectExpr("id", "CAST(id % 3 AS STRING) AS k", "CAST(id % 2 AS DOUBLE) / 2 AS p").unionByName(
+        spark.createDataFrame([(-1, None, 0.1)], "id long, k string, p double"))
+    got = numbered_rows(df, ["k"], [F.col("p").desc(), F.col("id")], "no", "total").collect()
+    for k in "012":
+        rows = sorted((r for r in got if r["k"] == k), key=lambda r: (-r["p"], r["id"]))
+        assert [r["no"] for r in rows] == list(range(1, len(rows) + 1)) and {r["total"] for r in rows} == {len(rows)}
+    assert len(got) == 4000
+    free = numbered_rows(df, [], [F.col("id")], "no").orderBy("no").collect()
+    assert [r["id"] for r in free] == sorted([-1, *range(4000)])
+
+
+def test_holm_spreads_equal_p_values(spark):
+    df = spark.range(3000).selectExpr("id AS n", "0.01 AS p", "'f' AS fam")
+    out = E.holm(df, "p", family=["fam"], tie=["n"])
+    rows = sorted((r["n"], r["rank"], r["significant"]) for r in out.collect())
+    assert [r[1] for r in rows] == list(range(1, 3001))
+    assert [r[2] for r in rows] == [0.01 < 0.05 / (3000 - i) for i in range(3000)]
+    parts = out.select("rank").rdd.glom().map(len).collect()  # the range exchange leaves no task with all ties
+    assert max(parts) < 3000
