@@ -7,9 +7,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from assay.session import cut_lineage, ensure_checkpoint_dir
+from assay.session import Scratch, cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["as_bytes", "cut_lineage", "ensure_checkpoint_dir", "shuffle_parts", "text_rows", "with_rows"]
+__all__ = ["Scratch", "as_bytes", "cut_lineage", "ensure_checkpoint_dir", "free_name", "shuffle_parts", "text_rows", "with_rows"]
 
 
 def text_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -33,3 +33,11 @@ def with_rows(rows_of: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[
 
 def shuffle_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name``, lengthened until no column is called so."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

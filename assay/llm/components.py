@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from assay.llm.common import cut_lineage
+from assay.llm.common import Scratch
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,9 +13,14 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn: each joins every node to the smallest one it
     knows, until all links point at a root. Each step is an aggregate with map-side minima and
     a join; the links are written to shared files between rounds, so nothing is recomputed
-    when an executor is lost, and no node's neighbours are gathered in one place.
+    when an executor is lost, and no node's neighbours are gathered in one place; the files of a
+    round go when the next one is written.
+
+    A link of a node with itself or with NULL is none; links that repeat count once; no links give
+    no rows; other columns are not read.
     """
-    edges = cut_lineage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    scratch = Scratch(links.sparkSession)
+    edges = scratch.cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                         .filter("a != b").distinct())
     seen = None
     while True:
@@ -25,8 +30,9 @@ def components(links: DataFrame) -> DataFrame:
                  .filter("a != b").distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
-        edges = cut_lineage(small.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        old, edges = edges, scratch.cut(small.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
                             .union(low.select("a", F.col("m").alias("b"))).filter("a != b").distinct())
+        scratch.free(old)
         now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"),
                         F.sum(F.xxhash64("a", "b") % 1000003).alias("s")).first()
         if now == seen:

@@ -23,9 +23,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assay.llm.common import as_bytes, cut_lineage, shuffle_parts, text_rows, with_rows
+from assay.llm.common import as_bytes, cut_lineage, free_name, shuffle_parts, text_rows, with_rows
 
 #: The directory has at most 2**MAX_DEPTH entries: 1,048,576.
 MAX_DEPTH = 20
@@ -189,16 +189,31 @@ def groups(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``kept``; repeated rows of one document once."""
-    ids = kept.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().alias("k")
-    found = docs.alias("d").join(ids, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    if "text" not in docs.columns:
+    """The rows of ``docs`` that ``kept`` names; repeated rows of one document once.
+
+    Rows are named by doc_id and, if ``kept`` has it, by text_sha256 of the normalised text or by
+    ``copy``, a hash of the text as it is: of rows without doc_id only those of a kept text stay.
+    """
+    text = F.coalesce(F.col("text"), F.lit("")) if "text" in docs.columns else None
+    names = {"text_sha256": lambda: F.sha2(lower_ascii(text), 256), "copy": lambda: F.xxhash64(text)}
+    used = [] if text is None else [n for n in names if n in kept.columns]
+    own = {n: free_name(f"__{n}", docs) for n in used}
+    ids = kept.select(F.col("doc_id").cast("long").alias("doc_id"), *used).distinct().alias("k")
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
+    for n in used:
+        same &= F.col(f"d.{own[n]}") == F.col(f"k.{n}")
+    found = docs.withColumns({own[n]: names[n]() for n in used}) if used else docs
+    found = found.alias("d").join(ids, same, "left_semi")
+    if text is None:
         return found
-    turn = "__turn"
-    while turn in docs.columns:
-        turn += "_"
-    one = Window.partitionBy("doc_id", "text").orderBy(F.lit(1))
-    return found.withColumn(turn, F.row_number().over(one)).filter(F.col(turn) == 1).drop(turn)
+    turn = free_name("__turn", docs)
+    one = Window.partitionBy("doc_id", *(own.values() if used else ["text"])).orderBy("text")
+    return found.withColumn(turn, F.row_number().over(one)).filter(F.col(turn) == 1).select(*docs.columns)
+
+
+def lower_ascii(text: Column) -> Column:
+    """A-Z alone lower-cased."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from assay.llm.common import free_name
+
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 MIN_DOCUMENTS = 20
@@ -134,7 +136,7 @@ def clean(docs: DataFrame, host: str = "source", min_left: float = MIN_LEFT, **l
 
     ``n_chars``, if there, follows the new text.
     """
-    new = {n: f"__{n}" for n in ("host", "text_hash", "left", "removed")}
+    new = {n: free_name(f"__{n}", docs) for n in ("host", "text_hash", "left", "removed")}
     verdicts = line_verdicts(docs, host, **limits).select(*[F.col(a).alias(b) for a, b in new.items()])
     keyed = docs.withColumns({
         new["host"]: F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("")),
