@@ -7,16 +7,25 @@ and only those that hold on the shingle sets themselves count:
 1. the trie join of SimHash fingerprints (``simhash.near_links``), which joins dense groups
    by few links. At similarity 0.8 two fingerprints differ in about 10 of 64 bits, more than a
    trie walk can take on a large table, so it finds only the closest copies;
-2. buckets of nodes with equal minima of ``ROWS`` hashes each, in ``BANDS`` ways: each node
-   against the smallest one of its bucket;
-3. in the same buckets all pairs that are not yet in one component.
+2. buckets of nodes with equal minima of ``ROWS`` hashes each, in ``BANDS`` ways. Inside a bucket
+   nodes are compared by parity sketches: ``SKETCH_BITS`` bits, each the parity of the shingles
+   hashed to it, so that two sketches differ as the sets' symmetric difference does. Pairs that
+   are surely similar join components as a forest, a pair for each two components at most;
+3. the same buckets again, with the components so found: pairs of different components whose
+   sketches leave it open whether they are similar.
+
+So the families whose members are less alike than the limit, though they share buckets, cost
+comparisons of 128 bytes inside a task; a row leaves it only for a pair that is, within four
+deviations, as similar as asked, and once, in the first bucket that both share. Large buckets are
+cut into tiles of about ``TILE`` nodes.
 
 A pair at similarity s shares a bucket with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9993
 at 0.8, over 0.99999 at 0.9. Sets are compared by their 64-bit shingle hashes.
 
 Results for unusual input: null and empty texts have the empty set and are copies of each
 other; fewer words than a shingle count as one shingle; rows that repeat share a component; a
-component without any doc_id has component_id null; no rows give no rows.
+component without any doc_id has component_id null, and ``dedup`` keeps one of its rows; no rows
+give no rows; other columns are kept by ``dedup`` and else not read.
 """
 
 from __future__ import annotations
@@ -24,9 +33,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from assay.llm.common import as_bytes, cut_lineage, text_rows, with_rows
+from assay.llm.common import Scratch, as_bytes, text_rows, with_rows
 from assay.llm.components import components
 from assay.llm.exact_dedup import keep_rows
 from assay.llm.simhash import SEED, fingerprint, near_links
@@ -38,6 +47,11 @@ _RANDOM = np.random.default_rng(SEED)
 _ADD = _RANDOM.integers(0, 1 << 64, ROWS * BANDS, np.uint64)
 _TIMES = _RANDOM.integers(0, 1 << 64, ROWS * BANDS, np.uint64) | np.uint64(1)
 _CHUNK = 1 << 15
+SKETCH_BITS = 1024
+#: Sets above this size are sketched by a sample of their hashes, halved until it is below.
+SKETCHED = 1024
+TILE = 2048
+DEVIATIONS = 4.0
 
 
 def shingle_set(body: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -80,13 +94,106 @@ def _signatures(shingle: int):
     return with_rows(rows)
 
 
+def parity_sketch(hashes: np.ndarray, level: int) -> bytes:
+    """Parities of the hashes that end with ``level`` zero bits."""
+    some = hashes[(hashes & np.uint64((1 << level) - 1)) == 0] if level else hashes
+    counts = np.bincount((some >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def level_of(size: int) -> int:
+    return max(0, (size - 1).bit_length() - (SKETCHED - 1).bit_length())
+
+
+def _differing(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of the differing bits of sketches whose sets differ in ``d`` hashes."""
+    return SKETCH_BITS / 2 * -np.expm1(-2 * d / SKETCH_BITS), np.minimum(d * np.sqrt(2 / SKETCH_BITS), np.sqrt(SKETCH_BITS) / 2)
+
+
+def bit_limits(sizes: np.ndarray, level: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Differing bits up to which pairs of ``sizes`` (both together) are surely, or perhaps, similar."""
+    share = 0.5 ** level
+    most = sizes * (1 - similarity) / (1 + similarity) * share
+    spread = DEVIATIONS * np.sqrt(most * (1 - share))
+    mean, deviation = _differing(np.maximum(most - spread, 0))
+    open_mean, open_deviation = _differing(most + spread)
+    return mean - DEVIATIONS * deviation, open_mean + DEVIATIONS * open_deviation
+
+
 def _sets(shingle: int):
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = [shingle_set(body, shingle).tobytes() for body in as_bytes(batch.column("text"))]
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.binary())], ["node", "own"])
+        own = [shingle_set(body, shingle) for body in as_bytes(batch.column("text"))]
+        levels = [level_of(len(x)) for x in own]
+        return pa.RecordBatch.from_arrays([
+            batch.column("node"), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(levels, pa.int64()),
+            *[pa.array([parity_sketch(x, k + more) for x, k in zip(own, levels)], pa.binary()) for more in (0, 1)],
+        ], ["node", "own", "level", "s0", "s1"])
     return with_rows(rows)
 
 
+class _Cell:
+    """Nodes of one tile, or of two, of one bucket."""
+
+    def __init__(self, band: int, rows: list[tuple]):
+        node, label, size, level, side, s0, s1, bands = zip(*rows)
+        self.band, self.bands = band, np.array(bands, np.int64)
+        self.node, self.size, self.level, self.side = (np.array(x, np.int64) for x in (node, size, level, side))
+        self.label = np.array(label, np.int64)
+        self.bits = [np.frombuffer(b"".join(s), np.uint64).reshape(len(node), -1) for s in (s0, s1)]
+
+    def pairs(self, similarity: float, sure: bool) -> list[tuple[int, int]]:
+        """Pairs of different labels; if ``sure``, labels are merged as pairs are found."""
+        out, crossed = [], bool(self.side.any())
+        first = np.flatnonzero(self.side == 0)
+        for i in range(len(self.node)):
+            if crossed and not self.side[i]:
+                continue
+            of = first if crossed else np.arange(i)
+            sizes = self.size[of]
+            of = of[(self.label[of] != self.label[i]) & (np.minimum(sizes, self.size[i]) >= similarity * np.maximum(sizes, self.size[i]))]
+            of = of[np.argmax(self.bands[of] == self.bands[i], axis=1) == self.band] if len(of) else of
+            if not len(of):
+                continue
+            level = np.maximum(self.level[of], self.level[i])
+            theirs = np.where((self.level[of] == level)[:, None], self.bits[0][of], self.bits[1][of])
+            mine = np.where((self.level[i] == level)[:, None], self.bits[0][i], self.bits[1][i])
+            n = np.bitwise_count(theirs ^ mine).sum(axis=1, dtype=np.int64)
+            limit = bit_limits(self.size[of] + self.size[i], level.astype(np.float64), similarity)[0 if sure else 1]
+            of = of[n <= limit]
+            if sure and len(of):
+                labels, at = np.unique(self.label[of], return_index=True)
+                of = of[at]
+                self.label[np.isin(self.label, labels)] = self.label[i]
+            out += [(int(self.node[i]), int(self.node[j])) for j in of]
+        return out
+
+
+def _pairs_of_cells(similarity: float, sure: bool):
+    """Rows come sorted by cell."""
+    def table(pairs):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], ["a", "b"])
+
+    def run(batches):
+        at, held, out = None, [], []
+        for batch in batches:
+            cells = zip(*(batch.column(c).to_pylist() for c in ("band", "key", "ti", "tj")))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("node", "label", "size", "level", "side", "s0", "s1", "bands")))
+            for cell, row in zip(cells, rows):
+                if cell != at:
+                    if len(held) > 1:
+                        out += _Cell(at[0], held).pairs(similarity, sure)
+                    at, held = cell, []
+                    if len(out) > 1 << 15:
+                        yield table(out)
+                        out = []
+                held.append(row)
+        if len(held) > 1:
+            out += _Cell(at[0], held).pairs(similarity, sure)
+        if out:
+            yield table(out)
+    return run
+
+
 def _holds(similarity: float):
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         good = []
@@ -98,23 +205,25 @@ def _holds(similarity: float):
     return with_rows(rows)
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _checked(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """The ``pairs`` (a, b) of nodes whose shingle sets are similar enough."""
-    pairs = cut_lineage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = scratch.cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     rows = (pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y"))
-    return cut_lineage(rows.mapInArrow(_holds(similarity), "a long, b long"))
+    links = scratch.cut(rows.mapInArrow(_holds(similarity), "a long, b long"))
+    scratch.free(pairs)
+    return links
 
 
-def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def _labelled(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """``nodes`` with the component that the links give each of them."""
     roots = components(links)
-    return cut_lineage(nodes.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
+    return scratch.cut(nodes.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"))
 
 
-def _print_pairs(nodes: DataFrame) -> DataFrame:
+def _print_pairs(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """Node pairs of the trie join; nodes of one fingerprint against the smallest of them."""
-    heads = cut_lineage(nodes.groupBy("fingerprint").agg(F.min("node").alias("head")))
+    heads = scratch.cut(nodes.groupBy("fingerprint").agg(F.min("node").alias("head")))
     of = nodes.select("node", "fingerprint").join(heads, "fingerprint").filter("node != head")
     links = near_links(heads.select("fingerprint"))
     a, b = (heads.select(F.col("fingerprint").alias(c), F.col("head").alias(f"head_{c}")) for c in "ab")
@@ -122,66 +231,62 @@ def _print_pairs(nodes: DataFrame) -> DataFrame:
         links.join(a, "a").join(b, "b").select("head_a", "head_b"))
 
 
-def _bucket_rows(nodes: DataFrame) -> DataFrame:
-    return nodes.select("node", "label", "size", F.posexplode("bands").alias("band", "key"))
-
-
-def _head_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Each node of a bucket against the node of the bucket with the smallest label."""
-    rows = _bucket_rows(nodes)
-    heads = rows.groupBy("band", "key").agg(
-        F.min(F.struct("label", "node", "size")).alias("h"), F.min("label").alias("low"), F.max("label").alias("high"))
-    return rows.join(heads.filter("low < high").select("band", "key", "h"), ["band", "key"]).filter(
-        (F.col("label") != F.col("h.label")) & _sizes("size", "h.size", similarity)).select(
-        F.col("node").alias("a"), F.col("h.node").alias("b"))
+def _mixed(nodes: DataFrame) -> DataFrame:
+    """node, label, size, bands, band, key, n: rows of the buckets with more than one component."""
+    rows = nodes.select("node", "label", "size", "bands", F.posexplode("bands").alias("band", "key"))
+    mixed = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return rows.join(mixed.filter("low < high").select("band", "key", "n"), ["band", "key"])
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
-    """The rows of buckets with more than one component."""
-    mixed = rows.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    return rows.join(mixed.filter("low < high").select("band", "key"), ["band", "key"])
+def _bucket_pairs(nodes: DataFrame, sets: DataFrame, similarity: float, sure: bool) -> DataFrame:
+    """Pairs (a, b) of the buckets whose sketches are close enough."""
+    rows = _mixed(nodes).join(sets.select("node", "level", "s0", "s1"), "node")
+    rows = rows.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn(
+        "tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    cell = ["band", "key", "ti", "tj"]
+    rows = rows.withColumns({"ti": F.least("tile", "other"), "tj": F.greatest("tile", "other"),
+                             "side": (F.col("tile") > F.col("other")).cast("long")})
+    return rows.select(*cell, "node", "label", "size", "level", "side", "s0", "s1", "bands").repartition(*cell).sortWithinPartitions(
+        *cell, "node").mapInArrow(_pairs_of_cells(similarity, sure), "a long, b long")
 
 
-def _other_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
-    """All node pairs of a bucket that lie in different components."""
-    rows = cut_lineage(_mixed(_bucket_rows(nodes)))
-    x, y = rows.alias("x"), rows.alias("y")
-    near = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (
-        F.col("x.label") < F.col("y.label")) & _sizes("x.size", "y.size", similarity)
-    return x.join(y, near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-
-
-def _sizes(x: str, y: str, similarity: float) -> Column:
-    """Sets that differ more in size cannot be similar enough."""
-    return F.least(x, y) >= similarity * F.greatest(x, y)
-
-
-def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per input row: doc_id, component_id (the smallest doc_id of its near copies)."""
+def _labels(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, copy (hash of the text), node of each row; node, label of each node."""
+    scratch = Scratch(docs.sparkSession)
     rows = text_rows(docs).withColumn("copy", F.xxhash64("text"))
-    signed = cut_lineage(rows.mapInArrow(
+    signed = scratch.cut(rows.mapInArrow(
         _signatures(shingle), "doc_id long, copy long, node long, size long, fingerprint long, bands array<long>"))
-    nodes = cut_lineage(signed.groupBy("node").agg(
-        F.min("copy").alias("copy"), F.min("doc_id").alias("first"), F.min("size").alias("size"),
-        F.min("fingerprint").alias("fingerprint"), F.min("bands").alias("bands")))
-    pairs = cut_lineage(_print_pairs(nodes))
+    nodes = scratch.cut(signed.groupBy("node").agg(*[F.min(c).alias(c) for c in ("copy", "size", "fingerprint", "bands")])
+                        .withColumn("label", F.col("node")))
+    pairs = scratch.cut(_print_pairs(nodes, scratch))
     # Sets are made once, and only for nodes that can be in a pair.
-    alone = nodes.withColumn("label", F.col("node"))
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(
-        _mixed(_bucket_rows(alone)).select("node")).distinct()
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(_mixed(nodes).select("node")).distinct()
     texts = rows.groupBy("copy").agg(F.any_value("text").alias("text"))
-    sets = cut_lineage(texts.join(nodes.join(used, "node").select("copy", "node"), "copy").select("node", "text")
-                       .mapInArrow(_sets(shingle), "node long, own binary"))
-    links = _checked(pairs, sets, similarity)
-    nodes = _labelled(nodes, links)
-    for pairs in (_head_pairs, _other_pairs):
-        links = links.union(_checked(pairs(nodes, similarity), sets, similarity))
-        nodes = _labelled(nodes.drop("label"), links)
-    smallest = nodes.groupBy("label").agg(F.min("first").alias("component_id"))
-    of = nodes.select("node", "label").join(smallest, "label").select("node", "component_id")
-    return signed.select("doc_id", "node").join(of, "node").select("doc_id", "component_id")
-
-
-def dedup(docs: DataFrame, **options) -> DataFrame:
+    sets = scratch.cut(texts.join(nodes.join(used, "node").select("copy", "node"), "copy").select("node", "text")
+                       .mapInArrow(_sets(shingle), "node long, own binary, level long, s0 binary, s1 binary"))
+    links = _checked(pairs, sets, similarity, scratch)
+    nodes = _labelled(nodes.drop("label"), links, scratch)
+    for sure in (True, False):
+        links = links.union(_checked(_bucket_pairs(nodes, sets, similarity, sure), sets, similarity, scratch))
+        nodes = _labelled(nodes.drop("label"), links, scratch)
+    scratch.free_all_but(signed, nodes)
+    return signed.select("doc_id", "copy", "node"), nodes.select("node", "label")
+
+
+def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per input row: doc_id, component_id (the smallest doc_id of its near copies)."""
+    signed, nodes = _labels(docs, shingle, similarity)
+    first = signed.groupBy("node").agg(F.min("doc_id").alias("first"))
+    of = nodes.join(first, "node")
+    smallest = of.groupBy("label").agg(F.min("first").alias("component_id"))
+    return signed.select("doc_id", "node").join(of.join(smallest, "label").select("node", "component_id"), "node").select(
+        "doc_id", "component_id")
+
+
+def dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The document with the smallest doc_id of each component, all columns as they are."""
-    return keep_rows(docs, groups(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    signed, nodes = _labels(docs, shingle, similarity)
+    row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "copy")
+    best = signed.groupBy("node").agg(F.min(row).alias("row")).join(nodes, "node").groupBy("label").agg(F.min("row").alias("row"))
+    return keep_rows(docs, best.select("row.doc_id", "row.copy"))

@@ -87,3 +87,50 @@ def test_dense_groups_and_chains(spark):
         chain = chain[8:] + [f"d{i}x{j}" for j in range(8)]
     got = {r.doc_id: r.component_id for r in near_texts.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: c for (d, _), c in zip(rows, slow_components(rows))}
+
+
+def test_families_below_the_limit_cost_few_checks(spark, monkeypatch):
+    """600 texts of one template, pairs near 0.66: none is linked, and hardly one is checked."""
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, changed(r, base, 6)) for i in range(600)] + [(600 + i, t) for i in range(4) for t in (changed(r, base, 1),)]
+    seen = []
+    checked = near_texts._checked
+    monkeypatch.setattr(near_texts, "_checked", lambda pairs, *rest: (seen.append(pairs.distinct().count()), checked(pairs, *rest))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_texts.groups(df).collect()}
+    want = {d: c for (d, _), c in zip(rows, slow_components(rows))}
+    assert sum(got[d] == want[d] for d in want) >= 0.99 * len(want)
+    assert all(want[d] == want[c] for d, c in got.items())
+    assert sum(seen) < 5000
+
+
+@pytest.mark.parametrize("n", [300, 900, 3000, 20_000])
+def test_sketches_tell_similar_sets(n):
+    import numpy as np
+
+    r = np.random.default_rng(n)
+    for s, sure, maybe in ((0.9, True, True), (0.81, False, True), (0.66, False, False)):
+        both = int(n * 2 * s / (1 + s))
+        for _ in range(5):
+            x = r.integers(0, 1 << 64, 2 * n - both, np.uint64, endpoint=False)
+            a, b = x[:n], np.concatenate([x[:both], x[n:]])
+            k = near_texts.level_of(n)
+            bits = [np.frombuffer(near_texts.parity_sketch(v, k), np.uint64) for v in (a, b)]
+            low, high = near_texts.bit_limits(np.array([2.0 * n]), np.array([float(k)]), 0.8)
+            d = int(np.bitwise_count(bits[0] ^ bits[1]).sum())
+            assert (d <= high[0]) == maybe if n < 2000 or s != 0.66 else True
+            assert not (d <= low[0]) or sure
+
+
+def test_tiles_and_levels(spark, monkeypatch, copies):
+    monkeypatch.setattr(near_texts, "TILE", 2)
+    monkeypatch.setattr(near_texts, "SKETCHED", 128)
+    test_near_copies_against_brute_force(spark, copies[:120])
+
+
+def test_rows_without_id_keep_one_of_each_component(spark):
+    rows = [(None, "aaa bbb"), (5, "aaa bbb"), (None, "ccc ddd"), (None, "ccc ddd"), (None, "CCC DDD")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = Counter((r.doc_id, r.text.lower()) for r in near_texts.dedup(df).collect())
+    assert left == Counter([(5, "aaa bbb"), (None, "ccc ddd")])
