@@ -22,11 +22,10 @@ def plain_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
-SPACES = ["a  b", "a \nb", "\n \n b", "  x", " x", "x ", "x  ", "", "\t a", "a  b", "a <|endoftext|> b", "it's we've", "　 é"]
+SPACES = ["a  b", "a \nb", "\n \n b", "  x", " x", "x ", "x  ", "", "\t a", "a  b", "a <|endoftext|> b", "x<|endoftext|>", " <|endoftext|><|endoftext|>  y", "it's we've", "　 é"]
 
 
 @pytest.mark.parametrize("slice_chars", [1 << 20, 50])
@@ -216,3 +215,20 @@ def test_stages_pass_documents_on(spark, tmp_path):
     check_pieces(rows, [(d, i + [0]) for d, i in zip(texts, plain_ids(list(texts.values())))])
     again = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {(r.doc_id, r.doc_tokens) for r in again.collect()} == {(r.doc_id, r.doc_tokens) for r in rows}
+
+
+def test_both_ways_of_merging_agree():
+    encode = packing.Encoder(BPE)
+    assert encode.fast is not None
+    slow = packing.Encoder(BPE)
+    slow.fast = None
+    texts = [r.text or "" for r in _documents()] + ["naïve café's 1st+2nd x" * 20, "a" * 3000, "ß" * 1200 + " ok", "漢字 и русский texte"]
+    assert [encode(t) for t in texts] == [slow(t) for t in texts]
+    assert [np.frombuffer(encode(t), "<u2").tolist() for t in texts] == plain_ids(texts)
+
+
+def _documents():
+    import pyarrow.parquet as pq
+    from types import SimpleNamespace
+
+    return [SimpleNamespace(**r) for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()]
