@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assay.llm.common import as_bytes, cut_lineage
+from assay.llm.common import as_bytes, cut_lineage, free_name
 
 LENGTH = 200
 GRAM = 32
@@ -185,15 +185,42 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     return out
 
 
+def directly_sorted(raw: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """The suffixes ``at`` in the order of their first ``depth`` bytes.
+
+    Eight bytes at a time, as integers, and only among those that are still equal; so memory is a
+    few integers a suffix, however deep it goes.
+    """
+    n = len(raw) + depth
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:len(raw)] = raw
+    words = np.zeros(n, np.uint64)
+    for k in range(8):
+        words = (words << np.uint64(8)) | padded[k:k + n]
+    key = words[at]
+    sort = np.argsort(key, kind="stable")
+    order, key = at[sort], key[sort]
+    fresh = np.ones(len(order), bool)  # starts a group of equal suffixes
+    fresh[1:] = key[1:] != key[:-1]
+    for d in range(8, depth, 8):
+        equal = ~fresh
+        equal[:-1] |= ~fresh[1:]
+        open_ = np.flatnonzero(equal)
+        if not len(open_):
+            break
+        group, key = np.cumsum(fresh)[open_], words[order[open_] + d]
+        sort = np.lexsort((key, group))
+        order[open_], key = order[open_][sort], key[sort]
+        fresh[open_[1:]] |= (group[1:] == group[:-1]) & (key[1:] != key[:-1])
+    return order
+
+
 def suffix_array(text: np.ndarray, raw: bytes, depth: int) -> np.ndarray:
     """Suffixes in the order of their first ``depth`` symbols at least.
 
     ``text`` has symbols from 0; ``raw`` is the same as bytes that compare alike.
     """
-    rising = smaller_than_next(text)
-    direct = np.flatnonzero(rising)
-    order = sorted(direct.tolist(), key=lambda i: raw[i:i + depth])
-    direct = np.array(order, np.int64)
+    direct = directly_sorted(np.frombuffer(raw, np.uint8), np.flatnonzero(smaller_than_next(text)), depth)
     top = int(text.max()) + 1
     cuts = np.searchsorted(text[direct], np.arange(top + 1))
     induced: list[list[np.ndarray]] = [[] for _ in range(top)]
@@ -445,9 +472,9 @@ def clean(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     spans, texts = repeated_spans(docs, length, **options)
     copied = texts.filter("copies > 1").select("t1", "t2", F.lit(True).alias("copied"))
     lists = spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("offset", "windows")).alias("spans"))
+    t1, t2, own, all_gone = (free_name(f"__{n}", docs) for n in ("t1", "t2", "spans", "copied"))
     cuts = lists.join(copied, ["t1", "t2"], "full").select(
-        F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("spans").alias("__spans"),
-        F.col("copied").alias("__copied"))
+        F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("spans").alias(own), F.col("copied").alias(all_gone))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -457,10 +484,10 @@ def clean(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
             for t, s in zip(text, spans)])
 
     text = F.coalesce("text", F.lit(""))
-    found = docs.withColumns({"__t1": F.xxhash64(text), "__t2": F.hash(text).bitwiseAND(
-        F.lit(0xFFFFFF)).cast("long")}).join(cuts, ["__t1", "__t2"], "left")
-    gone = F.col("__copied") & (F.octet_length(text) >= length)
-    out = found.withColumn("text", F.when(gone, F.lit("")).otherwise(cut("text", "__spans")))
+    found = docs.withColumns({t1: F.xxhash64(text), t2: F.hash(text).bitwiseAND(F.lit(0xFFFFFF)).cast("long")}).join(
+        cuts, [t1, t2], "left")
+    gone = F.col(all_gone) & (F.octet_length(text) >= length)
+    out = found.withColumn("text", F.when(gone, F.lit("")).otherwise(cut("text", own)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from assay.llm import exact_dedup, simhash, suffix_dedup
+from assay.llm import exact_dedup, quality_rules, simhash, suffix_dedup
 from assay.llm.components import components
 from tests.llm.samples import ODD, no_docs, odd_docs, table
 
@@ -204,3 +204,29 @@ def test_suffix_array_sorts():
         x = bytes(r.choice(b"ab\0") for _ in range(r.randint(1, 50))) + b"\0"
         order = suffix_dedup.suffix_array(np.frombuffer(x, np.uint8), x, 1000)
         assert [x[i:] for i in order] == sorted(x[i:] for i in range(len(x)))
+
+
+def test_rows_without_id_keep_one_of_each_text(spark):
+    rows = [(None, "aaa"), (5, "aaa"), (None, "bbb"), (None, "BBB"), (6, None), (None, ""), (5, "AAA")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = exact_dedup.dedup(df).collect()
+    assert Counter((r.doc_id, (r.text or "").lower()) for r in left) == Counter([(5, "aaa"), (None, "bbb"), (6, "")])
+
+
+def test_clean_keeps_columns_of_any_name(spark):
+    docs = odd_docs(spark).selectExpr("*", *[f"'mine' AS `{c}`" for c in (
+        "__t1", "__t2", "__spans", "__copied", "__host", "__text_hash", "__left", "__removed", "__copy", "__text_sha256")])
+    for out in (suffix_dedup.clean(docs), quality_rules.clean(docs), exact_dedup.dedup(docs)):
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == "mine" for r in rows for c in docs.columns if c.startswith("__") and c != "__turn")
+
+
+def test_direct_sort_equals_sorted_slices():
+    r = random.Random(12)
+    for alphabet, n in ((b"ab", 400), (b"abcdefgh\0", 3000), (b"a", 50)):
+        raw = bytes(r.choice(alphabet) for _ in range(n)) * 2 + b"\0"
+        at = np.array(sorted(r.sample(range(len(raw)), len(raw) // 2)), np.int64)
+        got = suffix_dedup.directly_sorted(np.frombuffer(raw, np.uint8), at, 200)
+        key = lambda i: (raw + b"\0" * 300)[i:i + 200]
+        assert sorted(got.tolist()) == at.tolist() and [key(i) for i in got] == sorted(key(i) for i in at)
