@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from assay.functions.columns import clean, present, quoted
 from assay.functions.order_stats import ROWS_PER_PIECE, cut_points, exact_quantiles, value_positions
+from assay.session import cut_lineage
 
 # Fixed values of the signal rules.
 BASELINE_WINDOW = 50
@@ -355,13 +356,21 @@ def purity_ratio(df: DataFrame, trace: Sequence[str], y280: str, y260: str) -> D
 
 
 def aggregate_share(peaks: DataFrame, trace: Sequence[str], t: str, area: str) -> DataFrame:
-    """Share of area that elutes before the main peak, flagged above 5 %."""
+    """Share of area that elutes before the main peak, flagged above 5 %.
+
+    The main peak is the largest, of equally large ones the earliest. Peaks are written first: a
+    place that is itself a mean has other last digits when it is computed again, and would then
+    lie before itself. The share counts to twelve digits.
+    """
     keys = [quoted(c) for c in trace]
-    main = peaks.groupBy(*keys).agg(F.max_by(quoted(t), quoted(area)).alias("__main"))
+    peaks = cut_lineage(peaks.select(*keys, quoted(t).alias("__t"), quoted(area).alias("__area")))
+    known = F.col("__t").isNotNull() & F.col("__area").isNotNull()
+    main = peaks.groupBy(*keys).agg(F.max(F.when(known, F.struct(
+        F.col("__area"), (-F.col("__t")).alias("__back")))).alias("__main"))
     out = peaks.join(main, list(trace)).groupBy(*keys).agg(
-        F.sum(F.when(quoted(t) < F.col("__main"), quoted(area)).otherwise(0.0)).alias("__early"),
-        F.sum(quoted(area)).alias("__all"))
-    return out.select(*keys, (F.try_divide("__early", "__all") * 100).alias("aggregate_pct")
+        F.sum(F.when(F.col("__t") < -F.col("__main.__back"), F.col("__area")).otherwise(0.0)).alias("__early"),
+        F.sum("__area").alias("__all"))
+    return out.select(*keys, F.round(F.try_divide("__early", "__all") * 100, 12).alias("aggregate_pct")
                       ).withColumn("flagged", F.col("aggregate_pct") > AGGREGATE_SHARE)
 
 

@@ -123,10 +123,14 @@ def purity_ratio(spark, d):
     return _rounded(T.purity_ratio(ev, TRACE, "a280", "a260"), ["ratio"])
 
 
-@query(_PEAKS + """, m AS (SELECT user_id, arg_max(t, h) AS main FROM p GROUP BY user_id),
-s AS (SELECT user_id, sum(CASE WHEN t < main THEN h ELSE 0 END) / sum(h) * 100 AS pct
-      FROM p JOIN m USING (user_id) GROUP BY user_id)
-SELECT user_id, round(pct, 4) AS aggregate_pct, pct > 5 AS flagged FROM s""")
+# The main peak is the highest, of equally high ones the earliest. The share counts to twelve digits,
+# so that the order of a sum decides neither a rounding nor the flag.
+@query(_PEAKS + """, m AS (SELECT *, first_value(t) OVER (PARTITION BY user_id
+    ORDER BY t IS NULL OR h IS NULL, h DESC, t) AS main FROM p),
+s AS (SELECT user_id, CASE WHEN sum(h) <> 0 THEN
+        CAST(sum(CASE WHEN t < main THEN h ELSE 0 END) / sum(h) * 100 AS DECIMAL(28, 12)) END AS pct
+      FROM m GROUP BY user_id)
+SELECT user_id, CAST(round(pct, 4) AS DOUBLE) AS aggregate_pct, pct > 5 AS flagged FROM s""")
 def aggregate_share(spark, d):
     return _rounded(T.aggregate_share(_peaks(spark, d), TRACE, "t", "h"), ["aggregate_pct"], 4)
 
