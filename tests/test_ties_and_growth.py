@@ -29,3 +29,22 @@ def test_equal_peaks_in_the_sql(spark, tmp_path):
         con.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
         assert con.execute(entry.oracle_sql()["aggregate_share"]).fetchall() == [(1, 3.5714, False)]
         assert [tuple(r) for r in entry.queries()["aggregate_share"](spark, str(tmp_path)).collect()] == [(1, 3.5714, False)]
+
+
+def _lines(con, folder, groups, limit, side):
+    """A group of each list of taxes; their means are on the limit, summed in this order they are beyond it."""
+    sums = [list(accumulate(x / 100 for x in taxes))[-1] for taxes in groups]  # sum() would correct itself
+    assert all((total / len(taxes) * 5000 - limit) * side > 0 for total, taxes in zip(sums, groups))
+    rows = ", ".join(f"({i}, {x / 100})" for i, taxes in enumerate(groups) for x in taxes)
+    con.execute(f"""COPY (SELECT i AS l_orderkey, i AS l_suppkey, 1 AS l_linenumber, 24.0::DOUBLE AS l_quantity,
+        5.0::DOUBLE AS l_extendedprice, 0.0::DOUBLE AS l_discount, x::DOUBLE AS l_tax FROM (VALUES {rows}) t(i, x))
+        TO '{folder}/lineitem.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE OR REPLACE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet'")
+
+
+def test_a_mean_on_the_limit_is_not_impossible(spark, tmp_path):
+    con = duckdb.connect()
+    _lines(con, tmp_path, [(0, 2, 7, 7), (0, 4, 7, 5), (0, 7, 2, 7), (0, 2, 7, 7, 4)], 200, 1)
+    got = entry.queries()["impossible_values"](spark, str(tmp_path)).filter("metric = 'tax_pct'").collect()
+    want = con.execute(entry.oracle_sql()["impossible_values"]).fetchall()
+    assert got == [] and [r for r in want if r[2] == "tax_pct"] == []
