@@ -226,12 +226,13 @@ def plot_gate(spark, d):
     return Q.plot_gate(_files(spark, d), RUN, 30).select("run", "passed")
 
 
-@query(f"""WITH {X.GROUP_METRIC_SQL}, t(metric, low, high) AS (VALUES ('tax_pct', 150.0::DOUBLE, 220.0::DOUBLE), ('l_quantity', 24.0, NULL))
-SELECT run, group_key, metric, coalesce(value < low, false) OR coalesce(value > high, false) AS flagged FROM group_metric JOIN t USING (metric)""")
+@query(f"""WITH {_SETTLED}, t(metric, low, high) AS (VALUES ('tax_pct', 150.0::DOUBLE, 220.0::DOUBLE), ('l_quantity', 24.0, NULL))
+SELECT run, group_key, metric, coalesce(value < low, false) OR coalesce(value > high, false) AS flagged FROM settled JOIN t USING (metric)""")
 def threshold_flags(spark, d):
     limits = spark.createDataFrame([("tax_pct", 150.0, 220.0), ("l_quantity", 24.0, None)],
                                    "metric string, low double, high double")
-    return Q.threshold_flags(X.group_metric(spark, d), limits).select(
+    settled = _rounded(X.group_metric(spark, d), ["value"], 9)
+    return Q.threshold_flags(settled, limits).select(
         "run", "group_key", "metric", "flagged")
 
 

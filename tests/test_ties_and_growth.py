@@ -48,3 +48,12 @@ def test_a_mean_on_the_limit_is_not_impossible(spark, tmp_path):
     got = entry.queries()["impossible_values"](spark, str(tmp_path)).filter("metric = 'tax_pct'").collect()
     want = con.execute(entry.oracle_sql()["impossible_values"]).fetchall()
     assert got == [] and [r for r in want if r[2] == "tax_pct"] == []
+
+
+def test_a_mean_on_the_limit_is_not_flagged(spark, tmp_path):
+    con = duckdb.connect()
+    _lines(con, tmp_path, [(1, 6, 4, 1), (6, 1, 4, 1), (1, 6, 1, 1, 6), (1, 6, 4, 1, 3)], 150, -1)
+    got = entry.queries()["threshold_flags"](spark, str(tmp_path)).collect()
+    want = con.execute(entry.oracle_sql()["threshold_flags"]).fetchall()
+    assert len(got) == len(want) == 8
+    assert not any(r["flagged"] for r in got) and not any(r[3] for r in want)
