@@ -189,7 +189,7 @@ def figure_coverage(findings: DataFrame, files: DataFrame, by: Sequence[str]) ->
         *_by(by), stem(F.col("path")).alias("stem")).distinct()
     words = findings.select(*_by(by), F.lower(F.concat_ws(
         " ", "text", "figure_ref")).alias("corpus"))
-    named = containment(plots, words, by, "stem", "corpus").select(*_by(by), "stem").distinct()
+    named = containment(plots, words, by, "stem", "corpus", keep_text=False).select(*_by(by), "stem").distinct()
     total = plots.groupBy(*_by(by)).agg(F.count(F.lit(1)).alias("plots"))
     hits = named.groupBy(*_by(by)).agg(F.count(F.lit(1)).alias("named"))
     out = total.join(findings.select(*_by(by)).distinct(), list(by), "left_semi").join(
@@ -299,7 +299,7 @@ def context_coverage(contexts: DataFrame, findings: DataFrame, by: Sequence[str]
             F.transform("group_by", lambda c: F.lower(c))),
             lambda t: t.isNotNull() & (F.length(t) > 0))).alias("term"))
     corpus = findings.select(*_by(by), F.lower("text").alias("corpus"))
-    used = containment(real, corpus, by, "term", "corpus").select(*_by(by), "name").distinct()
+    used = containment(real, corpus, by, "term", "corpus", keep_text=False).select(*_by(by), "name").distinct()
     total = real.groupBy(*_by(by)).agg(F.count_distinct("name").alias("n"))
     hits = used.groupBy(*_by(by)).agg(F.count(F.lit(1)).alias("used"))
     out = total.filter("n >= 2").join(hits, list(by), "left")

@@ -260,7 +260,7 @@ def terms_in_texts(spark, d):
     terms = table(spark, d, "benchmark").select(F.lit(1).alias("all"), F.explode(
         F.split(F.lower("text"), " ", -1)).alias("term")).distinct()
     docs = table(spark, d, "documents").select(F.lit(1).alias("all"), "doc_id", "text")
-    return containment(terms, docs, ["all"], "term", "text").groupBy("term").agg(
+    return containment(terms, docs, ["all"], "term", "text", keep_text=False).groupBy("term").agg(
         F.count(F.lit(1)).alias("n"))
 
 

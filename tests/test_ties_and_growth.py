@@ -3,9 +3,11 @@
 from itertools import accumulate
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from assay.functions.text import containment
 from assay.operators import traces as T
 
 
@@ -57,3 +59,32 @@ def test_a_mean_on_the_limit_is_not_flagged(spark, tmp_path):
     want = con.execute(entry.oracle_sql()["threshold_flags"]).fetchall()
     assert len(got) == len(want) == 8
     assert not any(r["flagged"] for r in got) and not any(r[3] for r in want)
+
+
+@pytest.mark.parametrize("limits", [{}, {"shard_chars": 40}, {"shard_chars": 40, "max_passes": 1},
+                                    {"shard_chars": 40, "max_passes": 1, "direct_terms": 0},
+                                    {"shard_chars": 30, "max_passes": 1, "slice_chars": 100, "direct_terms": 3}])
+def test_containment_without_the_text(spark, limits):
+    rng = np.random.default_rng(17)
+    rows = lambda n, most: [(g, i, "".join(rng.choice(list("abé "), rng.integers(0, most)))) for g in ("x", "y", None) for i in range(n)]
+    terms, texts = rows(25, 7), rows(15, 80)
+    terms += [("x", 99, None), ("x", 98, ""), *terms[:4], ("z", 97, "a"), ("z", 97, "b")]
+    texts += [("y", 99, None), *texts[:3], ("z", 5, "cab"), ("z", 5, "cab"), ("z", 6, "")]
+    t = spark.createDataFrame(terms, "`a.g` string, no int, term string")
+    d = spark.createDataFrame(texts, "`a.g` string, i int, text string")
+    want = sorted((g, n, x, i) for g, n, x in terms for h, i, y in texts if g and g == h and x and y is not None and x in y)
+    out = containment(t, d, ["a.g"], "term", "text", keep_text=False, **limits)
+    assert out.columns == ["a.g", "no", "term", "i"]
+    assert sorted(map(tuple, out.collect())) == want
+    kept = containment(t, d, ["a.g"], "term", "text", **limits)
+    assert sorted(map(tuple, kept.drop("text").collect())) == want
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_matches_are_joined_with_terms_only(spark):
+    plan = _plan(entry.queries()["terms_in_texts"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("Join ") == 1  # not with the texts again, for which every match was shuffled
+    assert plan.count("Aggregate ") == 1  # and matches are not made distinct
