@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.columns import quoted
 from assay.functions.text import containment, stem
+from assay.session import cut_lineage
 
 # Fixed word lists and patterns.
 ANALYSIS_WORDS = ("result", "finding", "data", "analysis", "discussion", "quality", "material",
@@ -81,35 +82,39 @@ def _number(text: Column) -> Column:
 
 
 def stated_values(docs: DataFrame, by: Sequence[str], text: str = "text") -> DataFrame:
-    """(by, key, stated): every ``key = value`` in a text."""
-    keys = F.regexp_extract_all(quoted(text), F.lit(KEY_VALUE), F.lit(1))
-    vals = F.regexp_extract_all(quoted(text), F.lit(KEY_VALUE), F.lit(2))
-    return docs.select(*[quoted(b) for b in by], F.explode(F.arrays_zip(
-        keys.alias("k"), vals.alias("v"))).alias("z")).select(
-        *[quoted(b) for b in by], F.lower(F.trim("z.k")).alias("key"),
-        F.expr("try_cast(trim(replace(replace(z.v, ',', '.'), '%', '')) AS double)").alias("stated")
-    ).filter("stated is not null")
-
-
-def value_contradictions(docs: DataFrame, means: DataFrame, by: Sequence[str], text: str = "text"
-                         ) -> DataFrame:
+    """(by, key, stated): every ``key = value`` in a text, which is searched once."""
+    def part(group: int) -> Column:
+        return F.regexp_extract("m", KEY_VALUE, group)
+    return docs.select(*[quoted(b) for b in by], F.explode(F.regexp_extract_all(
+        quoted(text), F.lit(KEY_VALUE), F.lit(0))).alias("m")).select(
+        *[quoted(b) for b in by], F.lower(F.trim(part(1))).alias("key"),
+        F.trim(_number(part(2))).try_cast("double").alias("stated")).filter("stated is not null")
+
+
+def value_contradictions(docs: DataFrame, means: DataFrame, by: Sequence[str], text: str = "text",
+                         keep: Sequence[str] = ()) -> DataFrame:
     """Stated values more than 5 % off the metric of that name.
 
     ``means`` holds (by, metric, mean). A name that is no metric falls back to the
-    first metric name that contains it or is contained in it.
+    first metric name that contains it or is contained in it. ``keep`` names further
+    columns of ``docs`` to return. Names are looked up once each: the values themselves
+    meet only the table of the names found.
     """
-    named = means.select(*[quoted(b) for b in by], F.lower("metric").alias("metric"), "mean")
-    stated = stated_values(docs, by, text)
-    exact = stated.join(named.withColumnRenamed("metric", "key"), [*by, "key"])
-    open_ = stated.join(named.withColumnRenamed("metric", "key"), [*by, "key"], "left_anti")
-    keys = open_.select(*[quoted(b) for b in by], "key").distinct()
-    names = named.select(*[quoted(b) for b in by], "metric").distinct()
-    near = containment(keys, names, by, "key", "metric").select(*by, "key", "metric").unionByName(
-        containment(names, keys, by, "metric", "key").select(*by, "key", "metric"))
-    best = near.groupBy(*[quoted(b) for b in by], "key").agg(F.min("metric").alias("metric"))
-    loose = open_.join(best, [*by, "key"]).join(named, [*by, "metric"]).drop("metric")
+    keys = [quoted(b) for b in by]
+    named = cut_lineage(means.select(*keys, F.lower("metric").alias("metric"), "mean"))
+    stated = stated_values(docs, [*by, *keep], text)
+    names = named.select(*keys, "metric").distinct()
+    asked = cut_lineage(stated.select(*keys, "key").distinct())
+    open_ = asked.join(named.select(*keys, F.col("metric").alias("key")), [*by, "key"], "left_anti")
+    near = containment(open_, names, by, "key", "metric").select(*keys, "key", "metric").unionByName(
+        containment(names, open_, by, "metric", "key").select(*keys, "key", "metric"))
+    best = near.groupBy(*keys, "key").agg(F.min("metric").alias("metric"))
+    loose = best.join(named, [*by, "metric"]).select(*keys, "key", "mean")
+    known = cut_lineage(asked.join(named.withColumnRenamed("metric", "key"), [*by, "key"]).select(
+        *keys, "key", "mean").union(loose))
     gap = F.abs(F.try_divide(F.col("stated") - F.col("mean"), F.col("mean")))
-    return exact.unionByName(loose.select(*exact.columns)).filter(F.col("mean") != 0).filter(
+    return stated.join(known, [*by, "key"]).select(
+        *keys, "key", *[quoted(c) for c in keep], "stated", "mean").filter(F.col("mean") != 0).filter(
         gap > VALUE_TOLERANCE)
 
 

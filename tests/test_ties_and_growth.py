@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from assay.functions.text import containment
+from assay.operators import reports as R
 from assay.operators import traces as T
 
 
@@ -88,3 +89,12 @@ def test_matches_are_joined_with_terms_only(spark):
     plan = _plan(entry.queries()["terms_in_texts"](spark, "/root/testdata/sf0.001"))
     assert plan.count("Join ") == 1  # not with the texts again, for which every match was shuffled
     assert plan.count("Aggregate ") == 1  # and matches are not made distinct
+
+
+def test_stated_values_are_looked_up_by_name(spark):
+    docs = spark.createDataFrame([(1, 1, "a b. price = 7, Price: 7 and price_mean = 10.2 %"), (1, 2, "total: 3,5 mean = 20 x = 1"),
+                                  (1, 3, None), (2, 4, "price = 7")], "g int, i int, text string")
+    means = spark.createDataFrame([(1, "Price_Mean", 10.0), (1, "total", 3.5), (1, "zero", 0.0)], "g int, metric string, mean double")
+    out = R.value_contradictions(docs, means, ["g"], keep=["i"])
+    assert sorted(map(tuple, out.collect())) == [(1, "mean", 2, 20.0, 10.0), (1, "price", 1, 7.0, 10.0), (1, "price", 1, 7.0, 10.0)]
+    assert _plan(out).count("regexp_extract_all") <= 2  # the search itself and the test that it found any
