@@ -121,7 +121,7 @@ def value_contradictions(docs: DataFrame, means: DataFrame, by: Sequence[str], t
 def repeated_claims(docs: DataFrame, disproved: DataFrame, by: Sequence[str], text: str = "text"
                     ) -> DataFrame:
     """Disproved claim values (by, metric, claimed text) that a document still contains."""
-    return containment(disproved, docs, by, "claimed", text)
+    return containment(disproved, docs, by, "claimed", text, keep_text=False)
 
 
 def implausible_statistics(docs: DataFrame, by: Sequence[str], text: str = "text") -> DataFrame:

@@ -91,6 +91,17 @@ def test_matches_are_joined_with_terms_only(spark):
     assert plan.count("Aggregate ") == 1  # and matches are not made distinct
 
 
+def test_few_terms_of_a_group_are_joined_directly(spark):
+    terms = [(g, f"{g:05d}.{k}") for g in range(300) for k in range(2)] + [(7, "00007.1"), (400, "x")]
+    texts = [(g, i, f"price {g:05d}.1 or {g + 1:05d}.0") for g in range(300) for i in range(2)]
+    t = spark.createDataFrame(terms, "g int, claimed string")
+    d = spark.createDataFrame(texts, "g int, i int, text string")
+    out = containment(t, d, ["g"], "claimed", "text", keep_text=False, shard_chars=100, max_passes=1)
+    assert "MapInArrow" not in _plan(out) and _plan(out).count("Join ") == 1
+    want = sorted((g, x, i) for g, x in terms for h, i, y in texts if g == h and x in y)
+    assert sorted(map(tuple, out.collect())) == want and len(want) == 602
+
+
 def test_stated_values_are_looked_up_by_name(spark):
     docs = spark.createDataFrame([(1, 1, "a b. price = 7, Price: 7 and price_mean = 10.2 %"), (1, 2, "total: 3,5 mean = 20 x = 1"),
                                   (1, 3, None), (2, 4, "price = 7")], "g int, i int, text string")
