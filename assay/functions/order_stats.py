@@ -45,22 +45,23 @@ def with_piece(df: DataFrame, value: str, cuts: Sequence[float], piece: str = "_
 
 
 def value_positions(df: DataFrame, keys: Sequence[str], value: str, *,
-                    rows_per_piece: int | None = ROWS_PER_PIECE) -> DataFrame:
+                    rows_per_piece: int | None = ROWS_PER_PIECE, weight: str | None = None) -> DataFrame:
     """One row per (keys, value) with ``n``, ``before`` and ``total``.
 
     ``n`` counts rows holding the value, ``before`` rows of the key with a smaller
     value and ``total`` all rows of the key. NULL keys, NULL and NaN values are left
     out. ``rows_per_piece=None`` skips the size check; use it only for inputs that
-    are small by construction.
+    are small by construction. A row counts as many as its ``weight`` says.
     """
     keys = list(keys)
     rows = df.filter(present(df, value))
     for k in keys:
         rows = rows.filter(quoted(k).isNotNull())
     by = [quoted(k) for k in keys]
-    rows = rows.select(*by, quoted(value))
+    rows = rows.select(*by, quoted(value), (quoted(weight) if weight else F.lit(1)).alias("__weight"))
     cuts = [] if rows_per_piece is None else cut_points(rows, value, rows_per_piece)
-    counts = rows.groupBy(*by, quoted(value)).agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy(*by, quoted(value)).agg(
+        (F.sum("__weight") if weight else F.count(F.lit(1))).alias("n"))
     earlier = (Window.unboundedPreceding, -1)
     if not cuts:
         whole = Window.partitionBy(*by)
@@ -113,7 +114,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, rank: str = "avg_rank",
-                  **split: int | None) -> DataFrame:
+                  **split: int | str | None) -> DataFrame:
     """Add the average-tie rank of ``value`` within ``keys``; NULL values get no rank."""
     pos = value_positions(df, keys, value, **split).select(
         *[quoted(k) for k in keys], quoted(value),

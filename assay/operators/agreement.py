@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from assay.functions.columns import clean, quoted
 from assay.functions.order_stats import average_ranks
+from assay.session import cut_lineage
 
 # Fixed order of the ratings and limit of the bias rule.
 RATING_VALUES = {"poor": 0, "acceptable": 1, "good": 2}
 BIAS_SHARE = 0.3
+ROWS_PER_TASK = 1 << 19
 
 
 def krippendorff_alpha(ratings: DataFrame, by: Sequence[str], unit: Sequence[str], value: str,
@@ -79,9 +81,14 @@ def judge_pairs(ratings: DataFrame, by: Sequence[str], unit: Sequence[str], judg
     """Scores of the same unit by two judges, each pair of judges once.
 
     A judge rates a unit once (repeats are averaged first), so a unit yields no
-    more rows than there are pairs of judges.
+    more rows than there are pairs of judges. Units are dealt to more tasks as ratings
+    grow, so that a task holds some ``ROWS_PER_TASK`` of them whatever their number.
     """
     keys = [*by, *unit]
+    ratings = cut_lineage(ratings.select(*[quoted(k) for k in keys], quoted(judge), quoted(value)))
+    tasks = -(-ratings.count() // ROWS_PER_TASK)
+    if tasks > int(ratings.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        ratings = ratings.repartition(tasks, *[quoted(k) for k in keys])
     one = ratings.groupBy(*[quoted(k) for k in keys], quoted(judge)).agg(
         F.avg(clean(ratings, value)).alias("v"))
     a = one.select(*[quoted(k) for k in keys], quoted(judge).alias("judge_a"),
@@ -93,14 +100,28 @@ def judge_pairs(ratings: DataFrame, by: Sequence[str], unit: Sequence[str], judg
 
 def spearman_agreement(ratings: DataFrame, by: Sequence[str], unit: Sequence[str], judge: str,
                        value: str, **split) -> DataFrame:
-    """Mean Spearman correlation over pairs of judges with three or more shared units."""
-    pairs = judge_pairs(ratings, by, unit, judge, value)
+    """Mean Spearman correlation over pairs of judges with three or more shared units.
+
+    Pairs are counted by their two scores before they are ranked, so that a task holds different
+    scores and not units. The correlation is that of the ranks, each as often as its pairs.
+    """
     within = [*by, "judge_a", "judge_b"]
-    ranked = average_ranks(pairs, within, "score_a", "__ra", **split)
-    ranked = average_ranks(ranked, within, "score_b", "__rb", **split)
-    rho = ranked.groupBy(*[quoted(w) for w in within]).agg(
-        F.corr("__ra", "__rb").alias("rho"), F.count(F.lit(1)).alias("shared")).filter(
-        (F.col("shared") >= 3) & F.col("rho").isNotNull() & ~F.isnan("rho"))
+    pairs = cut_lineage(judge_pairs(ratings, by, unit, judge, value).groupBy(
+        *[quoted(w) for w in within], "score_a", "score_b").agg(F.count(F.lit(1)).alias("__n")))
+    ranked = average_ranks(pairs, within, "score_a", "__ra", weight="__n", **split)
+    ranked = average_ranks(ranked, within, "score_b", "__rb", weight="__n", **split)
+    both = F.col("__ra").isNotNull() & F.col("__rb").isNotNull()
+
+    def total(of: Column) -> Column:
+        return F.sum(F.when(both, of * F.col("__n")))
+    # Ranks are taken from their middle, about which they lie evenly: no digits are lost in the squares.
+    middle = ranked.groupBy(*[quoted(w) for w in within]).agg(
+        F.sum("__n").alias("shared"), F.try_divide(total(F.col("__ra")), total(F.lit(1.0))).alias("__ma"),
+        F.try_divide(total(F.col("__rb")), total(F.lit(1.0))).alias("__mb"))
+    a, b = F.col("__ra") - F.col("__ma"), F.col("__rb") - F.col("__mb")
+    rho = ranked.join(middle, within).groupBy(*[quoted(w) for w in within]).agg(
+        F.max("shared").alias("shared"), F.try_divide(total(a * b), F.sqrt(total(a * a)) * F.sqrt(total(b * b))).alias("rho")
+    ).filter((F.col("shared") >= 3) & F.col("rho").isNotNull() & ~F.isnan("rho"))
     return rho.groupBy(*[quoted(b) for b in by]).agg(
         F.round(F.avg(F.round("rho", 4)), 4).alias("spearman"),
         F.count(F.lit(1)).alias("judge_pairs"))

@@ -109,3 +109,27 @@ def test_stated_values_are_looked_up_by_name(spark):
     out = R.value_contradictions(docs, means, ["g"], keep=["i"])
     assert sorted(map(tuple, out.collect())) == [(1, "mean", 2, 20.0, 10.0), (1, "price", 1, 7.0, 10.0), (1, "price", 1, 7.0, 10.0)]
     assert _plan(out).count("regexp_extract_all") <= 2  # the search itself and the test that it found any
+
+
+def test_agreement_counts_pairs_of_scores(spark, monkeypatch):
+    import pandas as pd
+
+    from assay.functions import order_stats
+    from assay.operators import agreement as A
+
+    rng = np.random.default_rng(4)
+    scores = rng.integers(0, 4, (400, 3)).astype(float) + rng.integers(0, 2, (400, 1))
+    rows = [("k", u, f"j{j}", float(v)) for u, vs in enumerate(scores) for j, v in enumerate(vs)]
+    rows += [("k", 900, "j0", None), ("k", 900, "j1", 2.0), ("few", 1, "j0", 1.0), ("few", 1, "j1", 1.0)]
+    df = spark.createDataFrame(rows, "c string, u int, j string, v double")
+    ranked = []
+    monkeypatch.setattr(A, "average_ranks", lambda d, *a, **k: ranked.append(d.count()) or order_stats.average_ranks(d, *a, **k))
+    ranks = pd.DataFrame(scores).rank()
+    first = pd.DataFrame(np.vstack([scores[:, :2], [np.nan, 2.0]])).rank()  # the unit with one score missing
+    want = np.mean([first[0].corr(first[1]), ranks[0].corr(ranks[2]), ranks[1].corr(ranks[2])])
+    for most in (A.ROWS_PER_TASK, 50):  # 50 deals the units to more tasks than the session's own
+        monkeypatch.setattr(A, "ROWS_PER_TASK", most)
+        got = A.spearman_agreement(df, ["c"], ["u"], "j", "v").collect()
+        assert [(r["c"], r["judge_pairs"]) for r in got] == [("k", 3)]
+        assert got[0]["spearman"] == pytest.approx(want, abs=1e-4)
+    assert max(ranked) < 100  # of 1,201 pairs
