@@ -4,9 +4,15 @@ A byte goes if it lies in a string of ``LENGTH`` bytes that starts anywhere else
 every suffix of a corpus in one place does not scale, so the suffixes are first dealt to where
 their equals are. Every window of LENGTH bytes names one anchor: the ``GRAM``-byte string in
 it with the smallest hash. Equal windows have equal anchors. Windows in a row with one anchor
-form a run, kept as (anchor, hash of its bytes, place), about one row per 85 bytes. Only
-anchors that occur twice matter: a run whose bytes occur twice is repeated as a whole, and if
-an anchor has runs with different bytes, those distinct strings are gathered by anchor.
+form a run, kept as (anchor, hash of its bytes, place), about one row per 85 bytes; these rows
+are dealt by anchor once. Only anchors that occur twice matter: a run whose bytes occur twice is
+repeated as a whole, and if an anchor has runs with different bytes, those distinct strings are
+gathered by anchor. Equal windows have half a window in common on one side of the anchor at
+least, so strings that share neither side with another of their anchor are left out.
+
+Whole texts move only where they are needed: a bitmap of the wanted texts' hashes, of ``MARKS``
+bits at most, keeps the others where they are. It only saves work: a text that it lets through by
+chance finds no partner in the join that follows.
 
 A task gets whole anchors and sorts the suffixes of their strings in two stages: suffixes
 smaller than their successors are sorted directly; all others follow from a scan of the
@@ -30,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assay.llm.common import as_bytes, cut_lineage, free_name
 
@@ -41,6 +47,8 @@ ANCHOR_STRINGS = 10_000
 #: Bytes sorted at once.
 SORT_BYTES = 1 << 19
 _BUFFER = 1 << 20
+#: Bits of the map of wanted texts, in pieces of 2^15: at most 8 MB.
+MARKS = 1 << 26
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -73,9 +81,11 @@ class Anchors:
         self.up, self.down = _powers(_BASE, room), _powers(_INVERSE, room)
 
     def runs(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
-        """anchor, first window, number of windows, text and tie flag of each run, in order.
+        """anchor, first window, number of windows, text, tie flag and context of each run, in order.
 
-        ``starts`` and ``sizes`` are the places of the texts, all of at least ``length`` bytes.
+        ``starts`` and ``sizes`` are the places of the texts, all of at least ``length`` bytes. The
+        context has 16 bits of what lies left of the anchor, and as many of what lies right. Equal
+        windows without ties have one of them in common; a side of which no window has half is 0.
         """
         n, span = len(data), self.length - self.gram + 1
         sums = np.zeros(n + 1, np.uint64)
@@ -100,7 +110,21 @@ class Anchors:
         block = np.searchsorted(starts, at, "right") - 1
         stop = np.minimum(np.append(at[1:], n), starts[block] + sizes[block] - self.length + 1)
         ties = np.cumsum(np.concatenate(([False], tie)))
-        return (low[at] >> np.uint64(8)).astype(np.int64), at, stop - at, block, ties[stop] > ties[at]
+        half = (self.length - self.gram) // 2
+        anchor = at + (((low[at] & np.uint64(255)).astype(np.int64) - at) & 255)
+        left = self._side(sums, anchor - half, half + self.gram, anchor - at >= half)
+        right = self._side(sums, anchor, self.length - half + 1, anchor - stop + 1 < half)
+        return ((low[at] >> np.uint64(8)).astype(np.int64), at, stop - at, block, ties[stop] > ties[at],
+                (left | right << np.uint32(16)).view(np.int32))
+
+    def _side(self, sums: np.ndarray, at: np.ndarray, size: int, there: np.ndarray) -> np.ndarray:
+        """16 bits of a hash of ``size`` bytes at each place, 1 at least; 0 where they are not there."""
+        at = np.where(there, at, 0)
+        h = (sums[np.where(there, at + size, 0)] - sums[at]) * self.down[at]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        return np.where(there, h % np.uint64(65535) + np.uint64(1), np.uint64(0)).astype(np.uint32)
 
 
 def _buffers(texts, length: int, room: int):
@@ -126,15 +150,21 @@ def _run_rows(length: int, gram: int):
     def run(batches):
         find = Anchors(length, gram, _BUFFER)
         digest = xxhash.xxh3_64_intdigest
+        seen = set()  # copies in one task are read once
         for batch in batches:
             texts = as_bytes(batch.column("text"))
             t1 = batch.column("t1").to_numpy()
             t2 = batch.column("t2").to_numpy()
-            for held in _buffers(enumerate(texts), length, _BUFFER):
+            fresh = []
+            for row, name in enumerate(zip(t1.tolist(), t2.tolist())):
+                if len(texts[row]) >= length and name not in seen:
+                    seen.add(name)
+                    fresh.append((row, texts[row]))
+            for held in _buffers(fresh, length, _BUFFER):
                 joined = b"".join(p for _, _, p in held)
                 sizes = np.array([len(p) for _, _, p in held], np.int64)
                 starts = np.cumsum(sizes) - sizes
-                key, at, count, block, tied = find.runs(np.frombuffer(joined, np.uint8), starts, sizes)
+                key, at, count, block, tied, context = find.runs(np.frombuffer(joined, np.uint8), starts, sizes)
                 row = np.array([r for r, _, _ in held], np.int64)[block]
                 offset = at - starts[block] + np.array([o for _, o, _ in held], np.int64)[block]
                 signs = [digest(joined[i:j]) for i, j in zip(at.tolist(), (at + count + length - 1).tolist())]
@@ -143,7 +173,7 @@ def _run_rows(length: int, gram: int):
                     count - 1).astype(np.uint64)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(key), pa.array(np.array(signs, np.uint64).view(np.int64)), pa.array(t1[row]),
-                    pa.array(place.view(np.int64))], ["key", "sign", "t1", "place"])
+                    pa.array(place.view(np.int64)), pa.array(context)], ["key", "sign", "t1", "place", "context"])
     return run
 
 
@@ -359,34 +389,60 @@ def _window_hashes(length: int):
     return run
 
 
+def _gathered(runs: DataFrame) -> DataFrame:
+    """The runs that may be repeated: how many have their bytes (n), and where.
+
+    One run of each string to be sorted has its anchor in ``key``, and in ``m`` the number of such strings.
+    """
+    key, sign = Window.partitionBy("key"), Window.partitionBy("key", "sign")
+    place = sign.orderBy("t1", "place")
+    again = (F.lag("t1").over(place) == F.col("t1")) & (F.lag("place").over(place) == F.col("place"))
+    left, right = F.col("context").bitwiseAND(F.lit(0xFFFF)), F.shiftrightunsigned("context", 16)
+
+    def shared(side: Column) -> Column:
+        return (side != 0) & (F.count_if("sorted").over(Window.partitionBy("key", side)) > 1)
+
+    return (runs.repartition("key")
+            .withColumns({"c": F.count("*").over(key), "tied": F.max(_tied("place")).over(key)})
+            .filter("c > 1 OR tied = 1").drop("c")
+            .withColumns({"again": F.coalesce(again, F.lit(False)), "first": F.row_number().over(place) == 1})
+            .filter("NOT again").drop("again")
+            .withColumns({"n": F.count("*").over(sign), "m": F.count_if("first").over(key)})
+            .filter("n > 1 OR m > 1 OR tied = 1")
+            .withColumn("sorted", F.expr("first AND (m > 1 OR tied = 1)"))
+            .withColumn("sorted", F.col("sorted") & ((F.col("tied") == 1) | shared(left) | shared(right)))
+            .withColumn("m", F.count_if("sorted").over(key))
+            .filter("n > 1 OR sorted")
+            .select(F.when(F.col("sorted"), F.col("key")).alias("key"), "n", "m", "t1", "place"))
+
+
+def wanted_only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of ``identified`` rows nearly only those whose t1 is in ``wanted``, found without a shuffle of them."""
+    piece = F.col("t1").bitwiseAND(F.lit((MARKS >> 15) - 1))
+    bit = F.shiftrightunsigned("t1", 40).bitwiseAND(F.lit(0x7FFF))
+    marks = wanted.groupBy(piece.alias("piece")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = "cast(conv(hex(substring(bits, cast(bit div 8 AS int) + 1, 1)), 16, 10) AS int)"
+    return (rows.withColumns({"piece": piece, "bit": bit}).join(F.broadcast(marks), "piece")
+            .filter(f"shiftright({byte}, cast(bit % 8 AS int)) % 2 = 1").drop("piece", "bits", "bit"))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, anchor_strings: int = ANCHOR_STRINGS,
                    sort_bytes: int = SORT_BYTES) -> tuple[DataFrame, DataFrame]:
     """Spans (t1, t2, offset, windows) of repeated windows of each distinct text, and the
     distinct texts themselves (t1, t2, rep, copies)."""
     rows = identified(docs)
     texts = cut_lineage(rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    runs = rows.select("text", "t1", "t2").mapInArrow(
-        _run_rows(length, gram), "key long, sign long, t1 long, place long")
-    # Written first, so that the join has plain exchanges, of which Spark can split a hot key.
-    twice = cut_lineage(runs.groupBy("key").agg(F.count("*").alias("c"), F.max(_tied("place")).alias("tied"))
-                        .filter("c > 1 OR tied = 1").select("key"))
-    found = cut_lineage(runs.join(twice, "key").groupBy("key", "sign", "t1", "place").agg(F.lit(1).alias("one"))
-                        .drop("one"))
-    strings = cut_lineage(found.groupBy("key", "sign").agg(
-        F.count("*").alias("n"), F.min(F.struct("t1", "place")).alias("at"), F.max(_tied("place")).alias("tied")))
-    by_key = cut_lineage(strings.groupBy("key").agg(
-        F.count("*").alias("m"), F.sum("n").alias("total"), F.max("tied").alias("any")).filter("total > 1 OR any = 1"))
-    strings = cut_lineage(strings.join(by_key.drop("total"), "key"))
-    whole = found.join(strings.filter("n > 1").select("key", "sign"), ["key", "sign"], "left_semi").select(
+    found = cut_lineage(_gathered(rows.select("text", "t1", "t2").mapInArrow(
+        _run_rows(length, gram), "key long, sign long, t1 long, place long, context int")))
+    spans = found.filter("n > 1").select(
         "t1", _mark("place").alias("t2"), _offset("place").alias("offset"), _windows("place").alias("windows"))
-    spans = whole
-    mixed = strings.filter("m > 1 OR any = 1").select(
-        "key", "n", "at.t1", "at.place", _mark("at.place").alias("t2"), "m")
+    mixed = found.filter("key IS NOT NULL").withColumn("t2", _mark("place"))
 
     def bodies(wanted: DataFrame) -> DataFrame:
-        asked = (wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "n", "place")).alias("asked"))
-                 .join(texts.drop("copies"), ["t1", "t2"]))
-        return (rows.alias("r").join(asked.alias("a"), (F.col("r.t1") == F.col("a.t1")) & (
+        asked = cut_lineage(
+            wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "n", "place")).alias("asked"))
+            .join(texts.drop("copies"), ["t1", "t2"]))
+        return (wanted_only(rows, asked).alias("r").join(asked.alias("a"), (F.col("r.t1") == F.col("a.t1")) & (
             F.col("r.t2") == F.col("a.t2")) & F.col("r.doc_id").eqNullSafe(F.col("a.rep")))
             .select("r.text", "r.t1", "a.asked")
             .mapInArrow(_strings(length), "key long, n long, t1 long, place long, body binary"))
@@ -450,8 +506,9 @@ def removals(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     spans, texts = repeated_spans(docs, length, **options)
     single = texts.filter("copies = 1").select("t1", "t2")
-    lists = spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("offset", "windows")).alias("spans"))
-    done = identified(docs).join(lists.join(single, ["t1", "t2"], "left_semi"), ["t1", "t2"]).mapInArrow(
+    lists = cut_lineage(spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("offset", "windows")).alias("spans"))
+                        .join(single, ["t1", "t2"], "left_semi"))
+    done = wanted_only(identified(docs), lists).join(lists, ["t1", "t2"]).mapInArrow(
         _removed(length), "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string")
     rows = identified(docs).select("doc_id", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes"),
                                    F.sha2("text", 256).alias("sha"))

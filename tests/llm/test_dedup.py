@@ -230,3 +230,57 @@ def test_direct_sort_equals_sorted_slices():
         got = suffix_dedup.directly_sorted(np.frombuffer(raw, np.uint8), at, 200)
         key = lambda i: (raw + b"\0" * 300)[i:i + 200]
         assert sorted(got.tolist()) == at.tolist() and [key(i) for i in got] == sorted(key(i) for i in at)
+
+
+def letters(r, n):
+    return "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=n))
+
+
+def shuffled_bytes(spark):
+    nothing, jvm = spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, nothing, jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_without_repeats_are_not_shuffled(spark):
+    r = random.Random(31)
+    common, frequent = letters(r, 300), letters(r, 60)
+    rows = [(i, letters(r, 10_000) + frequent + letters(r, 10_000)) for i in range(200)]
+    rows += [(200, letters(r, 500) + common + letters(r, 300)), (201, common + letters(r, 700))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if the tables were large
+    try:
+        before = shuffled_bytes(spark)
+        got = Counter(map(tuple, suffix_dedup.removals(docs).collect()))
+        moved = shuffled_bytes(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == Counter([(d, len(t), 300 * (d >= 200), int(d >= 200), hashlib.sha256(
+        t.replace(common, "").encode()).hexdigest()) for d, t in rows])
+    assert moved < sum(len(t) for _, t in rows)  # all texts were shuffled twice
+
+
+@pytest.mark.parametrize("length, gram", [(200, 32), (61, 8), (40, 40)])
+def test_repeats_about_the_limit_equal_brute_force(spark, length, gram):
+    r = random.Random(length)
+    pool, rows = letters(r, 3000), []
+    for i in range(240):  # strings of about the limit's length, with other surroundings each time
+        text = letters(r, r.randint(0, 90))
+        for _ in range(4):
+            at, n = r.randrange(2500), length + r.randint(-4, 3)
+            text += pool[at:at + n] + letters(r, r.randint(1, 120))
+        rows.append((i, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = slow_removals([(d, t.encode()) for d, t in rows], length)
+    for options in ({}, {"anchor_strings": 1}):
+        assert Counter(map(tuple, suffix_dedup.removals(docs, length, gram=gram, **options).collect())) == want
+
+
+def test_wanted_rows_pass_the_bitmap(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    rows = suffix_dedup.identified(docs)
+    left = {x.doc_id for x in suffix_dedup.wanted_only(rows, rows.filter("doc_id % 10 = 3")).collect()}
+    assert left >= set(range(3, 3000, 10)) and len(left) < 400
+    assert suffix_dedup.wanted_only(rows, rows.limit(0)).count() == 0
