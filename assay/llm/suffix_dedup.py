@@ -21,6 +21,10 @@ in this array that share LENGTH bytes are repeated windows. An anchor with more
 ``ANCHOR_STRINGS`` distinct strings is too much for one task; its windows are hashed and
 counted one by one instead, with sums on the map side.
 
+An executor's memory is its heap and its Python workers, so those are kept small: a stage calls
+Python once (a second call in it is a second worker for each task), texts become bytes one at a time,
+lists of places come as arrays of integers, and sorting takes some 30 bytes for each byte.
+
 Equal whole texts are one text everywhere, so copies do not multiply any of this.
 
 Results for unusual input: null counts as empty; texts shorter than LENGTH stay; rows that
@@ -38,7 +42,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assay.llm.common import as_bytes, cut_lineage, free_name
+from assay.llm.common import cut_lineage, free_name
 
 LENGTH = 200
 GRAM = 32
@@ -46,7 +50,7 @@ GRAM = 32
 ANCHOR_STRINGS = 10_000
 #: Bytes sorted at once.
 SORT_BYTES = 1 << 19
-_BUFFER = 1 << 20
+_BUFFER = 1 << 18
 #: Bits of the map of wanted texts, in pieces of 2^15: at most 8 MB.
 MARKS = 1 << 26
 _BASE = 0x9E3779B97F4A7C15
@@ -146,21 +150,26 @@ def _buffers(texts, length: int, room: int):
         yield held
 
 
+def _each(texts: pa.Array):
+    """The UTF-8 bytes of one text after the other."""
+    return (x.as_py() for x in texts.cast(pa.binary()))
+
+
 def _run_rows(length: int, gram: int):
+    def fresh(texts, t1, t2, seen):
+        for row, (body, *name) in enumerate(zip(_each(texts), t1.tolist(), t2.tolist())):
+            if len(body) >= length and (name := tuple(name)) not in seen:
+                seen.add(name)
+                yield row, body
+
     def run(batches):
         find = Anchors(length, gram, _BUFFER)
         digest = xxhash.xxh3_64_intdigest
         seen = set()  # copies in one task are read once
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
             t1 = batch.column("t1").to_numpy()
             t2 = batch.column("t2").to_numpy()
-            fresh = []
-            for row, name in enumerate(zip(t1.tolist(), t2.tolist())):
-                if len(texts[row]) >= length and name not in seen:
-                    seen.add(name)
-                    fresh.append((row, texts[row]))
-            for held in _buffers(fresh, length, _BUFFER):
+            for held in _buffers(fresh(batch.column("text"), t1, t2, seen), length, _BUFFER):
                 joined = b"".join(p for _, _, p in held)
                 sizes = np.array([len(p) for _, _, p in held], np.int64)
                 starts = np.cumsum(sizes) - sizes
@@ -203,16 +212,18 @@ def _tied(place: str) -> Column:
 # ---- sorting
 
 
+def _places(n: int) -> type:
+    """The type of places in ``n`` bytes."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
     """Which suffixes are smaller than their successors; the last one is not."""
     n = len(text)
-    step = np.sign(text[1:].astype(np.int16) - text[:-1].astype(np.int16))
-    nearest = np.where(step != 0, np.arange(n - 1), n)
+    nearest = np.arange(n, dtype=_places(n))
+    nearest[:-1][text[1:] == text[:-1]] = n - 1
     nearest = np.minimum.accumulate(nearest[::-1])[::-1]
-    out = np.zeros(n, bool)
-    known = nearest < n
-    out[:-1][known] = step[nearest[known]] > 0
-    return out
+    return np.append(text[1:] > text[:-1], False)[nearest]
 
 
 def directly_sorted(raw: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
@@ -221,24 +232,25 @@ def directly_sorted(raw: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     Eight bytes at a time, as integers, and only among those that are still equal; so memory is a
     few integers a suffix, however deep it goes.
     """
-    n = len(raw) + depth
-    padded = np.zeros(n + 8, np.uint8)
-    padded[:len(raw)] = raw
-    words = np.zeros(n, np.uint64)
-    for k in range(8):
-        words = (words << np.uint64(8)) | padded[k:k + n]
-    key = words[at]
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate((raw, np.zeros(depth + 8, np.uint8))), 8)
+
+    def words(places: np.ndarray) -> np.ndarray:
+        return eight[places].view(">u8").ravel().astype(np.uint64)
+
+    order = at.astype(_places(len(raw) + depth))
+    key = words(order)
     sort = np.argsort(key, kind="stable")
-    order, key = at[sort], key[sort]
+    order, key = order[sort], key[sort]
     fresh = np.ones(len(order), bool)  # starts a group of equal suffixes
     fresh[1:] = key[1:] != key[:-1]
+    del key, sort
     for d in range(8, depth, 8):
         equal = ~fresh
         equal[:-1] |= ~fresh[1:]
-        open_ = np.flatnonzero(equal)
+        open_ = np.flatnonzero(equal).astype(order.dtype)
         if not len(open_):
             break
-        group, key = np.cumsum(fresh)[open_], words[order[open_] + d]
+        group, key = np.cumsum(fresh, dtype=order.dtype)[open_], words(order[open_] + order.dtype.type(d))
         sort = np.lexsort((key, group))
         order[open_], key = order[open_][sort], key[sort]
         fresh[open_[1:]] |= (group[1:] == group[:-1]) & (key[1:] != key[:-1])
@@ -254,10 +266,11 @@ def suffix_array(text: np.ndarray, raw: bytes, depth: int) -> np.ndarray:
     top = int(text.max()) + 1
     cuts = np.searchsorted(text[direct], np.arange(top + 1))
     induced: list[list[np.ndarray]] = [[] for _ in range(top)]
-    induced[text[-1]].append(np.array([len(text) - 1], np.int64))
+    induced[text[-1]].append(np.array([len(text) - 1], direct.dtype))
     out = []
     for symbol in range(top):
-        own = np.concatenate(induced[symbol]) if induced[symbol] else np.zeros(0, np.int64)
+        own = np.concatenate(induced[symbol]) if induced[symbol] else np.zeros(0, direct.dtype)
+        induced[symbol].clear()
         bucket, fresh = [own], own
         while len(fresh):  # a run of one symbol induces within its own bucket
             before = fresh[fresh > 0] - 1
@@ -284,8 +297,8 @@ def common_prefixes(raw: np.ndarray, order: np.ndarray, length: int) -> np.ndarr
     for at in range(0, len(order) - 1, 8192):
         part = rows[order[at:at + 8193]]
         differ = part[1:] != part[:-1]
-        out.append(np.where(differ.any(axis=1), differ.argmax(axis=1), length))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+        out.append(np.where(differ.any(axis=1), differ.argmax(axis=1), length).astype(np.int32))
+    return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
 def repeated_windows(strings: list[bytes], length: int) -> list[np.ndarray]:
@@ -295,10 +308,9 @@ def repeated_windows(strings: list[bytes], length: int) -> list[np.ndarray]:
     starts = np.cumsum(sizes + 1) - sizes - 1
     data = np.frombuffer(raw, np.uint8)
     order = suffix_array(data, raw, length)
-    inside = np.zeros(len(raw) + 1, np.int64)
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, starts + sizes - length + 1, -1)
-    inside = np.cumsum(inside)[:-1] > 0
+    inside = np.zeros(len(raw), bool)
+    for a, n in zip(starts.tolist(), sizes.tolist()):
+        inside[a:a + n - length + 1] = True
     order = order[inside[order]]
     equal = common_prefixes(data, order, length) >= length
     hit = np.zeros(len(raw), bool)
@@ -348,35 +360,41 @@ def _spans(rows):
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names)
 
 
-def _strings(length: int):
-    """The bytes of the runs that each text is asked for."""
-    def run(batches):
-        for batch in batches:
-            out, size = [], 0
-            for body, t1, asked in zip(as_bytes(batch.column("text")), batch.column("t1").to_pylist(),
-                                       batch.column("asked").to_pylist()):
-                for a in asked:
-                    offset, windows = (a["place"] >> 8) & 0x7FFFFFFF, (a["place"] & 255) + 1
-                    out.append((a["key"], a["n"], t1, a["place"], body[offset:offset + windows + length - 1]))
-                    size += windows + length
+def _asked(batches, length: int):
+    """Lists of (key, n, t1, place, bytes) of the runs that each text is asked for, of some 4 MB."""
+    for batch in batches:
+        out, size = [], 0
+        lists = batch.column("asked")
+        ends, asked = lists.offsets.tolist(), lists.values
+        for row, (body, t1) in enumerate(zip(_each(batch.column("text")), batch.column("t1").to_pylist())):
+            own = asked[ends[row]:ends[row + 1]]
+            for key, n, place in zip(*(own.field(c).to_pylist() for c in ("key", "n", "place"))):
+                offset, windows = (place >> 8) & 0x7FFFFFFF, (place & 255) + 1
+                out.append((key, n, t1, place, body[offset:offset + windows + length - 1]))
+                size += windows + length
                 if size > 4 << 20:
-                    yield batch_of(out)
+                    yield out
                     out, size = [], 0
-            if out:
-                yield batch_of(out)
+        if out:
+            yield out
+
+
+def _strings(length: int):
+    """The bytes of the runs that each text is asked for."""
+    kinds = [pa.int64()] * 4 + [pa.binary()]
 
-    def batch_of(out):
-        kinds = [pa.int64()] * 4 + [pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
-                                          ["key", "n", "t1", "place", "body"])
+    def run(batches):
+        for rows in _asked(batches, length):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                             ["key", "n", "t1", "place", "body"])
     return run
 
 
 def _window_hashes(length: int):
+    """The hashes of the windows of the runs that each text is asked for."""
     def run(batches):
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("n", "t1", "place", "body")]
-            for n, t1, place, body in zip(*cols):
+        for rows in _asked(batches, length):
+            for _, n, t1, place, body in rows:
                 count = len(body) - length + 1
                 twice = [xxhash.xxh3_128_intdigest(body[i:i + length]) for i in range(count)]
                 mark, offset = (place >> 40) & 0xFFFFFF, (place >> 8) & 0x7FFFFFFF
@@ -438,21 +456,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, anch
         "t1", _mark("place").alias("t2"), _offset("place").alias("offset"), _windows("place").alias("windows"))
     mixed = found.filter("key IS NOT NULL").withColumn("t2", _mark("place"))
 
-    def bodies(wanted: DataFrame) -> DataFrame:
+    def texts_asked(wanted: DataFrame) -> DataFrame:
         asked = cut_lineage(
             wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "n", "place")).alias("asked"))
             .join(texts.drop("copies"), ["t1", "t2"]))
         return (wanted_only(rows, asked).alias("r").join(asked.alias("a"), (F.col("r.t1") == F.col("a.t1")) & (
             F.col("r.t2") == F.col("a.t2")) & F.col("r.doc_id").eqNullSafe(F.col("a.rep")))
-            .select("r.text", "r.t1", "a.asked")
-            .mapInArrow(_strings(length), "key long, n long, t1 long, place long, body binary"))
+            .select("r.text", "r.t1", "a.asked"))
 
-    spans = spans.union(bodies(mixed.filter(F.col("m") <= anchor_strings)).repartition("key")
-                        .sortWithinPartitions("key")
+    spans = spans.union(texts_asked(mixed.filter(F.col("m") <= anchor_strings))
+                        .mapInArrow(_strings(length), "key long, n long, t1 long, place long, body binary")
+                        .repartition("key").sortWithinPartitions("key")
                         .mapInArrow(_sorted_strings(length, sort_bytes), "t1 long, t2 long, offset long, windows long"))
     crowded = mixed.filter(F.col("m") > anchor_strings)
     if crowded.take(1):
-        hashes = cut_lineage(bodies(crowded).mapInArrow(
+        hashes = cut_lineage(texts_asked(crowded).mapInArrow(
             _window_hashes(length), "h1 long, h2 long, n long, t1 long, t2 long, offset long").distinct())
         again = hashes.groupBy("h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
         spans = spans.union(hashes.filter("n = 1").join(again, ["h1", "h2"], "left_semi")
@@ -460,16 +478,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, anch
     return spans, texts
 
 
-def merged(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
-    """Maximal removed byte ranges from (offset, windows)."""
-    out: list[list[int]] = []
-    for offset, windows in sorted(spans):
-        end = offset + windows + length - 1
-        if out and offset <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([offset, end])
-    return [(a, b) for a, b in out]
+def _listed(spans: DataFrame) -> DataFrame:
+    """t1, t2 and the text's spans, each as one integer: the offset, and 16 bits of the number of windows."""
+    span = F.shiftleft("offset", 16).bitwiseOR(F.col("windows"))
+    return spans.groupBy("t1", "t2").agg(F.collect_list(span).alias("spans"))
+
+
+def merged(spans: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """Maximal removed byte ranges of listed spans."""
+    if not len(spans):
+        return []
+    spans = np.sort(spans)
+    start = spans >> 16
+    end = np.maximum.accumulate(start + (spans & 0xFFFF) + (length - 1))
+    first = np.append(True, start[1:] > end[:-1])
+    return list(zip(start[first].tolist(), end[np.append(first[1:], True)].tolist()))
 
 
 def without(body: bytes, ranges: list[tuple[int, int]], whole_characters: bool = False) -> bytes:
@@ -490,9 +513,11 @@ def _removed(length: int):
     def run(batches):
         for batch in batches:
             out = []
-            for body, t1, t2, spans in zip(as_bytes(batch.column("text")), *(batch.column(c).to_pylist() for c in (
-                    "t1", "t2", "spans"))):
-                ranges = merged([(s["offset"], s["windows"]) for s in spans], length)
+            lists = batch.column("spans")
+            ends, spans = lists.offsets.tolist(), lists.values.to_numpy()
+            names = zip(batch.column("t1").to_pylist(), batch.column("t2").to_pylist())
+            for row, (body, (t1, t2)) in enumerate(zip(_each(batch.column("text")), names)):
+                ranges = merged(spans[ends[row]:ends[row + 1]], length)
                 out.append((t1, t2, sum(b - a for a, b in ranges), len(ranges),
                             hashlib.sha256(without(body, ranges)).hexdigest()))
             if out:
@@ -506,8 +531,7 @@ def removals(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     spans, texts = repeated_spans(docs, length, **options)
     single = texts.filter("copies = 1").select("t1", "t2")
-    lists = cut_lineage(spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("offset", "windows")).alias("spans"))
-                        .join(single, ["t1", "t2"], "left_semi"))
+    lists = cut_lineage(_listed(spans).join(single, ["t1", "t2"], "left_semi"))
     done = wanted_only(identified(docs), lists).join(lists, ["t1", "t2"]).mapInArrow(
         _removed(length), "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string")
     rows = identified(docs).select("doc_id", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes"),
@@ -528,7 +552,7 @@ def clean(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """
     spans, texts = repeated_spans(docs, length, **options)
     copied = texts.filter("copies > 1").select("t1", "t2", F.lit(True).alias("copied"))
-    lists = spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("offset", "windows")).alias("spans"))
+    lists = _listed(spans)
     t1, t2, own, all_gone = (free_name(f"__{n}", docs) for n in ("t1", "t2", "spans", "copied"))
     cuts = lists.join(copied, ["t1", "t2"], "full").select(
         F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("spans").alias(own), F.col("copied").alias(all_gone))
@@ -536,8 +560,7 @@ def clean(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([
-            None if t is None else t if s is None else without(
-                t.encode(), merged([(x["offset"], x["windows"]) for x in s], length), True).decode()
+            None if t is None else t if s is None else without(t.encode(), merged(s, length), True).decode()
             for t, s in zip(text, spans)])
 
     text = F.coalesce("text", F.lit(""))

@@ -1,8 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from assay.llm import exact_dedup, quality_rules, simhash, suffix_dedup
@@ -284,3 +286,55 @@ def test_wanted_rows_pass_the_bitmap(spark):
     left = {x.doc_id for x in suffix_dedup.wanted_only(rows, rows.filter("doc_id % 10 = 3")).collect()}
     assert left >= set(range(3, 3000, 10)) and len(left) < 400
     assert suffix_dedup.wanted_only(rows, rows.limit(0)).count() == 0
+
+
+def test_sorting_takes_few_bytes_for_each_byte():
+    r = random.Random(41)
+    text = letters(r, 368).encode()
+    strings = [text[:i] + b"-" + text[i + 1:] for i in (r.randrange(368) for _ in range(2000))]
+    tracemalloc.start()
+    suffix_dedup.repeated_windows(strings, 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * sum(map(len, strings))
+
+
+def test_runs_are_found_in_little_memory():
+    r = random.Random(42)
+    batch = pa.RecordBatch.from_pydict({"text": [letters(r, 100_000) for _ in range(40)], "t1": [*range(40)], "t2": [*range(40)]})
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in suffix_dedup._run_rows(200, 32)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 40_000 and peak < 48 << 20
+
+
+def python_calls(plan, above=0):
+    """The most calls of Python in one stage of a plan."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return python_calls(plan.initialPlan())
+    above = 0 if "Exchange" in plan.nodeName() else above + ("Arrow" in plan.nodeName())
+    children = plan.children()
+    return max([above] + [python_calls(children.apply(i), above) for i in range(children.size())])
+
+
+def test_no_stage_calls_python_twice(spark, monkeypatch):
+    calls, cut = [], suffix_dedup.cut_lineage
+
+    def watched(df):
+        calls.append(python_calls(df._jdf.queryExecution().executedPlan()))
+        return cut(df)
+
+    monkeypatch.setattr(suffix_dedup, "cut_lineage", watched)
+    out = suffix_dedup.removals(odd_docs(spark), anchor_strings=1)
+    assert len(calls) > 4 and max(calls) == 1 == python_calls(out._jdf.queryExecution().executedPlan())
+
+
+def test_listed_spans_merge():
+    r = random.Random(43)
+    for n in range(60):
+        spans = [(r.randrange(2000), r.randint(1, 169)) for _ in range(n)]
+        gone = {i for offset, windows in spans for i in range(offset, offset + windows + 19)}
+        ends = [(i, i not in gone) for i in range(2300) if (i in gone) != (i - 1 in gone)]
+        got = suffix_dedup.merged(np.array([a << 16 | w for a, w in spans], np.int64), 20)
+        assert [x for a, b in got for x in ((a, False), (b, True))] == ends
