@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from assay.session import Scratch, cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["Scratch", "as_bytes", "cut_lineage", "ensure_checkpoint_dir", "free_name", "shuffle_parts", "text_rows", "with_rows"]
+__all__ = ["Scratch", "as_bytes", "cut_lineage", "each_bytes", "ensure_checkpoint_dir", "free_name", "shuffle_parts", "text_rows", "with_rows"]
 
 
 def text_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -22,6 +22,11 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def each_bytes(column: pa.Array) -> Iterator[bytes]:
+    """As ``as_bytes``, one text after the other, so that a task holds no second copy of a batch."""
+    return (x.as_py() or b"" for x in column.cast(pa.binary()))
+
+
 def with_rows(rows_of: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Turn a function on one Arrow batch into one that ``mapInArrow`` takes."""
     def run(batches):

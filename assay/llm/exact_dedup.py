@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assay.llm.common import as_bytes, cut_lineage, free_name, shuffle_parts, text_rows, with_rows
+from assay.llm.common import cut_lineage, each_bytes, free_name, shuffle_parts, text_rows, with_rows
 
 #: The directory has at most 2**MAX_DEPTH entries: 1,048,576.
 MAX_DEPTH = 20
@@ -77,12 +77,15 @@ def build_directory(loads: dict[int, int], capacity: int, max_depth: int = MAX_D
 
 
 def _keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-    texts = [t.lower() for t in as_bytes(batch.column("text"))]
+    keys, sizes, digests = [], [], []
+    for text in each_bytes(batch.column("text")):
+        text = text.lower()
+        keys.append(xxhash.xxh64_intdigest(text))
+        sizes.append(len(text))
+        digests.append(hashlib.sha256(text).hexdigest())
     return pa.RecordBatch.from_arrays([
-        batch.column("doc_id"),
-        pa.array(np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64)),
-        pa.array(list(map(len, texts)), pa.int64()),
-        pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
+        batch.column("doc_id"), pa.array(np.array(keys, np.uint64).view(np.int64)),
+        pa.array(sizes, pa.int64()), pa.array(digests, pa.string()),
     ], ["doc_id", "key", "n_bytes", "text_sha256"])
 
 
@@ -107,7 +110,7 @@ def _merged(directory: Directory, n_owners: int, merge_bytes: int):
     def run(batches):
         held, size = {}, 0
         for batch in batches:
-            for doc_id, body in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
+            for doc_id, body in zip(batch.column("doc_id").to_pylist(), each_bytes(batch.column("text"))):
                 body = body.lower()
                 old = held.get(body)
                 if old is None:

@@ -35,7 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from assay.llm.common import Scratch, as_bytes, text_rows, with_rows
+from assay.llm.common import Scratch, each_bytes, text_rows, with_rows
 from assay.llm.components import components
 from assay.llm.exact_dedup import keep_rows
 from assay.llm.simhash import SEED, fingerprint, near_links
@@ -51,6 +51,9 @@ SKETCH_BITS = 1024
 #: Sets above this size are sketched by a sample of their hashes, halved until it is below.
 SKETCHED = 1024
 TILE = 2048
+#: Sets that a task hands to Spark at once, and pairs.
+SETS_BYTES = 4 << 20
+PAIRS_AT_ONCE = 1 << 15
 DEVIATIONS = 4.0
 
 
@@ -81,7 +84,7 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 def _signatures(shingle: int):
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         node, size, prints, bands = [], [], [], []
-        for body in as_bytes(batch.column("text")):
+        for body in each_bytes(batch.column("text")):
             own = shingle_set(body, shingle)
             node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
             size.append(len(own))
@@ -121,29 +124,39 @@ def bit_limits(sizes: np.ndarray, level: np.ndarray, similarity: float) -> tuple
 
 
 def _sets(shingle: int):
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = [shingle_set(body, shingle) for body in as_bytes(batch.column("text"))]
-        levels = [level_of(len(x)) for x in own]
-        return pa.RecordBatch.from_arrays([
-            batch.column("node"), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(levels, pa.int64()),
-            *[pa.array([parity_sketch(x, k + more) for x, k in zip(own, levels)], pa.binary()) for more in (0, 1)],
-        ], ["node", "own", "level", "s0", "s1"])
-    return with_rows(rows)
+    names = ["node", "own", "level", "s0", "s1"]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    def run(batches):
+        for batch in batches:
+            rows, size = [], 0
+            for node, body in zip(batch.column("node").to_pylist(), each_bytes(batch.column("text"))):
+                own = shingle_set(body, shingle)
+                level = level_of(len(own))
+                rows.append((node, own.view(np.int64), level, *[parity_sketch(own, level + more) for more in (0, 1)]))
+                size += own.nbytes
+                if size > SETS_BYTES:
+                    yield table(rows)
+                    rows, size = [], 0
+            if rows:
+                yield table(rows)
+    return run
 
 
 class _Cell:
     """Nodes of one tile, or of two, of one bucket."""
 
-    def __init__(self, band: int, rows: list[tuple]):
-        node, label, size, level, side, s0, s1, bands = zip(*rows)
-        self.band, self.bands = band, np.array(bands, np.int64)
-        self.node, self.size, self.level, self.side = (np.array(x, np.int64) for x in (node, size, level, side))
-        self.label = np.array(label, np.int64)
-        self.bits = [np.frombuffer(b"".join(s), np.uint64).reshape(len(node), -1) for s in (s0, s1)]
+    def __init__(self, rows: dict[str, np.ndarray]):
+        self.band, self.bands = int(rows["band"][0]), rows["bands"]
+        self.node, self.size, self.level, self.side = (rows[c] for c in ("node", "size", "level", "side"))
+        self.label, self.bits = rows["label"].copy(), [rows["s0"], rows["s1"]]
 
-    def pairs(self, similarity: float, sure: bool) -> list[tuple[int, int]]:
-        """Pairs of different labels; if ``sure``, labels are merged as pairs are found."""
-        out, crossed = [], bool(self.side.any())
+    def pairs(self, similarity: float, sure: bool):
+        """Pairs of different labels, node by node; if ``sure``, labels are merged as pairs are found."""
+        crossed = bool(self.side.any())
         first = np.flatnonzero(self.side == 0)
         for i in range(len(self.node)):
             if crossed and not self.side[i]:
@@ -164,53 +177,66 @@ class _Cell:
                 labels, at = np.unique(self.label[of], return_index=True)
                 of = of[at]
                 self.label[np.isin(self.label, labels)] = self.label[i]
-            out += [(int(self.node[i]), int(self.node[j])) for j in of]
-        return out
+            if len(of):
+                yield np.full(len(of), self.node[i]), self.node[of]
 
 
 def _pairs_of_cells(similarity: float, sure: bool):
-    """Rows come sorted by cell."""
-    def table(pairs):
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], ["a", "b"])
+    """Rows come sorted by cell; pairs go as they are found, so that a dense cell is never held in pairs."""
+    cell = ["band", "key", "ti", "tj"]
 
-    def run(batches):
-        at, held, out = None, [], []
-        for batch in batches:
-            cells = zip(*(batch.column(c).to_pylist() for c in ("band", "key", "ti", "tj")))
-            rows = zip(*(batch.column(c).to_pylist() for c in ("node", "label", "size", "level", "side", "s0", "s1", "bands")))
-            for cell, row in zip(cells, rows):
-                if cell != at:
-                    if len(held) > 1:
-                        out += _Cell(at[0], held).pairs(similarity, sure)
-                    at, held = cell, []
-                    if len(out) > 1 << 15:
-                        yield table(out)
-                        out = []
-                held.append(row)
-        if len(held) > 1:
-            out += _Cell(at[0], held).pairs(similarity, sure)
-        if out:
-            yield table(out)
-    return run
+    def columns(batch):
+        n = batch.num_rows
+        out = {c: batch.column(c).to_numpy() for c in (*cell, "node", "label", "size", "level", "side")}
+        out["bands"] = batch.column("bands").flatten().to_numpy().reshape(n, -1)
+        return out | {c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(n, -1) for c in ("s0", "s1")}
 
+    def cells(batches):
+        """The columns of one cell after the other."""
+        held, at = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = columns(batch)
+            cuts = (np.flatnonzero(np.any([rows[c][1:] != rows[c][:-1] for c in cell], axis=0)) + 1).tolist()
+            for i, j in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if at != (at := tuple(rows[c][i] for c in cell)) and held:
+                    yield held[0] if len(held) == 1 else {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+                    held = []
+                held.append({c: x[i:j] for c, x in rows.items()})
+        if held:
+            yield held[0] if len(held) == 1 else {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+
+    def table(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b)], ["a", "b"])
 
-def _holds(similarity: float):
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        good = []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(both >= similarity * (len(x) + len(y) - both))
-        return batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-    return with_rows(rows)
+    def run(batches):
+        a, b, n = [], [], 0
+        for rows in cells(batches):
+            if len(rows["node"]) < 2:
+                continue
+            for x, y in _Cell(rows).pairs(similarity, sure):
+                a.append(x)
+                b.append(y)
+                n += len(x)
+                if n > PAIRS_AT_ONCE:
+                    yield table(a, b)
+                    a, b, n = [], [], 0
+        if n:
+            yield table(a, b)
+    return run
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose shingle sets are similar enough."""
+    """The ``pairs`` (a, b) of nodes whose shingle sets are similar enough.
+
+    Spark compares the sets itself: two of them stand on each row, too much to hand to Python in batches.
+    """
     pairs = scratch.cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     rows = (pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y"))
-    links = scratch.cut(rows.mapInArrow(_holds(similarity), "a long, b long"))
+            .join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b"))
+    both = F.size(F.array_intersect("x", "y"))
+    links = scratch.cut(rows.filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b"))
     scratch.free(pairs)
     return links
 
@@ -264,7 +290,7 @@ def _labels(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(_mixed(nodes).select("node")).distinct()
     texts = rows.groupBy("copy").agg(F.any_value("text").alias("text"))
     sets = scratch.cut(texts.join(nodes.join(used, "node").select("copy", "node"), "copy").select("node", "text")
-                       .mapInArrow(_sets(shingle), "node long, own binary, level long, s0 binary, s1 binary"))
+                       .mapInArrow(_sets(shingle), "node long, own array<long>, level long, s0 binary, s1 binary"))
     links = _checked(pairs, sets, similarity, scratch)
     nodes = _labelled(nodes.drop("label"), links, scratch)
     for sure in (True, False):

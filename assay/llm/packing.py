@@ -25,6 +25,7 @@ import json
 import os
 import sys
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -79,20 +80,32 @@ class Encoder:
     """Token ids of whole texts as little-endian unsigned integers of ``width`` bytes."""
 
     def __init__(self, vocabulary: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        vocabulary_ids = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.n_bytes = np.zeros(max(vocabulary_ids.values()) + 1, np.int64)
-        for token, i in vocabulary_ids.items():
-            self.n_bytes[i] = len(token)  # byte-level tokens have one character for each byte
+        with open(vocabulary, encoding="utf-8") as file:
+            rules = json.load(file)
+        self.vocabulary = vocabulary
+        self.added = [t["content"] for t in rules.get("added_tokens", ())]
+        self.width = 2 if len(rules["model"]["vocab"]) + len(self.added) <= 1 << 16 else 4
+        del rules
         self.fast = merge_table(vocabulary)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
         self.unsplit: set[str] = set()
 
+    @cached_property
+    def tokenizer(self):
+        """Read when a text needs it: a worker process keeps it, beside the faster implementation, to its end."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.vocabulary)
+
+    @cached_property
+    def n_bytes(self) -> np.ndarray:
+        ids = self.tokenizer.get_vocab(with_added_tokens=True)
+        out = np.zeros(max(ids.values()) + 1, np.int64)
+        for token, i in ids.items():
+            out[i] = len(token)  # byte-level tokens have one character for each byte
+        return out
+
     def _raw(self, texts: list[str]) -> list[bytes]:
         kind = f"<u{self.width}"
         return [np.array(e.ids, kind).tobytes()

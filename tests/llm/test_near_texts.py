@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -134,3 +135,41 @@ def test_rows_without_id_keep_one_of_each_component(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     left = Counter((r.doc_id, r.text.lower()) for r in near_texts.dedup(df).collect())
     assert left == Counter([(5, "aaa bbb"), (None, "ccc ddd")])
+
+
+def test_sets_are_compared_without_python(spark):
+    """Two sets on a row are too much for batches of rows that Python holds."""
+    class Kept:
+        def __init__(self):
+            self.plans = []
+
+        def cut(self, df):
+            self.plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return df
+
+        def free(self, *done):
+            pass
+
+    texts = spark.createDataFrame([(i, f"a b c d e f g h i j k {x}") for i, x in enumerate(["l m n", "l m n", "o", ""])], "node long, text string")
+    sets = texts.mapInArrow(near_texts._sets(5), "node long, own array<long>, level long, s0 binary, s1 binary").cache()
+    sets.count()
+    scratch = Kept()
+    pairs = spark.createDataFrame([(0, 1), (1, 0), (0, 2), (2, 3)], "a long, b long")
+    got = near_texts._checked(pairs, spark.createDataFrame(sets.toArrow()), 0.8, scratch)
+    assert {tuple(r) for r in got.collect()} == {(0, 1), (2, 3)}
+    assert len(scratch.plans) == 2 and not any("InArrow" in p for p in scratch.plans)
+
+
+def test_sets_and_pairs_leave_a_task_in_pieces():
+    batch = pa.RecordBatch.from_pydict({"node": [*range(12)], "text": [" ".join(f"{k}w{i}" for i in range(120_000)) for k in range(12)]})
+    out = list(near_texts._sets(5)([batch]))
+    assert sum(b.num_rows for b in out) == 12 and max(b.num_rows for b in out) < 6
+    n = 600
+    sketch = bytes(128)
+    same = {c: [0] * n for c in ("band", "key", "ti", "tj", "level", "side")}
+    cell = pa.RecordBatch.from_pydict(same | {
+        "node": [*range(n)], "label": [*range(n)], "size": [100] * n, "s0": [sketch] * n, "s1": [sketch] * n, "bands": [[1] * near_texts.BANDS] * n})
+    for parts in ([cell], [cell.slice(0, 250), cell.slice(250)]):
+        out = list(near_texts._pairs_of_cells(0.8, False)(parts))
+        assert sum(b.num_rows for b in out) == n * (n - 1) // 2 and max(b.num_rows for b in out) <= near_texts.PAIRS_AT_ONCE + n
+        assert sum(b.num_rows for b in near_texts._pairs_of_cells(0.8, True)(parts)) == n - 1

@@ -232,3 +232,10 @@ def _documents():
     from types import SimpleNamespace
 
     return [SimpleNamespace(**r) for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()]
+
+
+def test_an_encoder_reads_the_tokenizer_only_if_a_text_needs_it():
+    encode = packing.Encoder(BPE)
+    assert encode("plain words") and "tokenizer" not in vars(encode)
+    assert encode("слова") and "tokenizer" in vars(encode)
+    assert encode.added == [t.content for t in encode.tokenizer.get_added_tokens_decoder().values()]
