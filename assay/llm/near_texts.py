@@ -17,7 +17,7 @@ and only those that hold on the shingle sets themselves count:
 So the families whose members are less alike than the limit, though they share buckets, cost
 comparisons of 128 bytes inside a task; a row leaves it only for a pair that is, within four
 deviations, as similar as asked, and once, in the first bucket that both share. Large buckets are
-cut into tiles of about ``TILE`` nodes.
+cut into tiles of about ``TILE`` nodes. Whole sets are on rows only where Spark compares them.
 
 A pair at similarity s shares a bucket with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9993
 at 0.8, over 0.99999 at 0.9. Sets are compared by their 64-bit shingle hashes.
